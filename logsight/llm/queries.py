@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import embed_dedup, shards, token_files
+from logsight.llm import embed_dedup, minhash_dedup, shards, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,5 +28,13 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards)}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}
