@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import embed_dedup, minhash_dedup, shards, substring_dedup, token_files
+from logsight.llm import embed_dedup, minhash_dedup, mixing, pii, shards, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,5 +36,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup)}
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op7_mix_sources, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
