@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import embed_dedup, minhash_dedup, mixing, pii, shards, substring_dedup, token_files
+from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, pii, quality, shards, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +40,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op7_mix_sources, op9_pii)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.classify(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op7_mix_sources, op8_fingerprints, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
