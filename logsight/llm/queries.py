@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, pii, quality, shards, substring_dedup, token_files
+from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, packing, pii, quality, shards, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op7_mix_sources, op8_fingerprints, op9_pii, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op6_packing, op7_mix_sources, op8_fingerprints, op9_pii, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
