@@ -13,6 +13,11 @@ made from the number of pieces of each length, at most `length` numbers:
 4. Pieces left over, and then the small ones, go best-fit, longest first, into
    the room left, or into new sequences.
 
+Rounding costs room where the small pieces are too few to fill what it leaves,
+so the plan is made for several bounds between small and large and the one with
+the fewest sequences is used; at a bound of half the length each sequence holds
+one large piece at most, and the plan is that of best-fit decreasing.
+
 The plan says, for runs of equal-length pieces, which sequences and offsets
 they get. Spark ranks the pieces of each length (by ranges, so the many pieces
 of full length are spread) and looks their places up.
@@ -124,8 +129,16 @@ class _Queue:
         return out
 
 
-def plan(counts: dict[int, int], length: int, small: float = 0.125, groups: int = 32) -> list[tuple[Pattern, int]]:
+#: Shares of the sequence length up to which a piece may count as small; the plan with the fewest sequences is used.
+SMALL = (0.25, 0.35, 0.5)
+
+
+def plan(counts: dict[int, int], length: int, small: tuple[float, ...] = SMALL, groups: int = 32) -> list[tuple[Pattern, int]]:
     """(lengths in a sequence, number of such sequences) that use up `counts` (pieces of each length)."""
+    return min((plan_for(counts, length, share, groups) for share in small), key=lambda p: sum(n for _, n in p))
+
+
+def plan_for(counts: dict[int, int], length: int, small: float, groups: int) -> list[tuple[Pattern, int]]:
     out: list[tuple[Pattern, int]] = []
     if counts.get(length):
         out.append(((length,), counts[length]))
@@ -178,7 +191,7 @@ def plan(counts: dict[int, int], length: int, small: float = 0.125, groups: int
         for x, n in q.runs:
             rest[x] = rest.get(x, 0) + n
     for x, n in counts.items():
-        if n and x <= small * length:
+        if n and x <= small * length and x < length:
             rest[x] = n
     for x in sorted(rest, reverse=True):
         n = rest[x]
@@ -226,7 +239,7 @@ def places(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(pieces: DataFrame, length: int = 1024, small: float = 0.125, groups: int = 32) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 1024, small: tuple[float, ...] = SMALL, groups: int = 32) -> DataFrame:
     """Add sequence_id and offset to the pieces of `token_pieces`."""
     spark = pieces.sparkSession
     kept = materialize(pieces.withColumn("one", F.lit(1)), "op6-pieces")
