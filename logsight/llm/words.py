@@ -15,7 +15,7 @@ _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
-_POWERS = np.cumprod(np.concatenate([[1], np.full(4095, _BASE, np.uint64)]).astype(np.uint64))
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4095, _BASE, np.uint64)]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
