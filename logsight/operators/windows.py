@@ -54,7 +54,7 @@ def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6,
     denominator = F.col("total") + F.lit(epsilon) * F.col("met")
     score = F.log((F.col("pair") + epsilon) / denominator) / F.log(F.lit(epsilon) / denominator)
     usable = F.col("prev").isNotNull() & (F.col("learned") >= warm_up) & (F.col("met") > 0)
-    return counted.withColumn("score", F.when(usable & (F.col("total") == 0), 1.0).when(usable, F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).otherwise(0.0)).select("event_id", *keys, "timestamp_ns", "template_id", "score")
+    return counted.withColumn("score", F.when(usable & (F.col("total") == 0), F.when(F.col("met") > 1, 1.0).otherwise(0.0)).when(usable, F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).otherwise(0.0)).select("event_id", *keys, "timestamp_ns", "template_id", "score")
 
 
 def running_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
