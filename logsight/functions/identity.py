@@ -41,10 +41,7 @@ def user_parts(raw: Column) -> tuple[Column, Column]:
     return name, domain
 
 
-@F.pandas_udf("string")
-def exploded_ipv6(values: pd.Series) -> pd.Series:
-    """The full form of IPv6 addresses; null for anything else."""
-
+def _full_ipv6(values: pd.Series) -> pd.Series:
     def full(v: str | None) -> str | None:
         try:
             a = ipaddress.ip_address((v or "").strip())
@@ -55,12 +52,20 @@ def exploded_ipv6(values: pd.Series) -> pd.Series:
     return values.map(full)
 
 
-@F.pandas_udf("string")
-def nfc(values: pd.Series) -> pd.Series:
-    """Unicode form NFC; needed for names with other than ASCII signs only."""
+def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def exploded_ipv6(raw: Column) -> Column:
+    """The full form of IPv6 addresses; null for anything that is no address."""
+    return F.pandas_udf(_full_ipv6, "string")(raw)
+
+
+def nfc(raw: Column) -> Column:
+    """Unicode form NFC; needed for names with other than ASCII signs only."""
+    return F.pandas_udf(_nfc, "string")(raw)
+
+
 def canonical(kind: str, raw: Column) -> Column:
     """The canonical name of an entity; null if malformed. IPv6 needs `exploded_ipv6` first."""
     s = F.trim(raw)
@@ -112,8 +117,8 @@ def alert_id(*parts: Column | str) -> Column:
 
 def register(spark: SparkSession) -> None:
     """SQL functions: the two Python ones, and the rest as SQL expressions."""
-    spark.udf.register("exploded_ipv6", exploded_ipv6)
-    spark.udf.register("nfc", nfc)
+    spark.udf.register("exploded_ipv6", F.pandas_udf(_full_ipv6, "string"))
+    spark.udf.register("nfc", F.pandas_udf(_nfc, "string"))
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION uuid5(space STRING, name STRING) RETURNS STRING RETURN "
         "(SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', cast(conv(substr(h, 17, 1), 16, 10) AS INT) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) "

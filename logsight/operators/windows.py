@@ -34,7 +34,7 @@ def minute_buckets(events: DataFrame, keys: Sequence[str], bucket_ns: int, cap:
     counted = events.groupBy(*keys, F.expr(f"timestamp_ns div {bucket_ns}").alias("bucket")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys).orderBy("bucket")
     gap = F.coalesce(F.lead("bucket").over(w) - F.col("bucket") - 1, F.lit(0))
-    filled = counted.withColumn("step", F.explode(F.sequence(F.lit(0), F.least(gap, F.lit(cap)).cast("int"))))
+    filled = counted.withColumn("gap", F.least(gap, F.lit(cap)).cast("int")).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("gap"))))
     return filled.select(*keys, (F.col("bucket") + F.col("step")).alias("bucket"), F.when(F.col("step") == 0, F.col("n")).otherwise(0).alias("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("bucket", "step")).alias("seq"))
 
 

@@ -1,4 +1,6 @@
-"""All registered queries with their SQL."""
+"""All registered queries with their SQL; importing the modules registers them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from logsight.plans import detection, parsing, surface
+from logsight.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "detection", "parsing", "surface"]

@@ -48,7 +48,7 @@ OTLP = (
 def otlp_logs(bodies: DataFrame, column: str = "body") -> DataFrame:
     """One row a log record of JSON bodies."""
     each = bodies.select(F.explode(F.from_json(column, OTLP)["resourceLogs"]).alias("r")).select(F.explode("r.scopeLogs").alias("s")).select(F.explode("s.logRecords").alias("l"))
-    attributes = F.map_from_entries(F.transform(F.coalesce("l.attributes", F.array().cast(f"array<struct<key:string,value:{_VALUE}>>")), lambda a: F.struct(a["key"], F.coalesce(a["value.stringValue"], a["value.intValue"], a["value.doubleValue"].cast("string"), a["value.boolValue"].cast("string")))))
+    attributes = F.map_from_entries(F.transform(F.coalesce("l.attributes", F.array().cast(f"array<struct<key:string,value:{_VALUE}>>")), lambda a: F.struct(a["key"], F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["doubleValue"].cast("string"), a["value"]["boolValue"].cast("string")))))
     return each.select(F.col("l.timeUnixNano").cast("long").alias("timestamp_ns"), F.col("l.severityNumber").alias("severity_number"), F.col("l.severityText").alias("severity_text"), F.coalesce("l.body.stringValue", "l.body.intValue").alias("message"), attributes.alias("attributes"), F.to_json("l").alias("record"))
 
 
