@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logsight.operators import alerts as al
 from logsight.operators import correlate, detectors, graph, rules, ueba, windows
+from logsight.plans import batch
 from logsight.plans.base import AL, DAY, EV, GR, GRE, HOUR, LN, alerts, events, graph_edges, lines, query, rounded, table
 
 BRUTE = correlate.CorrelationRule("brute-force", "user", 86_400, 2, 5, (correlate.Condition("error", 3), correlate.Condition("purchase", 1)))
@@ -484,3 +485,21 @@ def h14(spark, d):
     return graph.reconciled(e, e.where("source_id <> 'u7'"))
 
 
+
+
+@query("a18_analyse")
+def a18(spark, d):
+    rows = lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message")
+    return batch.analyse(rows, [r for r in SIGMA if r.rule_id != "r5"], sequence_warm_up=10, tail=TAIL, dedup_ns=DAY)
+
+
+@query("a19_detectors_only")
+def a19(spark, d):
+    rows = batch.normalised(lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message"))
+    return rounded(batch.anomalies(rows, HOUR, 30, 24, 10).select("event_id", "volume", "change", "sequence", "anomaly_score"), "volume", "change", "sequence", "anomaly_score", places=4)
+
+
+@query("n1_normalise")
+def n1(spark, d):
+    rows = batch.normalised(lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message"))
+    return rows.select("event_id", "severity_id", "template", "entity_type", "entity", F.size("entity_refs").alias("n_refs"), F.coalesce(F.array_join("mapped.tactics", ","), F.lit("")).alias("tactics"))
