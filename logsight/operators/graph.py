@@ -6,14 +6,15 @@ the checkpoint folder, so lineage stays short; only counts come to the driver.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsight.operators.lineage import settled
+
 # Relations of ordered pairs of entity types.
 RELATIONS = {
     ("user", "ip"): "authenticated_from",
@@ -24,18 +25,6 @@ RELATIONS = {
 }
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a local session without one gets its own."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="logsight-"))
-    return df.checkpoint(eager=True)
-
-
 def infer_edges(events: DataFrame, typed: str = "typed") -> DataFrame:
     """Edges of all pairs of an event's typed entities (kind, uuid); processes link in order (H1)."""
     each = events.select("timestamp_ns", F.posexplode(typed).alias("i", "a"), F.col(typed).alias("all"))
@@ -64,7 +53,7 @@ def neighbours(edges: DataFrame, start: str, depth: int, relations: tuple[str, .
     front = seen
     for d in range(1, depth + 1):
         step = front.join(links, front["node"] == links["u"]).select(F.col("v").alias("node")).distinct()
-        front = _settled(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
+        front = settled(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -80,7 +69,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 50) -> lis
     front = seen
     for d in range(1, most + 1):
         step = front.join(links, front["node"] == links["u"]).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        front = _settled(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(d).alias("depth")))
+        front = settled(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(d).alias("depth")))
         if front.isEmpty():
             return []
         seen = seen.union(front)
@@ -104,10 +93,10 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle: int = 5) -> DataFrame:
     """Directed ranks with each parallel edge counted, by power iteration; dangling mass is spread evenly (H5)."""
-    nodes = _settled(vertices(edges))
+    nodes = settled(vertices(edges))
     n = nodes.count()
     out = edges.groupBy(F.col("source_id").alias("node")).agg(F.count("*").alias("out"))
-    links = _settled(edges.groupBy(F.col("source_id").alias("node"), "target_id").agg(F.count("*").alias("w")).join(out, "node"))
+    links = settled(edges.groupBy(F.col("source_id").alias("node"), "target_id").agg(F.count("*").alias("w")).join(out, "node"))
     ends = nodes.join(out, "node", "left_anti")
     ranks = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
     for i in range(rounds):
@@ -115,20 +104,20 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle:
         got = links.join(ranks, "node").groupBy(F.col("target_id").alias("node")).agg(F.sum(F.col("rank") * F.col("w") / F.col("out")).alias("got"))
         ranks = nodes.join(got, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if (i + 1) % settle == 0:
-            ranks = _settled(ranks)
+            ranks = settled(ranks)
     return ranks
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities by label propagation: each node takes its neighbours' commonest label, ties to the smallest (H6)."""
-    links = _settled(undirected(edges).where("u <> v"))
+    links = settled(undirected(edges).where("u <> v"))
     labels = vertices(edges).select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         votes = links.join(labels, links["v"] == labels["node"]).groupBy("u", "community").agg(F.count("*").alias("n"))
         # the own label counts once, which keeps pairs from swapping labels for ever
         votes = votes.union(labels.select(F.col("node").alias("u"), "community", F.lit(1).cast("long").alias("n"))).groupBy("u", "community").agg(F.sum("n").alias("n"))
         best = votes.groupBy(F.col("u").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"))
-        new = _settled(best.select("node", F.col("b.community").alias("community")))
+        new = settled(best.select("node", F.col("b.community").alias("community")))
         moved = new.join(labels.withColumnRenamed("community", "old"), "node").where("community <> old")
         labels = new
         if moved.isEmpty():

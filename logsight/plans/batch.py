@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsight.functions import attack, identity, text
 from logsight.operators import alerts as al
 from logsight.operators import detectors, rules, windows
+from logsight.operators.lineage import settled
 from logsight.sources.readers import syslog
 
 
@@ -31,7 +32,8 @@ def anomalies(events: DataFrame, bucket_ns: int, warm_up: int, season: int, sequ
     volume = detectors.score_events(events.select("event_id", "timestamp_ns", "source_type"), detectors.fold_buckets(events, ["source_type"], detectors.HoltWinters(season=season), bucket_ns), ["source_type"], bucket_ns).select("event_id", F.col("score").alias("volume"))
     change = detectors.score_events(events.select("event_id", "timestamp_ns", "source_type"), detectors.fold_buckets(events, ["source_type"], detectors.Cusum(warm_up=warm_up), bucket_ns), ["source_type"], bucket_ns).select("event_id", F.col("score").alias("change"))
     sequence = windows.markov_scores(events, ["source_type", "entity"], warm_up=sequence_warm_up).select("event_id", F.col("score").alias("sequence"))
-    scored = events.join(volume, "event_id").join(change, "event_id").join(sequence, "event_id")
+    # what follows reads the scores several times over
+    scored = settled(events.join(volume, "event_id").join(change, "event_id").join(sequence, "event_id"))
     for name in ("volume", "change", "sequence"):
         scored = windows.running_z_by_bucket(scored, ["source_type"], name, bucket_ns * 24, f"z_{name}")
     zs = [F.col("z_volume"), F.col("z_change"), F.col("z_sequence")]
@@ -41,7 +43,8 @@ def anomalies(events: DataFrame, bucket_ns: int, warm_up: int, season: int, sequ
 def analyse(lines: DataFrame, detection_rules: Sequence[rules.Rule] = (), bucket_ns: int = 3_600_000_000_000, warm_up: int = 30, season: int = 24, sequence_warm_up: int = 100, tail: detectors.TailThreshold | None = None, dedup_ns: int = 900_000_000_000) -> DataFrame:
     """Alerts of detectors and rules, deduplicated."""
     events = normalised(lines)
-    scored = anomalies(events, bucket_ns, warm_up, season, sequence_warm_up)
+    wanted = ["event_id", "timestamp_ns", "source_type", "severity_id", "entity", "template_id"]
+    scored = settled(anomalies(events.select(*wanted), bucket_ns, warm_up, season, sequence_warm_up).select(*wanted, "anomaly_score"))
     tails = detectors.tail_anomalies(scored.withColumnRenamed("anomaly_score", "score"), "source_type", tail or detectors.TailThreshold())
     odd = scored.join(tails.where("anomaly").select("event_id"), "event_id", "left_semi")
     found = odd.select(identity.alert_id("ml", F.col("event_id")).alias("alert_id"), F.lit("ml").alias("alert_type"), F.lit("blended").alias("rule_name"), "timestamp_ns", "severity_id", "entity")
