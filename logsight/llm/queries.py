@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, packing, pii, quality, shards, substring_dedup, token_files
+from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, oracles, packing, pii, quality, shards, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,4 +58,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op6_packing, op7_mix_sources, op8_fingerprints, op9_pii, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
