@@ -23,12 +23,25 @@ NAMESPACES = {
 }
 
 
+def _digest(namespace: str, name: Column) -> Column:
+    return F.sha1(F.concat(F.unhex(F.lit(NAMESPACES.get(namespace, namespace).replace("-", ""))), F.encode(name, "UTF-8")))
+
+
+def _from_digest(h: Column) -> Column:
+    """The first 32 hex digits with version and variant bits set; null for null."""
+    variant = F.substring(F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), 1, 1)
+    parts = [F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)]
+    return F.concat(*parts)
+
+
 def uuid5(namespace: str, name: Column) -> Column:
-    """UUID 5 from SHA-1: version and variant bits are set in the hex digits."""
-    space = F.unhex(F.lit(NAMESPACES.get(namespace, namespace).replace("-", "")))
-    h = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
-    variant = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    """UUID 5 of a name; null for a null name."""
+    return _from_digest(_digest(namespace, name))
+
+
+def uuid5_each(namespace: str, names: Column) -> Column:
+    """UUID 5 of each name of an array. Two passes, so that each digest is computed once."""
+    return F.transform(F.transform(names, lambda n: _digest(namespace, n)), _from_digest)
 
 
 def user_parts(raw: Column) -> tuple[Column, Column]:
@@ -72,8 +85,11 @@ def canonical(kind: str, raw: Column) -> Column:
     if kind == "ip":
         return F.when(F.rlike(s, F.lit(rf"^(?:{OCTET}\.){{3}}{OCTET}$")) & ~F.rlike(s, F.lit(r"(^|\.)0[0-9]")), s).when(F.contains(s, F.lit(":")), s)
     if kind == "user":
-        name, domain = user_parts(raw)
-        return F.when(name != "", F.when(domain != "", F.concat_ws(":", domain, name)).otherwise(name))
+        # DOMAIN\\name and name@domain become domain:name; an empty domain leaves the name
+        low = F.lower(s)
+        slash = F.regexp_replace(F.regexp_replace(low, r"^\\\s*", ""), r"^([^\\]+)\\\s*(.*)$", "$1:$2")
+        at = F.regexp_replace(F.regexp_replace(low, r"^(.*)\s*@$", "$1"), r"^(.*?)\s*@([^@]+)$", "$2:$1")
+        return F.when(F.contains(low, F.lit("\\")), F.when(~F.endswith(low, F.lit("\\")), slash)).when(F.contains(low, F.lit("@")), F.when(~F.startswith(low, F.lit("@")), at)).when(low != "", low)
     if kind in ("host", "domain"):
         name = F.regexp_replace(F.lower(s), r"\.+$", "")
         return F.when(name != "", name)
@@ -82,8 +98,7 @@ def canonical(kind: str, raw: Column) -> Column:
 
 def entity_id(kind: str, raw: Column) -> Column:
     """Id of an entity (E13); null if its name is malformed."""
-    name = canonical(kind, raw)
-    return F.when(name.isNotNull() & ~F.contains(name, F.lit("\x00")), uuid5(kind, name))
+    return uuid5(kind, F.when(F.instr(raw, "\x00") == 0, canonical(kind, raw)))
 
 
 def process_ids(raw: Column) -> Column:
@@ -91,12 +106,13 @@ def process_ids(raw: Column) -> Column:
     bare = lambda p: F.rlike(p, F.lit("^[0-9]+$"))
     named = F.transform(F.filter(raw, lambda p: F.contains(p, F.lit(":"))), lambda p: F.element_at(F.split(p, ":"), -1))
     kept = F.filter(raw, lambda p: ~(bare(p) & F.array_contains(named, p)))
-    return F.array_distinct(F.transform(kept, lambda p: uuid5("process", p)))
+    return F.array_distinct(uuid5_each("process", kept))
 
 
 def entity_refs(ips: Column, users: Column, hosts: Column, domains: Column, files: Column, processes: Column) -> Column:
     """All ids of an event: ip, user, host, domain, file, process."""
-    of = lambda kind, values: F.filter(F.transform(values, lambda v: entity_id(kind, v)), lambda i: i.isNotNull())
+    names = lambda kind, values: F.transform(values, lambda v: F.when(F.instr(v, "\x00") == 0, canonical(kind, v)))
+    of = lambda kind, values: uuid5_each(kind, F.filter(names(kind, values), lambda n: n.isNotNull()))
     return F.concat(of("ip", ips), of("user", users), of("host", hosts), of("domain", domains), of("file", files), process_ids(processes))
 
 

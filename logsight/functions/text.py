@@ -71,8 +71,11 @@ def template_params(text: Column, template: Column) -> Column:
 
 def ips(text: Column) -> Column:
     """IPv4, then IPv6 addresses, each once."""
-    six = F.when(F.contains(text, F.lit(":")), _found(text, IPV6)).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.array_distinct(F.concat(_found(text, IPV4), six)), 1, MAX_PER_KIND)
+    none = F.array().cast("array<string>")
+    # an IPv6 address has :: or seven colons; an IPv4 address has a digit before a point
+    six = F.when(F.contains(text, F.lit("::")) | (F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit(""))) >= 7), _found(text, IPV6)).otherwise(none)
+    four = F.when(text.isNull() | F.rlike(text, F.lit(r"[0-9]\.[0-9]")), _found(text, IPV4)).otherwise(none)
+    return F.slice(F.array_distinct(F.concat(four, six)), 1, MAX_PER_KIND)
 
 
 def users(text: Column) -> Column:
