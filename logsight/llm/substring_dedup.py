@@ -7,8 +7,9 @@ window whose words also start in a document with a smaller doc_id are removed.
    equal passages share; each window has one anchor at a border of symbols.
 2. Spark groups the anchor keys of all documents. Keys of a single document
    end here, which is nearly all of them.
-3. Windows whose anchor is shared are hashed in full to 128 bits; Spark takes
-   each hash's smallest document and joins it back: that verifies the repeat.
+3. Windows whose anchor is shared are hashed in full to 128 bits, each hash once
+   a document; Spark takes each hash's smallest document and joins it back:
+   that verifies the repeat.
 4. Documents with covered windows are cut; all others keep their words.
 
 Documents with equal words are handled first: all but the smallest doc_id lose
@@ -17,7 +18,8 @@ every word if they have a window at all, and take no part in 2 and 3.
 Cases: a null or empty text has no words and is kept as such; texts shorter
 than a window lose nothing; rows with a null doc_id are returned whole and are
 nobody's source; rows that repeat a doc_id count as one document id (a passage
-in both is not a repeat) and each gives a row. Other columns are ignored.
+in both is not a repeat) and each gives a row, with the larger of the two cuts
+if their words differ. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,26 +75,30 @@ def _scan(window: int):
     return scan
 
 
+def _candidates(frame: pd.DataFrame, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, window start in its text, two hashes) of the windows whose anchor is shared, by text."""
+    for numbers, values, docs, first in _chunks(frame["text"].tolist()):
+        anchors = recompress.window_anchors(values, docs, window).view(np.int64)
+        ends = np.append(first[1:], len(values))
+        at = [np.zeros(0, np.int64)]
+        for k, i in enumerate(numbers):
+            if ends[k] - first[k] >= window:
+                own = anchors[first[k] : ends[k] - window + 1]
+                at.append(np.flatnonzero(np.isin(own, np.asarray(frame["keys"].iloc[i]))) + first[k])
+        at = np.concatenate(at)
+        one, two = (recompress.span_hashes(values, at, window, second).view(np.int64) for second in (False, True))
+        yield np.asarray(numbers)[docs[at]], at - first[docs[at]], one, two
+
+
 def _windows(window: int):
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for numbers, values, docs, first in _chunks(frame["text"].tolist()):
-                anchors = recompress.window_anchors(values, docs, window).view(np.int64)
-                starts, own = [], []
-                for k, i in enumerate(numbers):
-                    n = int((first[k + 1] if k + 1 < len(first) else len(values)) - first[k])
-                    if n >= window:
-                        at = np.flatnonzero(np.isin(anchors[first[k] : first[k] + n - window + 1], np.asarray(frame["keys"].iloc[i])))
-                        starts.append(at + first[k])
-                        own.append(np.full(len(at), i))
-                if starts:
-                    at, i = np.concatenate(starts), np.concatenate(own)
-                    yield pd.DataFrame({
-                        "h1": recompress.span_hashes(values, at, window).view(np.int64),
-                        "h2": recompress.span_hashes(values, at, window, True).view(np.int64),
-                        "doc_id": frame["doc_id"].to_numpy()[i],
-                        "start": (at - first[docs[at]]).astype(np.int32),
-                    })
+            for number, _, one, two in _candidates(frame, window):
+                order = np.lexsort((two, one, number))
+                number, one, two = number[order], one[order], two[order]
+                new = np.ones(len(one), bool)
+                new[1:] = (number[1:] != number[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                yield pd.DataFrame({"h1": one[new], "h2": two[new], "doc_id": frame["doc_id"].to_numpy()[number[new]]})
 
     return windows
 
@@ -100,18 +106,21 @@ def _windows(window: int):
 def _cut(window: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            starts: dict[int, np.ndarray] = {}
+            for number, start, one, _ in _candidates(frame, window):
+                for i in np.unique(number):
+                    own = number == i
+                    starts[int(i)] = start[own][np.isin(one[own], np.asarray(frame["covered"].iloc[i]))]
             removed, sha = [], []
-            for text, starts in zip(frame["text"], frame["starts"], strict=True):
+            for i, text in enumerate(frame["text"]):
                 parts = (text or "").encode().split()
                 change = np.zeros(len(parts) + 1, np.int64)
-                starts = np.unique(np.asarray(starts))
-                starts = starts[starts + window <= len(parts)]
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + window, -1)
+                change[starts.get(i, np.zeros(0, np.int64))] += 1
+                change[starts.get(i, np.zeros(0, np.int64)) + window] -= 1
                 gone = np.cumsum(change)[:-1] > 0
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(b" ".join([w for w, g in zip(parts, gone, strict=True) if not g])).hexdigest())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "whole": frame["whole"], "n_removed": removed, "cut_sha": sha})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_removed": removed, "cut_sha": sha})
 
     return cut
 
@@ -130,12 +139,11 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     hits = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     affected = materialize(texts.join(hits, "doc_id"), "op4-affected")
-    found = materialize(affected.mapInPandas(_windows(window), "h1 long, h2 long, doc_id long, start int"), "op4-windows")
+    found = materialize(affected.mapInPandas(_windows(window), "h1 long, h2 long, doc_id long"), "op4-windows")
     lowest = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    covered = found.join(lowest, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    # rows that repeat a doc_id are told apart by their words
-    to_cut = affected.select("doc_id", "text", F.lit(None).cast("binary").alias("whole")).join(covered, "doc_id")
-    cuts = to_cut.mapInPandas(_cut(window), "doc_id long, whole binary, n_removed long, cut_sha string").drop("whole").dropDuplicates(["doc_id"])
+    covered = found.join(lowest, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h1").alias("covered"))
+    # rows that repeat a doc_id with other words: the one with most to remove stands for both
+    cuts = affected.join(covered, "doc_id").mapInPandas(_cut(window), "doc_id long, n_removed long, cut_sha string").groupBy("doc_id").agg(F.max(F.struct("n_removed", "cut_sha")).alias("c")).select("doc_id", "c.*")
     copy = ~origin & (F.col("n_words") >= window)
     return base.drop("keys").join(cuts, "doc_id", "left").select(
         "doc_id",
