@@ -22,10 +22,16 @@ def byte_shards(documents: DataFrame, n_shards: int = 16) -> DataFrame:
     narrow = documents.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit(1).alias("one")
     )
-    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    placed = global_prefix(narrow, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], {"before": "size", "row": "one"}, "op3-ranges")
-    middle = (2 * F.col("before") + F.col("size")).cast("decimal(38,0)") * n_shards
-    cut = placed.join(F.broadcast(total)).withColumn("shard", F.floor(middle / (2 * F.col("total")).cast("decimal(38,0)")).cast("int"))
+    return deal(narrow, n_shards)
+
+
+def deal(sized: DataFrame, n_shards: int) -> DataFrame:
+    """The rows of `byte_shards` from (doc_id, size, text_crc32, one); `one` is 1."""
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    placed = global_prefix(sized, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], {"before": "size", "row": "one"}, "op3-ranges")
+    # whole numbers throughout: a decimal quotient is rounded, and a last small document would go to shard n_shards
+    twice = [f"CAST({x} AS DECIMAL(38,0))" for x in ("2 * before + size", "2 * total")]
+    cut = placed.join(F.broadcast(total)).withColumn("shard", F.expr(f"{twice[0]} * {n_shards} div {twice[1]}").cast("int"))
     # a shard's first row: one row a range and shard, so nothing large is gathered
     firsts = cut.groupBy("shard").agg(F.min("row").alias("first_row"))
     return cut.join(F.broadcast(firsts), "shard").select(
