@@ -11,7 +11,9 @@ beside it, hence on at most `limit` more words to either side. After all rounds
 a border is decided by `reach` words on either side: equal texts have equal
 borders but for `reach` words at their ends. Symbols other than long runs have
 at most `longest` words, so every stretch of `longest` words inside holds a
-border or lies in one long run, all of whose places are then taken as borders.
+border or lies in one long run. A place is taken as a border too if the words
+before it, `reach` or `longest` if that is less, are all equal. That is decided
+by `reach` words as well, and leaves no stretch in a run without a border.
 """
 
 from __future__ import annotations
@@ -69,9 +71,12 @@ def borders(values: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
         start = start[keep]
     found = np.zeros(n, bool)
     found[start] = True
-    size = np.diff(np.append(start, n))
-    for i in np.flatnonzero(size >= longest):
-        found[start[i] : start[i] + size[i]] = True
+    if reach and n:
+        # places in a run, by the words before them alone
+        back = min(reach, longest)
+        fresh = np.append(True, (values[1:] != values[:-1]) | (docs[1:] != docs[:-1]))
+        began = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        found[1:] |= np.arange(1, n) - began[:-1] >= back
     # a border needs `reach` words of the same document on either side
     inside = np.zeros(n, bool)
     if n >= 2 * reach and reach:
