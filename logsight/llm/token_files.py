@@ -121,12 +121,10 @@ def write_token_files(
             if out is None:
                 part = batch.column("part")[0].as_py()
                 out = _Writer(folder, part, length, per_batch, pa.uint16() if id_bits == 16 else pa.uint32())
-            ids = []
-            for t in batch.column("text"):
-                one = encoder.encode(t.as_py())
-                if id_bits == 16 and len(one) and one.max() > 65_535:
-                    raise ValueError("the vocabulary needs id_bits=32")
-                ids.append(np.concatenate([one, end]))
+            ids = encoder.encode_many(batch.column("text").to_pylist())
+            if id_bits == 16 and max((int(x.max()) for x in ids if len(x)), default=0) > 65_535:
+                raise ValueError("the vocabulary needs id_bits=32")
+            ids = [np.concatenate([x, end]) for x in ids]
             out.add(batch.column("doc_id").to_pylist(), ids)
         if out is not None:
             row = (part, *out.close())
