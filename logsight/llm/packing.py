@@ -10,17 +10,20 @@ made from the number of pieces of each length, at most `length` numbers:
    by a linear program over these few sizes, solved by column generation with
    a knapsack, and rounded down.
 3. The actual lengths take the places of the rounded ones, longest first.
-4. Pieces left over, and then the small ones, go best-fit, longest first, into
-   the room left, or into new sequences.
-
-Rounding costs room where the small pieces are too few to fill what it leaves,
-so the plan is made for several bounds between small and large and the one with
-the fewest sequences is used; at a bound of half the length each sequence holds
-one large piece at most, and the plan is that of best-fit decreasing.
-
-The plan says, for runs of equal-length pieces, which sequences and offsets
-they get. Spark ranks the pieces of each length (by ranges, so the many pieces
-of full length are spread) and looks their places up.
+4. Large pieces left over by the rounding down are grouped and planned in the
+   same way again, with finer groups as they are fewer, until a round places
+   less than a fifth of them; then the configurations used by half a sequence or
+   more are rounded up, as far as there are pieces for them.
+5. What is left, and then the small ones, go best-fit, longest first, into the
+   room left, or into new sequences.
+
+The plan says, for runs of pieces in the order of length, which sequences and
+offsets they get. Spark numbers the pieces by ranges of that order, so the many
+of full length are spread, and each looks its place up by its number. Only the
+counts (at most `length` rows) come to the driver. The plan that goes to the
+tasks is a table of three numbers a run. A plan has a few runs for each length
+and configuration: 3,500 for 100,000 pieces, and as many for 500 times that.
+`PLACES` runs are the limit; a plan of more is made again with half the groups.
 
 Cases: null and empty texts are one piece of the end id; repeated rows are
 packed one by one; an empty table gives no rows. Other columns are ignored.
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ from logsight.llm import tokens
 from logsight.llm.common import global_prefix, materialize, small_batches
 
 Pattern = tuple[int, ...]
+#: Runs that a plan may have: 24 bytes each, so at most 24 MB go to each executor.
+PLACES = 1_000_000
 
 
 def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str | None = None, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -52,8 +58,8 @@ def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str |
         encoder, end = tokens.encoder(path), np.array([end_id], np.uint32)
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                ids = np.concatenate([encoder.encode(text), end])
+            for doc_id, own in zip(frame["doc_id"].astype("Int64"), encoder.encode_many(frame["text"].tolist()), strict=True):
+                ids = np.concatenate([own, end])
                 at = 0
                 for number in range(-(-len(ids) // length)):
                     stop = at + (len(ids) % length or length) if number == 0 else at + length
@@ -68,35 +74,40 @@ def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str |
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
 
 
-def _knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits."""
-    best = np.zeros(room + 1)
-    pick = np.full(room + 1, -1)
-    for r in range(int(sizes.min()), room + 1):
-        fits = sizes <= r
-        value = np.where(fits, best[np.where(fits, r - sizes, 0)] + worth, -1.0)
-        g = int(value.argmax())
-        best[r], pick[r] = (value[g], g) if value[g] > best[r - 1] else (best[r - 1], -1)
-    counts, r = np.zeros(len(sizes)), room
-    while r > 0:
-        if pick[r] < 0:
-            r -= 1
-        else:
-            counts[pick[r]] += 1
-            r -= int(sizes[pick[r]])
-    return float(best[room]), counts
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 400) -> list[tuple[np.ndarray, float]]:
+class _Knapsack:
+    """The most valuable multiset of given sizes that fits, for changing values."""
+
+    def __init__(self, sizes: np.ndarray, room: int):
+        self.sizes, self.room = sizes, room
+        left = np.arange(room + 1)[:, None] - sizes[None, :]
+        self.fits, self.left = left >= 0, np.maximum(left, 0)
+        self.depth = room // int(sizes.min())
+
+    def best(self, worth: np.ndarray) -> tuple[float, np.ndarray]:
+        most, picks = [np.zeros(self.room + 1)], []
+        for _ in range(self.depth):  # one more piece in each level
+            value = np.where(self.fits, most[-1][self.left] + worth, 0.0)
+            pick = value.argmax(axis=1)
+            most.append(value[np.arange(self.room + 1), pick])
+            picks.append(np.where(most[-1] > most[-2] + 1e-12, pick, -1))
+        counts, r = np.zeros(len(self.sizes)), self.room
+        for pick in reversed(picks):
+            if pick[r] >= 0:
+                counts[pick[r]] += 1
+                r -= int(self.sizes[pick[r]])
+        return float(most[-1][self.room]), counts
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000) -> list[tuple[np.ndarray, float]]:
     """(pieces of each size, how many sequences) of a least-sequences linear program, by column generation."""
     basis = np.diag((room // sizes).astype(float))
     columns = [basis[:, i].copy() for i in range(len(sizes))]
     inverse = np.linalg.inv(basis)
     amounts = inverse @ demand
+    knapsack = _Knapsack(sizes, room)
     for _ in range(steps):
-        worth = inverse.sum(axis=0)
-        value, column = _knapsack(sizes, worth, room)
-        if value <= 1 + 1e-7:
+        value, column = knapsack.best(inverse.sum(axis=0))
+        if value <= 1 + 1e-6:
             break
         change = inverse @ column
         ratio = np.where(change > 1e-12, amounts / np.where(change > 1e-12, change, 1), np.inf)
@@ -116,6 +127,9 @@ class _Queue:
     def __init__(self) -> None:
         self.runs: list[list[int]] = []
 
+    def size(self) -> int:
+        return sum(n for _, n in self.runs)
+
     def take(self, n: int) -> list[list[int]]:
         out = []
         while n > 0:
@@ -129,101 +143,113 @@ class _Queue:
         return out
 
 
-#: Shares of the sequence length up to which a piece may count as small; the plan with the fewest sequences is used.
-SMALL = (0.25, 0.35, 0.5)
+class _Open:
+    """Sequences with room, by the room they have; best-fit takes the least that is enough."""
 
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.full: list[tuple[Pattern, int]] = []
+        self.by_room: dict[int, list[list]] = {}
+        self.rooms: list[int] = []
 
-def plan(counts: dict[int, int], length: int, small: tuple[float, ...] = SMALL, groups: int = 32) -> list[tuple[Pattern, int]]:
-    """(lengths in a sequence, number of such sequences) that use up `counts` (pieces of each length)."""
-    return min((plan_for(counts, length, share, groups) for share in small), key=lambda p: sum(n for _, n in p))
+    def put(self, pattern: Pattern, n: int) -> None:
+        room = self.length - sum(pattern)
+        if not room:
+            self.full.append((pattern, n))
+            return
+        if room not in self.by_room:
+            self.by_room[room] = []
+            bisect.insort(self.rooms, room)
+        self.by_room[room].append([pattern, n])
+
+    def put_slots(self, slots: list[list[list[int]]]) -> None:
+        """Sequences whose k-th pieces are the runs of slots[k], as runs in which every slot has one length."""
+        while slots[0]:
+            m = min(s[0][1] for s in slots)
+            self.put(tuple(s[0][0] for s in slots), m)
+            for s in slots:
+                s[0][1] -= m
+                if not s[0][1]:
+                    s.pop(0)
+
+    def fill(self, x: int, n: int) -> None:
+        """n pieces of length x, best-fit; in new sequences as many as fit when there is no room."""
+        while n:
+            i = bisect.bisect_left(self.rooms, x)
+            if i == len(self.rooms):
+                each = min(n, max(1, self.length // x))
+                self.put((x,) * each, n // each)
+                n %= each
+                continue
+            room = self.rooms[i]
+            entry = self.by_room[room][-1]
+            m = min(n, entry[1])
+            entry[1] -= m
+            if not entry[1]:
+                self.by_room[room].pop()
+                if not self.by_room[room]:
+                    del self.by_room[room]
+                    self.rooms.pop(i)
+            self.put((*entry[0], x), m)
+            n -= m
 
+    def patterns(self) -> list[tuple[Pattern, int]]:
+        return self.full + [(p, n) for entries in self.by_room.values() for p, n in entries]
 
-def plan_for(counts: dict[int, int], length: int, small: float, groups: int) -> list[tuple[Pattern, int]]:
-    out: list[tuple[Pattern, int]] = []
-    if counts.get(length):
-        out.append(((length,), counts[length]))
-    large = sorted((x for x in counts if small * length < x < length and counts[x]), reverse=True)
-    total = sum(counts[x] for x in large)
-    per = max(1, -(-total // groups))
+
+def _grouped(counts: dict[int, int], groups: int) -> list[_Queue]:
+    """The pieces, longest first, in groups of equal cardinality (the last may have fewer)."""
+    per = -(-sum(counts.values()) // groups)
     queues: list[_Queue] = []
-    room_left = 0
-    for x in large:
+    left = 0
+    for x in sorted(counts, reverse=True):
         n = counts[x]
         while n:
-            if not room_left:
+            if not left:
                 queues.append(_Queue())
-                room_left = per
-            m = min(n, room_left)
+                left = per
+            m = min(n, left)
             queues[-1].runs.append([x, m])
             n -= m
-            room_left -= m
-    open_: dict[int, list[list]] = {}
-    spaces: list[int] = []
+            left -= m
+    return queues
 
-    def put(space: int, pattern: Pattern, n: int) -> None:
-        if not space:
-            out.append((pattern, n))
-            return
-        if space not in open_:
-            open_[space] = []
-            bisect.insort(spaces, space)
-        open_[space].append([pattern, n])
-
-    if queues:
-        sizes = np.array([q.runs[0][0] for q in queues])
-        demand = np.array([float(sum(n for _, n in q.runs)) for q in queues])
-        for column, amount in configurations(sizes, demand, length):
-            n = int(amount + 1e-9)
-            if n <= 0:
-                continue
-            slots = [queues[g].take(n) for g in range(len(queues)) for _ in range(int(column[g]))]
-            # runs of sequences in which every slot has one length
-            while slots[0]:
-                m = min(s[0][1] for s in slots)
-                pattern = tuple(s[0][0] for s in slots)
-                put(length - sum(pattern), pattern, m)
-                for s in slots:
-                    s[0][1] -= m
-                    if not s[0][1]:
-                        s.pop(0)
-    rest: dict[int, int] = {}
+
+def _left(queues: list[_Queue]) -> dict[int, int]:
+    out: dict[int, int] = {}
     for q in queues:
         for x, n in q.runs:
-            rest[x] = rest.get(x, 0) + n
-    for x, n in counts.items():
-        if n and x <= small * length and x < length:
-            rest[x] = n
-    for x in sorted(rest, reverse=True):
-        n = rest[x]
-        while n:
-            i = bisect.bisect_left(spaces, x)
-            if i == len(spaces):
-                # no room anywhere: new sequences, each with as many of this length as fit
-                each = max(1, length // x)
-                m = n // each
-                if m:
-                    put(length - each * x, (x,) * each, m)
-                    n -= m * each
-                if n and n < each:
-                    put(length - n * x, (x,) * n, 1)
-                    n = 0
-                continue
-            space = spaces[i]
-            entry = open_[space][-1]
-            m = min(n, entry[1])
-            entry[1] -= m
-            if not entry[1]:
-                open_[space].pop()
-                if not open_[space]:
-                    del open_[space]
-                    spaces.pop(i)
-            put(space - x, (*entry[0], x), m)
-            n -= m
-    for entries in open_.values():
-        out += [(p, n) for p, n in entries]
+            out[x] = out.get(x, 0) + n
     return out
 
 
+def plan(counts: dict[int, int], length: int, small: float = 0.3, groups: int = 256) -> list[tuple[Pattern, int]]:
+    """(lengths in a sequence, number of such sequences) that use up `counts` (pieces of each length)."""
+    open_ = _Open(length)
+    if counts.get(length):
+        open_.put((length,), counts[length])
+    rest = {x: n for x, n in counts.items() if n and small * length < x < length}
+    while total := sum(rest.values()):
+        queues = _grouped(rest, groups)
+        found = configurations(np.array([q.runs[0][0] for q in queues]), np.array([float(q.size()) for q in queues]), length)
+        for column, amount in found:
+            if (n := int(amount + 1e-9)) > 0:
+                open_.put_slots([queues[g].take(n) for g in np.flatnonzero(column) for _ in range(int(column[g]))])
+        rest = _left(queues)
+        if 5 * sum(rest.values()) <= 4 * total:
+            continue
+        for column, amount in sorted(found, key=lambda f: int(f[1] + 1e-9) - f[1]):
+            has = all(queues[g].size() >= column[g] for g in np.flatnonzero(column))
+            if amount - int(amount + 1e-9) >= 0.5 and has:
+                open_.put_slots([queues[g].take(1) for g in np.flatnonzero(column) for _ in range(int(column[g]))])
+        rest = _left(queues)
+        break
+    rest |= {x: n for x, n in counts.items() if n and x <= small * length and x < length}
+    for x in sorted(rest, reverse=True):
+        open_.fill(x, rest[x])
+    return open_.patterns()
+
+
 def places(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): where the pieces of a length go, by their rank."""
     used: dict[int, int] = {}
@@ -239,23 +265,33 @@ def places(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(pieces: DataFrame, length: int = 1024, small: tuple[float, ...] = SMALL, groups: int = 32) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 1024, small: float = 0.3, groups: int = 256) -> DataFrame:
     """Add sequence_id and offset to the pieces of `token_pieces`."""
     spark = pieces.sparkSession
     kept = materialize(pieces.withColumn("one", F.lit(1)), "op6-pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    names = "length long, low long, high long, first_sequence long, offset long"
-    where = spark.createDataFrame(places(plan(counts, length, small, groups)), names)
-    starts, before = [], 0
+    before, total = {}, 0
     for x in sorted(counts):
-        starts.append((x, before))
-        before += counts[x]
+        before[x] = total
+        total += counts[x]
+    while len(runs := places(plan(counts, length, small, groups))) > PLACES and groups > 1:
+        groups //= 2
+    rows = sorted((before[x] + low, first, offset) for x, low, _, first, offset in runs)
+    where = spark.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 3))
     ranked = global_prefix(kept, [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], {"row": "one"}, "op6-order")
-    first = spark.createDataFrame(starts, "length long, before long")
-    with_rank = ranked.join(F.broadcast(first), "length").withColumn("rank", F.col("row") - F.col("before"))
-    found = with_rank.alias("p").join(F.broadcast(where).alias("w"), (F.col("p.length") == F.col("w.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    own = [c for c in pieces.columns]
-    return found.select(*(F.col(f"p.{c}") for c in own), (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, firsts, offsets = where.value.T
+        for batch in batches:
+            row = batch.column("row").to_numpy()
+            at = np.searchsorted(lows, row, "right") - 1
+            found = [pa.array(firsts[at] + row - lows[at]), pa.array(offsets[at])]
+            own = pa.Table.from_batches([batch]).drop(["row"]).to_batches() if batch.num_rows else []
+            for b in own:
+                yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, "sequence_id", "offset"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return ranked.select(*pieces.columns, F.col("row").cast("long")).mapInArrow(look_up, f"{own}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -217,6 +217,20 @@ def test_linear_program_is_close_to_its_bound():
     assert (sizes @ demand) / 100 <= total <= (sizes @ demand) / 100 * 1.15
 
 
+def test_plans_of_many_pieces_are_close_to_the_bound():
+    """Lengths of an uneven spread; the same plan shape at 1,000 and 10,000,000 pieces."""
+    rng = np.random.default_rng(4)
+    shares = Counter(np.minimum(1023, np.exp(rng.normal(5.8, 0.9, 1000)).astype(int) + 1).tolist())
+    runs = []
+    for times in (1, 100, 10_000):
+        counts = {x: n * times + (x * x) % times for x, n in shares.items()}
+        patterns = packing.plan(counts, 1024)
+        least = -(-sum(x * n for x, n in counts.items()) // 1024)
+        assert sum(n for _, n in patterns) <= least * 1.012 + 1
+        runs.append(len(packing.places(patterns)))
+    assert runs[2] < 4 * runs[1] + 1000
+
+
 def test_packing_places(spark, odd):
     length, lib = 64, tokenizer()
     pieces = packing.token_pieces(odd, length, keep_ids=True)
