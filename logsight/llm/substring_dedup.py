@@ -3,13 +3,13 @@
 A window is `window` consecutive words of one document. Words covered by a
 window whose words also start in a document with a smaller doc_id are removed.
 
-1. Recompression (see `recompress`) gives each document high-level symbols that
-   equal passages share; each window has one anchor at a border of symbols.
-2. Spark groups the anchor keys of all documents. Keys of a single document
-   end here, which is nearly all of them.
-3. Windows whose anchor is shared are hashed in full to 128 bits, each hash once
-   a document; Spark takes each hash's smallest document and joins it back:
-   that verifies the repeat.
+1. Recompression (see `recompress`) names the symbols of each document; each
+   window has one anchor, a border of symbols with the names of those round it.
+2. Spark groups the anchors of all documents. Those of a single document end
+   here, which is nearly all of them.
+3. Windows whose anchor is shared are named by the symbols that they consist of
+   (128 bits), each name once a document; Spark takes each name's smallest
+   document and joins it back: that verifies the repeat.
 4. Documents with covered windows are cut; all others keep their words.
 
 Documents with equal words are handled first: all but the smallest doc_id lose
@@ -25,6 +25,7 @@ if their words differ. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from logsight.llm import recompress, words
 from logsight.llm.common import materialize, small_batches
 
+#: Parts that each group of equal texts is dealt into.
+SALTS = 16
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -63,7 +66,7 @@ def _scan(window: int):
             texts = frame["text"].tolist()
             n_words, keys, whole, sha = [], [], [], []
             for numbers, values, docs, first in _chunks(texts):
-                anchors = recompress.window_anchors(values, docs, window)
+                anchors = recompress.window_anchors(recompress.symbols(values, docs, window), values, docs, window)
                 for k, i in enumerate(numbers):
                     own = values[first[k] : first[k] + (n := int((first[k + 1] if k + 1 < len(first) else len(values)) - first[k]))]
                     n_words.append(n)
@@ -78,7 +81,8 @@ def _scan(window: int):
 def _candidates(frame: pd.DataFrame, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text number, window start in its text, two hashes) of the windows whose anchor is shared, by text."""
     for numbers, values, docs, first in _chunks(frame["text"].tolist()):
-        anchors = recompress.window_anchors(values, docs, window).view(np.int64)
+        found = recompress.symbols(values, docs, window)
+        anchors = recompress.window_anchors(found, values, docs, window).view(np.int64)
         ends = np.append(first[1:], len(values))
         at = [np.zeros(0, np.int64)]
         for k, i in enumerate(numbers):
@@ -86,7 +90,7 @@ def _candidates(frame: pd.DataFrame, window: int) -> Iterator[tuple[np.ndarray,
                 own = anchors[first[k] : ends[k] - window + 1]
                 at.append(np.flatnonzero(np.isin(own, np.asarray(frame["keys"].iloc[i]))) + first[k])
         at = np.concatenate(at)
-        one, two = (recompress.span_hashes(values, at, window, second).view(np.int64) for second in (False, True))
+        one, two = (recompress.passage_names(found, at, window, second).view(np.int64) for second in (False, True))
         yield np.asarray(numbers)[docs[at]], at - first[docs[at]], one, two
 
 
@@ -103,14 +107,29 @@ def _windows(window: int):
     return windows
 
 
+def _among(one: np.ndarray, two: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which pairs (one, two) are among the pairs (h1, h2)."""
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    at, end = np.searchsorted(h1, one, "left"), np.searchsorted(h1, one, "right")
+    found = np.zeros(len(one), bool)
+    while (at < end).any():  # once, but for pairs that differ in the second only
+        k = np.flatnonzero(at < end)
+        found[k] |= h2[at[k]] == two[k]
+        at[k] += 1
+    return found
+
+
 def _cut(window: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             starts: dict[int, np.ndarray] = {}
-            for number, start, one, _ in _candidates(frame, window):
-                for i in np.unique(number):
-                    own = number == i
-                    starts[int(i)] = start[own][np.isin(one[own], np.asarray(frame["covered"].iloc[i]))]
+            for number, start, one, two in _candidates(frame, window):
+                # rows of a text stand together
+                edges = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number)) if len(number) else [0]
+                for a, b in itertools.pairwise(edges):
+                    i = int(number[a])
+                    starts[i] = start[a:b][_among(one[a:b], two[a:b], np.asarray(frame["h1"].iloc[i]), np.asarray(frame["h2"].iloc[i]))]
             removed, sha = [], []
             for i, text in enumerate(frame["text"]):
                 parts = (text or "").encode().split()
@@ -131,17 +150,22 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long"), "text")
     scanned = materialize(texts.mapInPandas(_scan(window), "doc_id long, n_words long, keys array<long>, whole binary, sha string"), "op4-anchors")
     identified = scanned.where(F.col("doc_id").isNotNull())
-    first = identified.groupBy("whole").agg(F.min("doc_id").alias("first_doc"))
-    base = materialize(scanned.join(first, "whole", "left"), "op4-firsts")
+    # groups of equal words, each for SALTS parts of its documents, so that a large group is spread
+    groups = identified.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    first = groups.select("whole", "first_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = scanned.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    base = salted.join(first, ["whole", "salt"], "left").withColumn("first_doc", F.coalesce("first_doc", "doc_id")).drop("salt", "whole")
+    base = materialize(base, "op4-firsts")
     origin = F.col("doc_id") == F.col("first_doc")
 
+    # what is joined back is written first: then both sides are dealt anew, and Spark can split a key of very many rows
     keys = base.where(origin).select("doc_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    shared = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "op4-shared")
     hits = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     affected = materialize(texts.join(hits, "doc_id"), "op4-affected")
     found = materialize(affected.mapInPandas(_windows(window), "h1 long, h2 long, doc_id long"), "op4-windows")
-    lowest = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    covered = found.join(lowest, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h1").alias("covered"))
+    lowest = materialize(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "op4-lowest")
+    covered = found.join(lowest, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("c")).select("doc_id", "c.h1", "c.h2")
     # rows that repeat a doc_id with other words: the one with most to remove stands for both
     cuts = affected.join(covered, "doc_id").mapInPandas(_cut(window), "doc_id long, n_removed long, cut_sha string").groupBy("doc_id").agg(F.max(F.struct("n_removed", "cut_sha")).alias("c")).select("doc_id", "c.*")
     copy = ~origin & (F.col("n_words") >= window)

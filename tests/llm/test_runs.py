@@ -15,7 +15,7 @@ def test_runs_at_window_starts(seed, long, short, n, window):
     keys = []
     for size in (long, short):
         v = np.concatenate([np.repeat(run, size), rest])
-        anchors = recompress.window_anchors(v, np.zeros(len(v), int), window)
+        anchors = recompress.window_anchors(recompress.symbols(v, np.zeros(len(v), int), window), v, np.zeros(len(v), int), window)
         keys.append({bytes(v[i : i + window]): anchors[i] for i in range(len(v) - window + 1)})
         assert np.iinfo(np.uint64).max not in keys[-1].values()
     assert all(keys[0][w] == keys[1][w] for w in keys[0].keys() & keys[1].keys())
@@ -29,3 +29,27 @@ def test_a_repeat_behind_runs_is_removed(spark):
         rows += [(2 * k, f"x{k} " * 30 + passage), (2 * k + 1, f"x{k} " * 17 + passage)]
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 50 * (i % 2) for i in range(80)}
+
+
+@given(st.integers(0, 2**32), st.integers(1, 4), st.sampled_from([6, 20, 40, 44, 49, 50, 60]))
+@settings(max_examples=100, deadline=None)
+def test_passages_are_named_by_what_they_say(seed, letters, window):
+    """Equal passages, and only they, have equal names and anchors, wherever they stand."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(150, 300))
+    v = words.mix(rng.integers(0, letters, n).astype(np.uint64))
+    v[n // 2 : n // 2 + 65] = v[5:70]
+    docs = np.repeat([0, 1], [n // 2, n - n // 2])
+    found = recompress.symbols(v, docs, window)
+    at = np.array([i for i in range(n - window + 1) if docs[i] == docs[i + window - 1]])
+    anchors = recompress.window_anchors(found, v, docs, window)[at]
+    named = list(zip(recompress.passage_names(found, at, window).tolist(), recompress.passage_names(found, at, window, True).tolist(), anchors.tolist(), strict=True))
+    by_words = {}
+    for i, name in zip(at.tolist(), named, strict=True):
+        assert by_words.setdefault(bytes(v[i : i + window]), name) == name
+    assert len({x[:2] for x in by_words.values()}) == len(by_words)
+
+
+def test_pairs_are_looked_up_by_both_hashes():
+    one, two = np.array([1, 1, 1, 2, 3]), np.array([5, 6, 7, 5, 0])
+    assert substring_dedup._among(one, two, np.array([3, 1, 1, 9]), np.array([1, 7, 5, 9])).tolist() == [True, False, True, False, False]
