@@ -82,13 +82,24 @@ def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, str], labe
     return out.drop(*names, *(f"_s_{n}" for n in sums))
 
 
+#: Parts that the rows of one key are dealt into for a join.
+SALTS = 8
+
+
+def join_in_parts(rows: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
+    """Inner join of rows with `one` (a row for each key), each key's rows dealt into parts by the column `other`."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of `edges`; component is the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step takes a minimum by
-    key, which Spark combines before the shuffle, and joins it back, so a node
-    of very many links is not gathered in one task. Each round is written to
-    the shared folder.
+    key, which Spark combines before the shuffle, and joins it back to the links
+    of a node in `SALTS` parts, so a node of very many links is not gathered in
+    one task. Each round is written to the shared folder.
     """
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     pairs = materialize(pairs, "cc")
@@ -100,10 +111,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         seen = tuple(stat)
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = join_in_parts(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # every link now goes from a larger u to a smaller v
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_in_parts(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         discard(pairs)
         pairs = step

@@ -16,8 +16,6 @@ separate rows that link with each other. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,11 +114,3 @@ def near_duplicate_vectors(
     out = valid.join(groups, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def pair_bounds(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[float, float]]:
-    """(int8 product, bound on its distance from the cosine) of row pairs; used to test the bound."""
-    unit = [x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b)]
-    (qa, sa, na, ea), (qb, sb, _, eb) = (_quantise(x) for x in unit)
-    for i in range(len(a)):
-        yield float(qa[i].astype(np.int64) @ qb[i].astype(np.int64) * sa[i] * sb[i]), float(ea[i] + na[i] * eb[i])

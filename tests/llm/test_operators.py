@@ -98,11 +98,19 @@ def test_equal_windows_have_equal_anchors(letters, cut, pad):
 # 1 ---------------------------------------------------------------------------
 
 
+def pair_bounds(a, b):
+    """(int8 product, bound on its distance from the cosine) of row pairs."""
+    unit = [x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b)]
+    (qa, sa, na, ea), (qb, sb, _, eb) = (embed_dedup._quantise(x) for x in unit)
+    for i in range(len(a)):
+        yield float(qa[i].astype(np.int64) @ qb[i].astype(np.int64) * sa[i] * sb[i]), float(ea[i] + na[i] * eb[i])
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 64)), rng.normal(size=(500, 64)) * rng.random((500, 1)) * 100
     true = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
-    for (near, slack), t in zip(embed_dedup.pair_bounds(a, b), true, strict=True):
+    for (near, slack), t in zip(pair_bounds(a, b), true, strict=True):
         assert abs(near - t) <= slack + 1e-9
 
 
@@ -377,6 +385,24 @@ def test_near_duplicates_against_brute_force(spark, width, num, m, block):
     assert len({c for _, c in got.values()}) < len(rows) - 100
 
 
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    """Id 5 has three texts: it is linked with the near copies of each."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(5000)], 120)) for _ in range(4)]
+    rows = [(5, texts[0], "s"), (5, texts[1], "s"), (5, texts[1], "s"), (5, texts[2], "s"), (2, texts[0] + " end", "s"), (9, "start " + texts[1], "s"), (7, texts[2] + " more", "s"), (8, texts[3], "s"), (1, texts[3] + " x", "s"), (6, None, "s"), (6, texts[3], "s")]
+    got = minhash_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {5: 2, 2: 2, 9: 2, 7: 2, 8: 1, 1: 1, 6: 1}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_parts_of_a_large_bucket_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PART", 7)
+    rows = near_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(documents(spark, rows), block=9).collect()}
+    assert got == brute_groups(rows, 3, 85, 100)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows())
