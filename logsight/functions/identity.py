@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 import unicodedata
 
 import pandas as pd
@@ -54,36 +53,46 @@ def user_parts(raw: Column) -> tuple[Column, Column]:
     return name, domain
 
 
-def _full_ipv6(values: pd.Series) -> pd.Series:
-    def full(v: str | None) -> str | None:
-        try:
-            a = ipaddress.ip_address((v or "").strip())
-        except ValueError:
-            return None
-        return a.exploded if a.version == 6 else str(a)
+def exploded_ipv6(raw: Column) -> Column:
+    """The full form of an IPv6 address in lower case; null for anything else."""
+    s = F.lower(F.trim(raw))
+    # the last four bytes may be written as an IPv4 address
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    octets = F.regexp_extract(s, rf"^.*:((?:{octet}[.]){{3}}{octet})$", 1)
+    number = lambda i: F.split(octets, "[.]")[i].cast("int")
+    pair = lambda i: F.lower(F.hex(number(i) * 256 + number(i + 1)))
+    tail = F.when(octets != "", F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(octets)), pair(0), F.lit(":"), pair(2))).otherwise(s)
 
-    return values.map(full)
+    def groups(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    halves = F.split(tail, "::")
+    left, right = groups(halves[0]), groups(F.get(halves, F.lit(1)))
+    # :: stands for one group of zeros at least
+    zeros = 8 - F.size(left) - F.size(right)
+    full = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), zeros), right))
+    good = (F.size(full) == 8) & F.forall(full, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+    return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ":"))
 
 
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-def exploded_ipv6(raw: Column) -> Column:
-    """The full form of IPv6 addresses; null for anything that is no address."""
-    return F.pandas_udf(_full_ipv6, "string")(raw)
-
-
 def nfc(raw: Column) -> Column:
-    """Unicode form NFC; needed for names with other than ASCII signs only."""
+    """Unicode form NFC, which Spark has no function for.
+
+    Names in log lines are ASCII by their patterns, so ingest needs none of it;
+    names from other sources pass through here before `entity_id`.
+    """
     return F.pandas_udf(_nfc, "string")(raw)
 
 
 def canonical(kind: str, raw: Column) -> Column:
-    """The canonical name of an entity; null if malformed. IPv6 needs `exploded_ipv6` first."""
+    """The canonical name of an entity; null if malformed."""
     s = F.trim(raw)
     if kind == "ip":
-        return F.when(F.rlike(s, F.lit(rf"^(?:{OCTET}\.){{3}}{OCTET}$")) & ~F.rlike(s, F.lit(r"(^|\.)0[0-9]")), s).when(F.contains(s, F.lit(":")), s)
+        return F.when(F.rlike(s, F.lit(rf"^(?:{OCTET}\.){{3}}{OCTET}$")) & ~F.rlike(s, F.lit(r"(^|\.)0[0-9]")), s).when(F.contains(s, F.lit(":")), exploded_ipv6(s))
     if kind == "user":
         # DOMAIN\\name and name@domain become domain:name; an empty domain leaves the name
         low = F.lower(s)
@@ -132,8 +141,7 @@ def alert_id(*parts: Column | str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: the two Python ones, and the rest as SQL expressions."""
-    spark.udf.register("exploded_ipv6", F.pandas_udf(_full_ipv6, "string"))
+    """SQL functions: the Python one, and the rest as SQL expressions."""
     spark.udf.register("nfc", F.pandas_udf(_nfc, "string"))
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION uuid5(space STRING, name STRING) RETURNS STRING RETURN "

@@ -40,8 +40,8 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def decode(data: Column, max_bytes: int = 65_536, max_chars: int = 32_768) -> Column:
-    """Bytes to text, cut to a number of bytes and then of characters."""
-    return F.substring(F.decode(F.substring(data, 1, max_bytes), "UTF-8"), 1, max_chars)
+    """Bytes to text, cut to a number of bytes and then of characters (E1); bytes that are no UTF-8 become U+FFFD."""
+    return F.substring(F.make_valid_utf8(F.substring(data, 1, max_bytes).cast("string")), 1, max_chars)
 
 
 def severity(value: Column) -> Column:

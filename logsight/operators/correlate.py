@@ -30,15 +30,41 @@ class CorrelationRule:
     severity: int
     conditions: tuple[Condition, ...]
     tactics: tuple[str, ...] = ()
+    techniques: tuple[str, ...] = ()
 
 
-#: Rules of this library, with the shape of common ones.
+# The four built-in rules, with their windows, counts, patterns and marks (K3).
 RULES = (
-    CorrelationRule("brute-force-then-login", "ip", 600, 2, 5, (Condition("syslog", 5, {"message": "(?i)authentication fail|failed password"}), Condition("syslog", 1, {"message": "(?i)accepted|session opened"})), ("credential-access", "lateral-movement")),
-    CorrelationRule("beaconing", "ip", 1800, 1, 4, (Condition("netflow", 5, {"message": "(?i)flow"}),), ("command-and-control",)),
-    CorrelationRule("exfiltration", "user", 900, 2, 5, (Condition("syslog", 3, {"message": "(?i)process"}), Condition("netflow", 2, {"message": "(?i)flow"})), ("exfiltration",)),
-    CorrelationRule("privilege-chain", "user", 600, 2, 4, (Condition("syslog", 1, {"message": "(?i)sudo|su:"}), Condition("syslog", 1, {"message": "(?i)new user|useradd"})), ("privilege-escalation",)),
-)
+    CorrelationRule(
+        "brute-force-lateral-movement", "user", 600, 2, 5,
+        (
+            Condition("syslog", 5, {"message": r"(?i)(authentication fail|login fail|invalid password|failed password|access denied)"}),
+            Condition("syslog", 1, {"message": r"(?i)(accepted[^\n]{0,200}password|session opened|login[^\n]{0,200}success|authenticated)"}),
+        ),
+        ("credential-access", "lateral-movement"), ("T1110", "T1021"),
+    ),
+    CorrelationRule(
+        "c2-beaconing", "ip", 1800, 1, 5,
+        (Condition("syslog", 5, {"message": r"(?i)(beacon|callback|connect[^\n]{0,200}external|outbound[^\n]{0,200}http|reverse[^\n]{0,200}shell|established[^\n]{0,200}\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b)"}),),
+        ("command-and-control",), ("T1071",),
+    ),
+    CorrelationRule(
+        "data-exfiltration", "ip", 900, 2, 5,
+        (
+            Condition("syslog", 3, {"message": r"(?i)(large[^\n]{0,200}transfer|upload[^\n]{0,200}completed?|exfil|outbound[^\n]{0,200}bytes|sent[^\n]{0,200}\d{6,}|POST[^\n]{0,200}\d{6,})"}),
+            Condition("syslog", 2, {"message": r"(?i)(file[^\n]{0,200}access|read[^\n]{0,200}sensitive|scp\b|rsync\b|tar\b|zip\b|curl[^\n]{0,200}upload|wget[^\n]{0,200}post)"}),
+        ),
+        ("exfiltration",), ("T1048",),
+    ),
+    CorrelationRule(
+        "privilege-escalation-chain", "user", 600, 2, 5,
+        (
+            Condition("syslog", 1, {"message": r"(?i)(sudo\b|su\b|privilege[^\n]{0,200}change|role[^\n]{0,200}change|usermod\b|passwd\b|chmod[^\n]{0,200}\+s)"}),
+            Condition("syslog", 1, {"message": r"(?i)(/etc/shadow|/etc/sudoers|/etc/passwd|root[^\n]{0,200}shell|sensitive[^\n]{0,200}file)"}),
+        ),
+        ("privilege-escalation",), ("T1548",),
+    ),
+)
 
 
 def correlate(events: DataFrame, rule: CorrelationRule, arrays: Sequence[str] = (), contributing: bool = False) -> DataFrame:
@@ -47,29 +73,36 @@ def correlate(events: DataFrame, rule: CorrelationRule, arrays: Sequence[str] =
     events: entity, entity_type and the fields of the conditions. A condition
     is one flag column summed over the window, so rows are read once for all
     conditions. The window holds events of the same time, also later ones in
-    input order.
+    input order. The contributing events are joined back to the fired ones by
+    entity and stretch of time; no list grows inside a window.
     """
+    span = rule.window_seconds * 1_000_000_000
     marked = events.where(F.col("entity_type") == rule.entity_type)
-    counts = []
-    w = sliding(["entity"], rule.window_seconds * 1_000_000_000)
+    w = sliding(["entity"], span)
     for i, c in enumerate(rule.conditions):
         hit = F.col("source_type") == c.source_type
         for name, pattern in c.patterns.items():
             hit = hit & regex_condition(F.col(name), pattern, name in arrays)
         marked = marked.withColumn(f"_f{i}", hit)
-    any_flag = F.lit(False)
-    for i in range(len(rule.conditions)):
-        counts.append(F.sum(F.col(f"_f{i}").cast("int")).over(w).alias(f"_c{i}"))
-        any_flag = any_flag | F.col(f"_f{i}")
-    ids = [F.collect_list(F.when(any_flag, F.col("event_id"))).over(w).alias("contributing_events")] if contributing else []
-    counted = marked.select("*", *counts, *ids)
+    counted = marked.select("*", *(F.sum(F.col(f"_f{i}").cast("int")).over(w).alias(f"_c{i}") for i in range(len(rule.conditions))))
     met = sum(((F.col(f"_c{i}") >= c.min_count).cast("int") for i, c in enumerate(rule.conditions)), F.lit(0))
     n = sum((F.when(F.col(f"_c{i}") >= c.min_count, F.col(f"_c{i}")).otherwise(0) for i, c in enumerate(rule.conditions)), F.lit(0))
     fired = counted.withColumn("n_events", n).where(met >= rule.min_sources)
     risk = F.lit(0.6 * rule.severity / 6) + 0.4 * F.least(F.col("n_events") / 10, F.lit(1.0))
-    return fired.select(
-        alert_id("corr", rule.name, F.col("entity"), F.col("timestamp_ns")).alias("alert_id"), F.lit(rule.name).alias("rule_name"), "event_id", "entity", "timestamp_ns", F.col("n_events").cast("long").alias("n_events"), F.round(risk, 6).alias("risk_score"), *(["contributing_events"] if contributing else [])
+    out = fired.select(
+        alert_id("corr", rule.name, F.col("entity"), F.col("timestamp_ns")).alias("alert_id"), F.lit(rule.name).alias("rule_name"), "event_id", "entity", "timestamp_ns", F.col("n_events").cast("long").alias("n_events"), F.round(risk, 6).alias("risk_score")
     )
+    if not contributing:
+        return out
+    any_flag = F.lit(False)
+    for i in range(len(rule.conditions)):
+        any_flag = any_flag | F.col(f"_f{i}")
+    stretch = F.expr(f"timestamp_ns div {span}")
+    hits = marked.where(any_flag).select(F.col("entity").alias("hit_entity"), F.col("event_id").alias("hit_id"), F.col("timestamp_ns").alias("hit_ns"), stretch.alias("hit_stretch"))
+    asked = out.select("event_id", "entity", "timestamp_ns", F.explode(F.array(stretch - 1, stretch)).alias("stretch"))
+    near = (F.col("entity") == F.col("hit_entity")) & (F.col("stretch") == F.col("hit_stretch")) & F.col("hit_ns").between(F.col("timestamp_ns") - span, F.col("timestamp_ns"))
+    lists = asked.join(hits, near).groupBy("event_id").agg(F.collect_list("hit_id").alias("contributing_events"))
+    return out.join(lists, "event_id")
 
 
 def kill_chain_window(alerts: DataFrame, least: int = 3, span_ns: int = 86_400_000_000_000) -> DataFrame:

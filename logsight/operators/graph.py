@@ -6,10 +6,9 @@ the checkpoint folder, so lineage stays short; only counts come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import itertools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +59,14 @@ def neighbours(edges: DataFrame, start: str, depth: int, relations: tuple[str, .
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 50) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, end: str) -> list[str]:
     """Nodes from start to end, undirected; ties go to the smallest node; empty without a path (H3)."""
     if start == end:
         return [start]
     links = undirected(edges)
     seen = links.sparkSession.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
     front = seen
-    for d in range(1, most + 1):
+    for d in itertools.count(1):  # ends with the path, or when no new node is reached
         step = front.join(links, front["node"] == links["u"]).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
         front = settled(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(d).alias("depth")))
         if front.isEmpty():
@@ -78,7 +77,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 50) -> lis
             while path[0] != start:  # one row a step back
                 path.insert(0, seen.where(F.col("node") == path[0]).first()["parent"])
             return path
-    return []
+    raise AssertionError("not reached")
 
 
 def ego(edges: DataFrame, centre: str, depth: int) -> DataFrame:
@@ -91,20 +90,28 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("node")).union(edges.select(F.col("target_id").alias("node"))).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle: int = 5) -> DataFrame:
-    """Directed ranks with each parallel edge counted, by power iteration; dangling mass is spread evenly (H5)."""
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, settle: int = 5, tolerance: float = 1e-9) -> DataFrame:
+    """Directed ranks with each parallel edge counted, by power iteration; dangling mass is spread evenly (H5).
+
+    Ends when all ranks together change by less than `tolerance` in `settle`
+    rounds, which write the ranks and compare, or after `rounds`.
+    """
     nodes = settled(vertices(edges))
     n = nodes.count()
     out = edges.groupBy(F.col("source_id").alias("node")).agg(F.count("*").alias("out"))
     links = settled(edges.groupBy(F.col("source_id").alias("node"), "target_id").agg(F.count("*").alias("w")).join(out, "node"))
     ends = nodes.join(out, "node", "left_anti")
     ranks = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
+    done = None
     for i in range(rounds):
         lost = ranks.join(ends, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = links.join(ranks, "node").groupBy(F.col("target_id").alias("node")).agg(F.sum(F.col("rank") * F.col("w") / F.col("out")).alias("got"))
         ranks = nodes.join(got, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if (i + 1) % settle == 0:
-            ranks = settled(ranks)
+            before, ranks = done, settled(ranks)
+            done = ranks
+            if before is not None and before.withColumnRenamed("rank", "old").join(ranks, "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
+                break
     return ranks
 
 
@@ -145,61 +152,46 @@ def ego_size(edges: DataFrame) -> DataFrame:
     return undirected(edges).where("u <> v").groupBy(F.col("u").alias("node")).agg(F.count("*").alias("neighbours"))
 
 
-def betweenness(edges: DataFrame, pivots: int | None = None, most_edges: int = 5_000_000) -> DataFrame:
-    """Betweenness, undirected and normalised, by sums over sources; sampled sources above `pivots` (H9).
+def betweenness(edges: DataFrame, pivots: int | None = None, block: int = 4096) -> DataFrame:
+    """Betweenness, undirected and normalised, by sums over sources; `pivots` sources by a hash, if asked (H9).
 
-    Each task runs whole breadth-first searches, so the edge list goes to all
-    of them; that is allowed up to `most_edges` edges, and an error beyond.
+    Sources are taken in blocks. Rows are (source, node): a round of joins
+    finds the next depth of all searches of a block with the number of shortest
+    paths, and as many rounds back give each node its share. Nothing but counts
+    comes to the driver.
     """
-    spark = edges.sparkSession
-    links = undirected(edges).where("u <> v AND u < v")
-    if (m := links.count()) > most_edges:
-        raise ValueError(f"{m} edges; betweenness takes up to {most_edges}")
-    names = [r[0] for r in vertices(edges).orderBy("node").collect()]
-    number = {x: i for i, x in enumerate(names)}
-    n = len(names)
-    pairs = links.toPandas()
-    a, b = pairs["u"].map(number).to_numpy(int), pairs["v"].map(number).to_numpy(int)
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.argsort(src, kind="stable")
-    dst, starts = dst[order], np.searchsorted(src[order], np.arange(n + 1))
-    shared = spark.sparkContext.broadcast((starts, dst, names))
-    chosen = np.arange(n) if not pivots or pivots >= n else np.sort(np.random.Generator(np.random.PCG64(1)).choice(n, pivots, replace=False))
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begin, to, labels = shared.value
-        total = np.zeros(len(labels))
-        for frame in frames:
-            for s in frame["s"]:
-                depth, paths = np.full(len(labels), -1), np.zeros(len(labels))
-                depth[s], paths[s] = 0, 1
-                layers = [np.array([s])]
-                while len(layers[-1]):
-                    now = layers[-1]
-                    counts = begin[now + 1] - begin[now]
-                    frm = np.repeat(now, counts)
-                    nxt = to[np.concatenate([np.arange(begin[x], begin[x + 1]) for x in now])] if counts.sum() else np.zeros(0, int)
-                    fresh = depth[nxt] < 0
-                    depth[nxt[fresh]] = len(layers)
-                    ok = depth[nxt] == len(layers)
-                    np.add.at(paths, nxt[ok], paths[frm[ok]])
-                    layers.append(np.unique(nxt[fresh]))
-                credit = np.zeros(len(labels))
-                for now in reversed(layers[1:]):
-                    if not len(now):
-                        continue
-                    counts = begin[now + 1] - begin[now]
-                    frm = np.repeat(now, counts)
-                    prev = to[np.concatenate([np.arange(begin[x], begin[x + 1]) for x in now])]
-                    up = depth[prev] == depth[frm] - 1
-                    np.add.at(credit, prev[up], paths[prev[up]] / paths[frm[up]] * (1 + credit[frm[up]]))
-                credit[s] = 0
-                total += credit
-        yield pd.DataFrame({"node": labels, "part": total})
-
-    sources = spark.createDataFrame(pd.DataFrame({"s": chosen})).repartition(max(1, min(len(chosen), 2 * spark.sparkContext.defaultParallelism)))
-    scale = 0.0 if n < 3 else 1.0 / ((n - 1) * (n - 2)) * (n / max(1, len(chosen)))
-    return sources.mapInPandas(spread, "node string, part double").groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
+    links = settled(undirected(edges).where("u <> v"))
+    nodes = settled(vertices(edges))
+    n = nodes.count()
+    taken = min(n, pivots or n)
+    chosen = settled(nodes.orderBy(F.xxhash64("node"), "node").limit(taken)) if taken < n else nodes
+    blocks = max(1, -(-taken // block))
+    parts = [_dependencies(links, chosen.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)) for i in range(blocks)]
+    summed = functools.reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part"))
+    scale = 0.0 if n < 3 else 1.0 / ((n - 1) * (n - 2)) * (n / max(1, taken))
+    return nodes.join(summed, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, part): the nodes' shares in the shortest paths from the sources."""
+    levels = [settled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    while True:
+        step = levels[-1].join(links, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        # a neighbour is one step nearer, as near, or one step farther
+        for near in levels[-2:]:
+            step = step.join(near.select("source", "node"), ["source", "node"], "left_anti")
+        step = settled(step)
+        if step.isEmpty():
+            break
+        levels.append(step)
+    out = []
+    credit = levels[-1].withColumn("credit", F.lit(0.0))
+    for depth in range(len(levels) - 1, 0, -1):
+        out.append(credit.groupBy("node").agg(F.sum("credit").alias("part")))
+        back = credit.join(links, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), ((1 + F.col("credit")) / F.col("paths")).alias("each"))
+        got = back.join(levels[depth - 1], ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("each") * F.col("paths")).alias("credit"))
+        credit = settled(levels[depth - 1].join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("credit", F.lit(0.0)).alias("credit")))
+    return functools.reduce(DataFrame.union, out) if out else sources.select("node", F.lit(0.0).alias("part"))
 
 
 def crossings(edges: DataFrame, labels: DataFrame) -> DataFrame:

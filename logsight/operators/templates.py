@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsight.functions.text import template_of
+from logsight.operators.lineage import settled
 
 WILD = "<*>"
 
@@ -32,24 +33,28 @@ def merge_masks(masks: list[tuple[str, int]], share: float = 0.4) -> dict[str, s
     return {m: " ".join(found[i]) for m, i in place.items()}
 
 
-def mine(lines: DataFrame, text: str = "message", share: float = 0.4, most_masks: int = 20_000) -> DataFrame:
-    """(mask, template, lines): masks counted first, then merged by token count and first token.
+def mine(lines: DataFrame, text: str = "message", share: float = 0.4) -> DataFrame:
+    """(mask, template, n): masks counted first, then merged in two rounds.
 
-    Counting collapses most lines. A group with more than `most_masks` masks is
-    dealt by its second token too, so no task holds more than its part; those
-    parts are merged apart.
+    Counting collapses most lines. The masks of one token count and first two
+    tokens are merged, then the few templates of one token count and first
+    token. Both rounds are the same at every size. A task holds the distinct
+    masks of one (count, first two tokens).
     """
     counted = lines.select(template_of(F.col(text)).alias("mask")).where("mask <> ''").groupBy("mask").agg(F.count("*").alias("n"))
     tokens = F.split("mask", " ")
     keyed = counted.select("mask", "n", F.size(tokens).alias("size"), F.element_at(tokens, 1).alias("head"), F.coalesce(F.try_element_at(tokens, F.lit(2)), F.lit("")).alias("second"))
-    big = keyed.groupBy("size", "head").agg(F.count("*").alias("masks")).where(F.col("masks") > most_masks).select("size", "head", F.lit(True).alias("big"))
-    dealt = keyed.join(big, ["size", "head"], "left").withColumn("part", F.when(F.col("big"), F.col("second")).otherwise(""))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         names = merge_masks(list(zip(pdf["mask"], pdf["n"], strict=True)), share)
-        return pd.DataFrame({"mask": pdf["mask"], "template": pdf["mask"].map(names), "n": pdf["n"]})
-
-    return dealt.groupBy("size", "head", "part").applyInPandas(merge, "mask string, template string, n long")
+        return pdf[["size", "head", "mask", "n"]].assign(template=pdf["mask"].map(names))
+
+    kind = "size int, head string, mask string, n long, template string"
+    # the second round reads the first twice
+    first = settled(keyed.groupBy("size", "head", "second").applyInPandas(merge, kind))
+    few = first.groupBy("size", "head", F.col("template").alias("mask")).agg(F.sum("n").alias("n"))
+    second = few.groupBy("size", "head").applyInPandas(merge, kind).select(F.col("mask").alias("part"), F.col("template").alias("merged"))
+    return first.join(second, F.col("template") == F.col("part")).select("mask", F.col("merged").alias("template"), "n")
 
 
 def with_templates(lines: DataFrame, mined: DataFrame, text: str = "message") -> DataFrame:

@@ -71,10 +71,15 @@ def pattern_novelty_exact(events: DataFrame, key: str = "entity", alpha: float =
 
 
 def baselines(events: DataFrame, key: str = "entity", warm_events: int = 50, warm_ns: int = 7 * 86_400_000_000_000) -> DataFrame:
-    """First and last time, count, busiest hour, templates and warm-up of each key (U1); two shuffles of counts."""
+    """First and last time, count, busiest hour, volumes and warm-up of each key (U1); two shuffles of counts.
+
+    A rate is observed at an event only, and then as 1, and the first one is
+    taken as it is. So the moving averages of both rates are 1 from a key's
+    first event on.
+    """
     hours = events.groupBy(key, hour_of(F.col("timestamp_ns")).alias("hour")).agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high"))
     per = hours.groupBy(key).agg(F.min("low").alias("first_seen_ns"), F.max("high").alias("last_seen_ns"), F.sum("n").alias("event_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", "n")))).alias("hours"), F.max_by("hour", F.struct("n", -F.col("hour"))).alias("peak_hour"))
-    return per.withColumn("warm", (F.col("event_count") >= warm_events) & (F.col("last_seen_ns") - F.col("first_seen_ns") >= warm_ns))
+    return per.withColumns({"volume_ema_min": F.lit(1.0), "volume_ema_hour": F.lit(1.0)}).withColumn("warm", (F.col("event_count") >= warm_events) & (F.col("last_seen_ns") - F.col("first_seen_ns") >= warm_ns))
 
 
 def known_ips(events: DataFrame, key: str = "entity", ips: str = "related_ips", most: int = 64) -> DataFrame:
@@ -92,9 +97,14 @@ def warm_state(events: DataFrame, key: str = "entity", warm_events: int = 50, wa
 
 
 def composite(events: DataFrame, key: str = "entity", weights: tuple[float, ...] = WEIGHTS, limit: float = 0.75, warm_events: int = 50, warm_ns: int = 7 * 86_400_000_000_000, volume: Column | None = None) -> DataFrame:
-    """All scores against the past, their weighted sum, severity and alert flag (U6); 0 before warm-up."""
-    scored = pattern_novelty(source_novelty(time_of_day(warm_state(events, key, warm_events, warm_ns), key), key), key)
-    total = weights[0] * F.col("time_of_day") + weights[1] * F.col("source_novelty") + weights[2] * (volume if volume is not None else F.lit(0.0)) + weights[3] * F.col("pattern_novelty")
+    """All scores against the past, their weighted sum, severity and alert flag (U6); 0 before warm-up.
+
+    volume: the mean rate before the event; without it, that of `baselines`.
+    """
+    seen = warm_state(events, key, warm_events, warm_ns).withColumn("volume_ema_min", volume if volume is not None else F.when(F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)) > 1, 1.0).otherwise(0.0))
+    scored = pattern_novelty(source_novelty(time_of_day(seen, key), key), key).withColumn("volume", volume_score(F.col("volume_ema_min")))
+    parts = ("time_of_day", "source_novelty", "volume", "pattern_novelty")
+    total = sum((w * F.col(c) for w, c in zip(weights[1:], parts[1:], strict=True)), weights[0] * F.col(parts[0]))
     out = scored.withColumn("composite", F.when(F.col("warm"), total).otherwise(0.0))
     return out.withColumn("severity", F.least(F.lit(6), 1 + F.floor(6 * F.col("composite"))).cast("int")).withColumn("alert", F.col("composite") >= limit)
 

@@ -49,7 +49,7 @@ AL = (
     f"entity AS entity_value, 'user' AS entity_type, value / 500 AS risk_score, source_type || ':' || entity AS dedup_key, 'value ' || event_id || ' of ' || entity AS description, "
     f"{_case(0)} AS mitre_tactics, {_case(1)} AS mitre_techniques FROM ev WHERE value > 60)"
 )
-GR = "gr AS (SELECT 'u' || user_id AS source_id, 'u' || ((user_id * 7 + event_id % 3) % 1000) AS target_id, event_type AS rel_type, epoch_us(ts) * 1000 AS timestamp_ns FROM events WHERE event_id % 4 <> 0)"
+GR = "gr AS (SELECT 'u' || user_id AS source_id, 'u' || ((user_id * 7 + event_id % 3) % 1000) AS target_id, event_type AS rel_type, epoch_us(ts) * 1000 AS timestamp_ns FROM events)"
 GRE = f"{GR}, ge AS (SELECT DISTINCT source_id, target_id FROM gr), un AS (SELECT source_id AS u, target_id AS v FROM ge UNION SELECT target_id, source_id FROM ge), vx AS (SELECT DISTINCT u AS node FROM un)"
 
 
@@ -90,7 +90,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 4 <> 0").selectExpr("'u' || user_id AS source_id", "'u' || ((user_id * 7 + event_id % 3) % 1000) AS target_id", "event_type AS rel_type", f"{nanoseconds('ts')} AS timestamp_ns")
+    return table(spark, sf_dir, "events").selectExpr("'u' || user_id AS source_id", "'u' || ((user_id * 7 + event_id % 3) % 1000) AS target_id", "event_type AS rel_type", f"{nanoseconds('ts')} AS timestamp_ns")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,17 +93,17 @@ def j2(spark, d):
     return q.alerts_with(alerts(spark, d), "initial_access", "T1110").select("alert_id")
 
 
-@query("j6_hydrate", f"WITH {AL}, w AS (SELECT alert_id, timestamp_ns AS alert_ns, entity_value, unnest(range(greatest(event_id - 400, 0), event_id + 1)) AS event_id FROM al WHERE event_id % 10 = 0), m AS (SELECT w.alert_id, e.event_id, e.timestamp_ns, e.source_type, row_number() OVER (PARTITION BY w.alert_id ORDER BY e.timestamp_ns DESC, e.event_id DESC) AS r FROM w JOIN ev e USING (event_id) WHERE abs(e.timestamp_ns - alert_ns) <= {DAY} AND e.entity = w.entity_value) SELECT alert_id, event_id, timestamp_ns, source_type FROM m WHERE r <= 16")
+@query("j6_hydrate", f"WITH {AL}, w AS (SELECT alert_id, timestamp_ns AS alert_ns, entity_value, unnest(range(greatest(event_id - 400, 0), event_id + 1)) AS event_id FROM al), m AS (SELECT w.alert_id, e.event_id, e.timestamp_ns, e.source_type, row_number() OVER (PARTITION BY w.alert_id ORDER BY e.timestamp_ns DESC, e.event_id DESC) AS r FROM w JOIN ev e USING (event_id) WHERE abs(e.timestamp_ns - alert_ns) <= {DAY} AND e.entity = w.entity_value) SELECT alert_id, event_id, timestamp_ns, source_type FROM m WHERE r <= 16")
 def j6(spark, d):
-    some = alerts(spark, d).where("event_id % 10 = 0").withColumn("contributing_events", F.sequence(F.greatest(F.col("event_id") - 400, F.lit(0)), F.col("event_id")))
+    some = alerts(spark, d).withColumn("contributing_events", F.sequence(F.greatest(F.col("event_id") - 400, F.lit(0)), F.col("event_id")))
     return q.hydrate(some, events(spark, d))
 
 
-LABELS = f"{AL}, lb AS (SELECT event_id AS label_id, timestamp_ns // {SECOND} AS time_s, entity AS who, 'u' || (user_id + 1) AS other, source_type FROM ev WHERE event_id % 50 = 0), aa AS (SELECT alert_id, entity_value, timestamp_ns // {SECOND} AS time_s, risk_score FROM al), mt AS (SELECT DISTINCT alert_id, label_id FROM aa JOIN lb ON entity_value IN (who, other) AND abs(aa.time_s - lb.time_s) <= 7200)"
+LABELS = f"{AL}, lb AS (SELECT event_id AS label_id, timestamp_ns // {SECOND} AS time_s, entity AS who, 'u' || (user_id + 1) AS other, source_type FROM ev WHERE source_type IN ('error', 'signup') AND value > 150), aa AS (SELECT alert_id, entity_value, timestamp_ns // {SECOND} AS time_s, risk_score FROM al), mt AS (SELECT DISTINCT alert_id, label_id FROM aa JOIN lb ON entity_value IN (who, other) AND abs(aa.time_s - lb.time_s) <= 7200)"
 
 
 def label_tables(spark, d):
-    labels = events(spark, d).where("event_id % 50 = 0").select(F.col("event_id").alias("label_id"), F.expr(f"timestamp_ns div {SECOND}").alias("time_s"), F.array(F.col("entity"), F.expr("'u' || (user_id + 1)")).alias("candidates"), "source_type")
+    labels = events(spark, d).where("source_type IN ('error', 'signup') AND value > 150").select(F.col("event_id").alias("label_id"), F.expr(f"timestamp_ns div {SECOND}").alias("time_s"), F.array(F.col("entity"), F.expr("'u' || (user_id + 1)")).alias("candidates"), "source_type")
     found = alerts(spark, d).select("alert_id", "entity_value", F.expr(f"timestamp_ns div {SECOND}").alias("time_s"), "risk_score")
     return found, labels, evaluate.match_labels(found, labels, 7200)
 
