@@ -10,7 +10,8 @@
    dimensions.
 4. The labelled latent vectors, at most sample x rank numbers, go to all tasks.
    Every document's cosines with all of them are computed in blocks, and the
-   labels of the `k` nearest are averaged, weighted by similarity.
+   labels of the `k` nearest are averaged, weighted by similarity. All that are
+   as near as the k-th, to within `TIE`, vote.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. labels,
 lang, source and doc_id are never inputs of a score.
@@ -36,6 +37,8 @@ _CLASSES = 8
 SHAPES = _CLASSES**3
 WORDS = 1024
 REPEATS = 40
+#: Cosines this close are equal: they are computed in single precision.
+TIE = 1e-6
 DIM = SHAPES + WORDS + REPEATS
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = 1
@@ -117,8 +120,15 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         near = self.latent(x) @ self.known.T
         top = np.argpartition(-near, self.k - 1, axis=1)[:, : self.k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-3).astype(np.float64) ** 8
-        return np.clip((weight * self.labels[top]).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        own = np.take_along_axis(near, top, axis=1)
+        weight = np.maximum(own, 1e-3).astype(np.float64) ** 8
+        out = (weight * self.labels[top]).sum(axis=1) / weight.sum(axis=1)
+        least = own.min(axis=1) - TIE
+        for i in np.flatnonzero((near >= least[:, None]).sum(axis=1) > self.k):  # more are as near as the k-th
+            every = near[i] >= least[i]
+            weight = np.maximum(near[i][every], 1e-3).astype(np.float64) ** 8
+            out[i] = (weight * self.labels[every]).sum() / weight.sum()
+        return np.clip(out, 0, 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, rank: int = 64, k: int = 15, block_weights: tuple[float, float, float] = (1.0, 0.4, 1.0)) -> Model | None:
