@@ -83,14 +83,15 @@ def global_prefix(df: DataFrame, order: list[Column], sums: dict[str, str], labe
 
 
 #: Parts that the rows of one key are dealt into for a join.
-SALTS = 8
+SALTS = 4
 
 
 def join_in_parts(rows: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
     """Inner join of rows with `one` (a row for each key), each key's rows dealt into parts by the column `other`."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
     spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
+    # no broadcast: `one` grows with the data
+    return salted.join(spread.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
