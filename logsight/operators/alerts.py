@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import alert_id
+from logsight.operators.windows import join_back
 
 # Severity 0 to 6 as numbers and names of log records.
 OTEL = ((1, "TRACE"), (9, "INFO"), (10, "INFO2"), (13, "WARN"), (17, "ERROR"), (21, "FATAL"), (24, "FATAL4"))
@@ -20,22 +23,33 @@ def anchored(alerts: DataFrame, keys: Sequence[str], window_ns: int = 900_000_00
     An alert within the window of the anchor, either way, folds into it; any
     other is the next anchor. The anchor doesn't move, so this is a fold and no
     session. Keys are split at gaps longer than the window first: what follows
-    such a gap always starts anew, so one key's alerts are folded gap by gap
-    and no array holds more than one burst.
+    such a gap always starts anew. Gaps are found from the first and last time
+    in each cell of the window's width, and a burst's rows pass in order of
+    time through a task that holds the anchor and the count alone.
     """
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    gap = (F.col(time) - F.lag(time).over(order) > window_ns).cast("int")
-    bursts = alerts.withColumn("_g", F.coalesce(gap, F.lit(1))).withColumn("burst", F.sum("_g").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
-    packed = bursts.groupBy(*keys, "burst").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("id")))).alias("rows"))
-    kind = dict(alerts.dtypes)[tie]
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<id:{kind},anchor_ns:bigint,dedup_count:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["anchor"].isNotNull() & (F.abs(x["t"] - s["anchor"]) <= window_ns)
-        anchor, n = F.when(same, s["anchor"]).otherwise(x["t"]), F.when(same, s["n"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(anchor.alias("anchor"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), anchor.alias("anchor_ns"), n.alias("dedup_count")))).alias("out"))
-
-    return packed.select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).withColumnRenamed("id", tie)
+    spark = alerts.sparkSession
+    rows = alerts.select(*keys, F.col(time).alias("_t"), tie, F.expr(f"(`{time}` - pmod(`{time}`, {window_ns})) div {window_ns}").alias("_cell"))
+    cells = rows.groupBy(*keys, "_cell").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    order = Window.partitionBy(*keys).orderBy("_cell")
+    new = F.coalesce((F.col("_low") - F.lag("_high").over(order) > window_ns).cast("int"), F.lit(1))
+    bursts = cells.withColumn("_new", new).withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_cell", "_burst")
+    dealt = join_back(rows, bursts, [*keys, "_cell"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_burst").sortWithinPartitions(*keys, "_burst", "_t", tie)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, anchor, n = None, 0, 0
+        for frame in frames:
+            groups = list(zip(*(frame[c].where(frame[c].notna(), None) for c in (*keys, "_burst")), strict=True))
+            anchors, counts = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+            for i, (g, t) in enumerate(zip(groups, frame["_t"].tolist(), strict=True)):
+                if g == last and abs(t - anchor) <= window_ns:
+                    n += 1
+                else:
+                    last, anchor, n = g, t, 1
+                anchors[i], counts[i] = anchor, n
+            yield frame[[*keys, tie]].assign(anchor_ns=anchors, dedup_count=counts)
+
+    kinds = dict(alerts.dtypes)
+    return dealt.select(*keys, "_burst", "_t", tie).mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, tie)) + ", anchor_ns long, dedup_count long")
 
 
 def deduplicated(alerts: DataFrame, keys: Sequence[str], window_ns: int = 900_000_000_000) -> DataFrame:

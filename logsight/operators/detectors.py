@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsight.operators.windows import ORDER, minute_buckets
+from logsight.operators.windows import ORDER, join_back, minute_buckets, ranked
 
 
 @dataclass(frozen=True)
@@ -127,31 +127,35 @@ def cusum_sql(buckets: DataFrame, keys: list[str], detector: Cusum) -> DataFrame
     return packed.select(*keys, F.inline(F.aggregate("rows", start, step)["out"]))
 
 
-def score_events(events: DataFrame, scores: DataFrame, keys: list[str], bucket_ns: int = 60_000_000_000) -> DataFrame:
+def score_events(events: DataFrame, scores: DataFrame, keys: list[str], bucket_ns: int = 60_000_000_000, out: str = "score") -> DataFrame:
     """Each event with the score that stood before it.
 
     An event is scored before it closes a bucket, so it sees the score after
-    the buckets before the newest bucket of the key's earlier rows.
+    the buckets before the newest bucket of the key's earlier rows. That is its
+    own bucket, or for the first event of a bucket the one counted before; so
+    events are joined with one row a bucket and need no window over their key.
     """
-    own = F.expr(f"timestamp_ns div {bucket_ns}")
-    earlier = F.max(own).over(Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-    seen = events.withColumn("at", earlier)
+    cut = events.withColumn("at", F.expr(f"timestamp_ns div {bucket_ns}"))
     # the score that stands when counted bucket b is still open: the last one of the rows before it
-    closed = scores.withColumn("standing", F.lag("score").over(Window.partitionBy(*keys).orderBy("seq"))).where("n > 0").select(*keys, F.col("bucket").alias("at"), "standing")
-    return seen.join(closed, [*keys, "at"], "left").withColumn("score", F.coalesce("standing", F.lit(0.0))).drop("standing", "at")
+    order = Window.partitionBy(*keys).orderBy("seq")
+    closed = scores.withColumn("standing", F.lag("score").over(order)).where("n > 0").withColumn("before", F.lag("standing").over(order)).select(*keys, F.col("bucket").alias("at"), "standing", "before")
+    first = cut.groupBy(*keys, "at").agg(F.min(F.struct(*ORDER)).alias("first"))
+    known = join_back(first, closed, [*keys, "at"])
+    seen = join_back(cut, known, [*keys, "at"], "left")
+    own = F.when(F.struct(*ORDER) == F.col("first"), F.col("before")).otherwise(F.col("standing"))
+    return seen.withColumn(out, F.coalesce(own, F.lit(0.0))).drop("standing", "before", "first", "at")
 
 
 def template_volume(events: DataFrame, detector: HoltWinters, bucket_ns: int, least: int = 50) -> DataFrame:
     """Volume score of (source, template); null until `least` events of the pair."""
     keys = ["source_type", "template_id"]
     scored = score_events(events, fold_buckets(events, keys, detector, bucket_ns), keys, bucket_ns)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))
-    return scored.withColumn("score", F.when(n >= least, F.col("score")))
+    return ranked(scored, keys).withColumn("score", F.when(F.col("rank") >= least, F.col("score"))).drop("rank")
 
 
 def entity_volume(events: DataFrame, detector: HoltWinters, bucket_ns: int, most: int = 32) -> DataFrame:
     """Largest volume score of an event's first entities."""
-    each = events.select("event_id", "timestamp_ns", "source_type", F.explode(F.slice("entity_refs", 1, most)).alias("ref"))
+    each = events.select("event_id", "timestamp_ns", "source_type", F.explode(F.array_distinct(F.slice("entity_refs", 1, most))).alias("ref"))
     keys = ["source_type", "ref"]
     return score_events(each, fold_buckets(each, keys, detector, bucket_ns), keys, bucket_ns).groupBy("event_id").agg(F.max("score").alias("score"))
 
@@ -231,9 +235,12 @@ class TailThreshold:
 
 def calibration(scored: DataFrame, key: str, t: TailThreshold) -> DataFrame:
     """(key, u, l): percentiles of each key's first window; keys with fewer rows have none."""
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)))
+    return _percentiles(ranked(scored, [key]), key, t)
+
+
+def _percentiles(numbered: DataFrame, key: str, t: TailThreshold) -> DataFrame:
     p = F.percentile("score", F.array(F.lit(t.percentile / 100), F.lit(1 - t.percentile / 100)))
-    return ranked.where(F.col("rank") <= t.window).groupBy(key).agg(p.alias("p"), F.count("*").alias("c")).where(F.col("c") >= t.window).select(key, F.col("p")[0].alias("u"), F.col("p")[1].alias("l"))
+    return numbered.where(F.col("rank") <= t.window).groupBy(key).agg(p.alias("p"), F.count("*").alias("c")).where(F.col("c") >= t.window).select(key, F.col("p")[0].alias("u"), F.col("p")[1].alias("l"))
 
 
 def tail_anomalies(scored: DataFrame, key: str, t: TailThreshold) -> DataFrame:
@@ -243,9 +250,8 @@ def tail_anomalies(scored: DataFrame, key: str, t: TailThreshold) -> DataFrame:
     which the rank holds, so only the first window and the few rows beyond are folded.
     """
     types = dict(scored.dtypes)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)))
-    limits = calibration(scored, key, t)
-    few = ranked.join(limits, key).where((F.col("rank") <= t.window) | (F.col("score") > F.col("u")) | (F.col("score") < F.col("l"))).select(key, "event_id", "rank", "score")
+    numbered = ranked(scored, [key])
+    few = join_back(numbered, _percentiles(numbered, key, t), [key]).where((F.col("rank") <= t.window) | (F.col("score") > F.col("u")) | (F.col("score") < F.col("l"))).select(key, "event_id", "rank", "score")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
@@ -305,7 +311,7 @@ def forest_scores(events: DataFrame, key: str, forest: Forest) -> DataFrame:
     batch; masses are counted by (key, window, tree, leaf) with a shuffle.
     """
     dims, cuts = forest.nodes()
-    numbered = events.withColumn("win", F.expr(f"(row_number() OVER (PARTITION BY {key} ORDER BY timestamp_ns, event_id) - 1) div {forest.window}"))
+    numbered = ranked(events, [key]).withColumn("win", F.expr(f"(rank - 1) div {forest.window}"))
 
     @F.pandas_udf("array<int>")
     def leaves(*cols: pd.Series) -> pd.Series:

@@ -7,6 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than there are cores, dealt to all of them; a larger input as it is.
+
+    For work that takes far longer than moving the rows.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder of spark.checkpoint.dir; a local session without one gets its own."""
     spark: SparkSession = df.sparkSession

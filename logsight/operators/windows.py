@@ -5,7 +5,9 @@ Rows of a key are ordered by (timestamp_ns, event_id), so ties have one order.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +40,26 @@ def minute_buckets(events: DataFrame, keys: Sequence[str], bucket_ns: int, cap:
     return filled.select(*keys, (F.col("bucket") + F.col("step")).alias("bucket"), F.when(F.col("step") == 0, F.col("n")).otherwise(0).alias("n"), F.row_number().over(Window.partitionBy(*keys).orderBy("bucket", "step")).alias("seq"))
 
 
+def join_back(rows: DataFrame, one: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table with a row for each value of the columns; nulls are equal."""
+    named = one.withColumnsRenamed({c: f"_j_{c}" for c in columns})
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in columns))
+    return rows.join(named, same, how).drop(*(f"_j_{c}" for c in columns))
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], out: str = "rank", bucket_ns: int = 3_600_000_000_000, time: str = "timestamp_ns", order: Sequence[str] = ORDER) -> DataFrame:
+    """The number of each row of a key from 1, in order of time.
+
+    Rows are counted by bucket of time and the counts summed, so no window
+    holds more than the rows of one bucket, or one row a bucket.
+    """
+    cut = rows.withColumn("_b", floor_to(F.col(time), bucket_ns))
+    per = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    starts = per.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return join_back(cut.withColumn("_r", own), starts, [*keys, "_b"]).withColumn(out, (F.col("_s") + F.col("_r")).cast("int")).drop("_b", "_s", "_r")
+
+
 def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6, warm_up: int = 100) -> DataFrame:
     """How unlikely each template is after the one before (W5); exact running counts, no state.
 
@@ -54,7 +76,7 @@ def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6,
     denominator = F.col("total") + F.lit(epsilon) * F.col("met")
     score = F.log((F.col("pair") + epsilon) / denominator) / F.log(F.lit(epsilon) / denominator)
     usable = F.col("prev").isNotNull() & (F.col("learned") >= warm_up) & (F.col("met") > 0)
-    return counted.withColumn("score", F.when(usable & (F.col("total") == 0), F.when(F.col("met") > 1, 1.0).otherwise(0.0)).when(usable, F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).otherwise(0.0)).select("event_id", *keys, "timestamp_ns", "template_id", "score")
+    return counted.withColumn("score", F.when(usable & (F.col("total") == 0), F.when(F.col("met") > 1, 1.0).otherwise(0.0)).when(usable, F.greatest(F.lit(0.0), F.least(score, F.lit(1.0)))).otherwise(0.0)).select(*events.columns, "score")
 
 
 def running_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> DataFrame:
@@ -64,32 +86,38 @@ def running_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") ->
     return df.withColumn(out, F.when(n < 2, F.col(value)).otherwise((F.col(value) - mean) / F.greatest(spread, F.lit(1e-10))))
 
 
-def running_z_by_bucket(df: DataFrame, keys: Sequence[str], value: str, bucket_ns: int = 3_600_000_000_000, out: str = "z") -> DataFrame:
+def running_z_by_bucket(df: DataFrame, keys: Sequence[str], value: str | Sequence[str], bucket_ns: int = 3_600_000_000_000, out: str | Sequence[str] = "z") -> DataFrame:
     """As `running_z`, for keys with very many rows: moments of whole buckets are summed first.
 
     Each bucket's count, mean and squared deviations merge pairwise into the
     state before it, so no window holds more than the rows of one bucket, or
-    one row a bucket.
+    one row a bucket. Several values share the shuffles.
     """
-    bucket = floor_to(F.col("timestamp_ns"), bucket_ns)
-    rows = df.withColumn("_b", bucket)
-    per = rows.groupBy(*keys, "_b").agg(F.count(value).alias("_n"), F.sum(value).alias("_s"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("_d"))
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
+    rows = df.withColumn("_b", floor_to(F.col("timestamp_ns"), bucket_ns))
+    moments = [m for i, v in enumerate(values) for m in (F.count(v).alias(f"_n{i}"), F.sum(v).alias(f"_s{i}"), F.avg(v).alias(f"_m{i}"), (F.var_pop(v) * F.count(v)).alias(f"_d{i}"))]
+    starts = rows.groupBy(*keys, "_b").agg(*moments)
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    n0, s0 = F.coalesce(F.sum("_n").over(w), F.lit(0)), F.coalesce(F.sum("_s").over(w), F.lit(0.0))
-    starts = per.withColumns({"n0": n0, "s0": s0})
-    mean0 = F.when(F.col("n0") > 0, F.col("s0") / F.col("n0"))
+    n, each = range(len(values)), lambda f: {k: v for i in range(len(values)) for k, v in f(i).items()}
+    c = F.col
+    mean0 = lambda i: F.when(c(f"n0{i}") > 0, c(f"s0{i}") / c(f"n0{i}")).otherwise(0.0)
+    starts = starts.withColumns(each(lambda i: {f"n0{i}": F.coalesce(F.sum(f"_n{i}").over(w), F.lit(0)), f"s0{i}": F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0.0))}))
     # squared deviations of the union: within buckets, and of the bucket's mean from the mean before it
-    join = F.coalesce(F.col("_d") + F.when(F.col("n0") > 0, F.pow(F.col("_m") - mean0, 2) * F.col("n0") * F.col("_n") / (F.col("n0") + F.col("_n"))).otherwise(0.0), F.lit(0.0))
-    starts = starts.withColumn("_j", join).withColumn("d0", F.coalesce(F.sum("_j").over(w), F.lit(0.0))).select(*keys, "_b", "n0", "s0", "d0")
+    joined = lambda i: F.coalesce(c(f"_d{i}") + F.when(c(f"n0{i}") > 0, F.pow(c(f"_m{i}") - mean0(i), 2) * c(f"n0{i}") * c(f"_n{i}") / (c(f"n0{i}") + c(f"_n{i}"))).otherwise(0.0), F.lit(0.0))
+    starts = starts.withColumns(each(lambda i: {f"_j{i}": joined(i)})).withColumns(each(lambda i: {f"d0{i}": F.coalesce(F.sum(f"_j{i}").over(w), F.lit(0.0))}))
+    starts = starts.select(*keys, "_b", *(f"{x}{i}" for i in n for x in ("n0", "s0", "d0")))
     own = Window.partitionBy(*keys, "_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.join(starts, [*keys, "_b"]).withColumns({"n1": F.count(value).over(own), "m1": F.avg(value).over(own), "d1": F.coalesce(F.var_pop(value).over(own) * F.count(value).over(own), F.lit(0.0))})
-    n = F.col("n0") + F.col("n1")
-    m1 = F.coalesce("m1", F.lit(0.0))
-    mean0 = F.when(F.col("n0") > 0, F.col("s0") / F.col("n0")).otherwise(0.0)
-    mean = (F.col("s0") + m1 * F.col("n1")) / n
-    dev = F.col("d0") + F.col("d1") + F.when((F.col("n0") > 0) & (F.col("n1") > 0), F.pow(m1 - mean0, 2) * F.col("n0") * F.col("n1") / n).otherwise(0.0)
-    z = F.when(n < 2, F.col(value)).otherwise((F.col(value) - mean) / F.greatest(F.sqrt(dev / F.greatest(n - 1, F.lit(1))), F.lit(1e-10)))
-    return inner.withColumn(out, z).drop("_b", "n0", "s0", "d0", "n1", "m1", "d1")
+    inside = each(lambda i: {f"n1{i}": F.count(values[i]).over(own), f"m1{i}": F.coalesce(F.avg(values[i]).over(own), F.lit(0.0)), f"d1{i}": F.coalesce(F.var_pop(values[i]).over(own) * F.count(values[i]).over(own), F.lit(0.0))})
+    inner = join_back(rows.withColumns(inside), starts, [*keys, "_b"])
+
+    def z(i: int) -> Column:
+        n0, n1, m1 = c(f"n0{i}"), c(f"n1{i}"), c(f"m1{i}")
+        both = n0 + n1
+        mean = (c(f"s0{i}") + m1 * n1) / both
+        dev = c(f"d0{i}") + c(f"d1{i}") + F.when((n0 > 0) & (n1 > 0), F.pow(m1 - mean0(i), 2) * n0 * n1 / both).otherwise(0.0)
+        return F.when(both < 2, c(values[i])).otherwise((c(values[i]) - mean) / F.greatest(F.sqrt(dev / F.greatest(both - 1, F.lit(1))), F.lit(1e-10)))
+
+    return inner.withColumns({outs[i]: z(i) for i in n}).drop("_b", *(f"{x}{i}" for i in n for x in ("n0", "s0", "d0", "n1", "m1", "d1")))
 
 
 #: Weights of content, volume, change, sequence, template volume and entity volume.
@@ -114,7 +142,7 @@ def amplified(score: Column, zs: Sequence[Column]) -> Column:
 
 def every_nth(events: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Marks each n-th event of a key."""
-    return events.withColumn("scored", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) % n == 0)
+    return ranked(events, keys).withColumn("scored", F.col("rank") % n == 0).drop("rank")
 
 
 def decayed_risk(entries: DataFrame, key: str, points: str, half_life_ns: int = 14_400_000_000_000) -> DataFrame:
@@ -143,10 +171,18 @@ def first_crossing(risks: DataFrame, key: str, limit: float = 50.0) -> DataFrame
     return risks.where(F.col("risk") >= limit).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*ORDER))).where("_r = 1").drop("_r")
 
 
-def late_flags(events: DataFrame, keys: Sequence[str], arrival: str, slack_ns: int = 30_000_000_000) -> DataFrame:
-    """Late: more than the slack behind the newest time met before in order of arrival."""
-    newest = F.max("timestamp_ns").over(Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("late", F.col("timestamp_ns") < newest - slack_ns)
+def late_flags(events: DataFrame, keys: Sequence[str], arrival: str, slack_ns: int = 30_000_000_000, stretch: int = 10_000, tie: str = "event_id") -> DataFrame:
+    """Late: more than the slack behind the newest time met before in order of (arrival, tie) (W18). arrival: a whole number.
+
+    The newest times of whole stretches of arrival are taken first, so no
+    window holds more than the rows of one stretch, or one row a stretch.
+    """
+    cut = events.withColumn("_b", F.floor(F.col(arrival) / stretch))
+    per = cut.groupBy(*keys, "_b").agg(F.max("timestamp_ns").alias("_m"))
+    before_it = per.withColumn("_n", F.max("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_m")
+    own = F.max("timestamp_ns").over(Window.partitionBy(*keys, "_b").orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, 0))
+    both = join_back(cut.withColumn("_o", own), before_it, [*keys, "_b"])
+    return both.withColumn("late", F.col("timestamp_ns") < F.greatest("_o", "_n") - slack_ns).drop("_b", "_o", "_n")
 
 
 def fan_out_baseline(snapshots: DataFrame, floor: float = 5.0, depth: int = 20, least: int = 3) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsight.operators.lineage import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 DAY, HOUR, SECOND = 86_400_000_000_000, 3_600_000_000_000, 1_000_000_000
 #: 2024-01-01 and 2024-01-31, UTC.
@@ -71,7 +73,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).withColumn("message", F.expr(LINE))
+    return spread(events(spark, sf_dir)).withColumn("message", F.expr(LINE))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from logsight.functions import attack, identity, text
 from logsight.operators import alerts as al
 from logsight.operators import detectors, rules, windows
-from logsight.operators.lineage import settled
+from logsight.operators.lineage import settled, spread
 from logsight.sources.readers import syslog
 
 
 def normalised(lines: DataFrame) -> DataFrame:
     """Lines (event_id, timestamp_ns, source_type, message) with severity, template, entities and tactics.
 
-    One projection: no shuffle and no Python.
+    One projection without Python; only an input of few splits is dealt to all cores first.
     """
-    m = F.col("message")
+    lines, m = spread(lines), F.col("message")
     found = {"ip": text.ips(m), "user": text.users(m), "host": text.hosts(m), "domain": text.domains(m), "file": text.files(m), "process": text.processes(m)}
     rows = syslog(lines, "message").withColumns({f"related_{k}s": v for k, v in found.items()} | {"template": text.template_of(m)})
     kind, value = identity.primary_entity({k: F.col(f"related_{k}s") for k in found})
@@ -28,21 +28,27 @@ def normalised(lines: DataFrame) -> DataFrame:
 
 
 def anomalies(events: DataFrame, bucket_ns: int, warm_up: int, season: int, sequence_warm_up: int) -> DataFrame:
-    """Detector scores, normalised and blended, for each event."""
-    volume = detectors.score_events(events.select("event_id", "timestamp_ns", "source_type"), detectors.fold_buckets(events, ["source_type"], detectors.HoltWinters(season=season), bucket_ns), ["source_type"], bucket_ns).select("event_id", F.col("score").alias("volume"))
-    change = detectors.score_events(events.select("event_id", "timestamp_ns", "source_type"), detectors.fold_buckets(events, ["source_type"], detectors.Cusum(warm_up=warm_up), bucket_ns), ["source_type"], bucket_ns).select("event_id", F.col("score").alias("change"))
-    sequence = windows.markov_scores(events, ["source_type", "entity"], warm_up=sequence_warm_up).select("event_id", F.col("score").alias("sequence"))
+    """Scores of volume, change, sequence and template volume, normalised and blended, for each event.
+
+    The columns of the events pass through; events are joined with tables of
+    one row a bucket, never with each other.
+    """
+    source = ["source_type"]
+    scored = detectors.score_events(events, detectors.fold_buckets(events, source, detectors.HoltWinters(season=season), bucket_ns), source, bucket_ns, "volume")
+    scored = detectors.score_events(scored, detectors.fold_buckets(events, source, detectors.Cusum(warm_up=warm_up), bucket_ns), source, bucket_ns, "change")
+    scored = windows.markov_scores(scored, ["source_type", "entity"], warm_up=sequence_warm_up).withColumnRenamed("score", "sequence")
     # what follows reads the scores several times over
-    scored = settled(events.join(volume, "event_id").join(change, "event_id").join(sequence, "event_id"))
-    for name in ("volume", "change", "sequence"):
-        scored = windows.running_z_by_bucket(scored, ["source_type"], name, bucket_ns * 24, f"z_{name}")
-    zs = [F.col("z_volume"), F.col("z_change"), F.col("z_sequence")]
-    return scored.withColumn("anomaly_score", windows.amplified(windows.blended(zs, (0.25, 0.20, 0.25)), zs))
+    scored = settled(detectors.template_volume(scored, detectors.HoltWinters(season=season), bucket_ns).withColumnRenamed("score", "template_volume"))
+    names = ("volume", "change", "sequence", "template_volume")
+    scored = windows.running_z_by_bucket(scored, source, names, bucket_ns * 24, [f"z_{name}" for name in names])
+    zs = [F.col(f"z_{name}") for name in names]
+    return scored.withColumn("anomaly_score", windows.amplified(windows.blended(zs, windows.BLEND[1:5]), zs))
 
 
 def analyse(lines: DataFrame, detection_rules: Sequence[rules.Rule] = (), bucket_ns: int = 3_600_000_000_000, warm_up: int = 30, season: int = 24, sequence_warm_up: int = 100, tail: detectors.TailThreshold | None = None, dedup_ns: int = 900_000_000_000) -> DataFrame:
     """Alerts of detectors and rules, deduplicated."""
-    events = normalised(lines)
+    # read by every detector and rule; ids of entities are not needed here
+    events = settled(normalised(lines).drop("entity_refs", "mapped"))
     wanted = ["event_id", "timestamp_ns", "source_type", "severity_id", "entity", "template_id"]
     scored = settled(anomalies(events.select(*wanted), bucket_ns, warm_up, season, sequence_warm_up).select(*wanted, "anomaly_score"))
     tails = detectors.tail_anomalies(scored.withColumnRenamed("anomaly_score", "score"), "source_type", tail or detectors.TailThreshold())

@@ -265,8 +265,8 @@ def w17(spark, d):
 
 @query("w18_late", f"WITH {EV}, a AS (SELECT event_id, timestamp_ns, source_type, (event_id * 7919) % 10007 AS arrival FROM ev) SELECT event_id, timestamp_ns < max(timestamp_ns) OVER (PARTITION BY source_type ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) - 30000000000 AS late FROM a")
 def w18(spark, d):
-    rows = events(spark, d).withColumn("arrival", F.struct((F.col("event_id") * 7919 % 10_007).alias("a"), "event_id"))
-    return windows.late_flags(rows, ["source_type"], "arrival").select("event_id", "late")
+    rows = events(spark, d).withColumn("arrival", F.col("event_id") * 7919 % 10_007)
+    return windows.late_flags(rows, ["source_type"], "arrival", stretch=500).select("event_id", "late")
 
 
 SN = f"{EV}, sn AS (SELECT source_type AS vertex, timestamp_ns // {DAY} AS snapshot, count(DISTINCT entity) AS fan_out FROM ev GROUP BY 1, 2), bl AS (SELECT *, CASE WHEN count(*) OVER w >= 3 THEN greatest(avg(fan_out) OVER w + 3 * stddev_samp(fan_out) OVER w, 5) END AS threshold FROM sn WINDOW w AS (PARTITION BY vertex ORDER BY snapshot ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
