@@ -7,7 +7,6 @@ the checkpoint folder, so lineage stays short; only counts come to the driver.
 from __future__ import annotations
 
 import functools
-import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +62,21 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> list[str]:
     """Nodes from start to end, undirected; ties go to the smallest node; empty without a path (H3)."""
     if start == end:
         return [start]
-    links = undirected(edges)
-    seen = links.sparkSession.createDataFrame([(start, None, 0)], "node string, parent string, depth int")
-    front = seen
-    for d in itertools.count(1):  # ends with the path, or when no new node is reached
-        step = front.join(links, front["node"] == links["u"]).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        front = settled(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(d).alias("depth")))
-        if front.isEmpty():
+    links = settled(undirected(edges))
+    levels = [links.sparkSession.createDataFrame([(start, None)], "node string, parent string")]
+    while True:  # ends with the path, or when no new node is reached
+        step = levels[-1].join(links, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        # a neighbour is one step nearer, as near, or one step farther
+        for near in levels[-2:]:
+            step = step.join(near.select("node"), "node", "left_anti")
+        levels.append(settled(step))
+        if levels[-1].isEmpty():
             return []
-        seen = seen.union(front)
-        if not front.where(F.col("node") == end).isEmpty():
+        if not levels[-1].where(F.col("node") == end).isEmpty():
             path = [end]
-            while path[0] != start:  # one row a step back
-                path.insert(0, seen.where(F.col("node") == path[0]).first()["parent"])
+            for level in levels[:0:-1]:  # one row a step back
+                path.insert(0, level.where(F.col("node") == path[0]).first()["parent"])
             return path
-    raise AssertionError("not reached")
 
 
 def ego(edges: DataFrame, centre: str, depth: int) -> DataFrame:
