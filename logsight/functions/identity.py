@@ -22,6 +22,16 @@ NAMESPACES = {
 }
 
 
+# Relations of ordered pairs of entity types.
+RELATIONS = {
+    ("user", "ip"): "authenticated_from",
+    ("user", "host"): "logged_into",
+    ("ip", "host"): "has_ip",
+    ("user", "file"): "accessed",
+    ("ip", "domain"): "resolved_to",
+}
+
+
 def _digest(namespace: str, name: Column) -> Column:
     return F.sha1(F.concat(F.unhex(F.lit(NAMESPACES.get(namespace, namespace).replace("-", ""))), F.encode(name, "UTF-8")))
 
@@ -148,5 +158,19 @@ def register(spark: SparkSession) -> None:
         "(SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', cast(conv(substr(h, 17, 1), 16, 10) AS INT) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) "
         "FROM (SELECT sha1(concat(unhex(replace(space, '-', '')), encode(name, 'UTF-8'))) AS h))"
     )
+    # table functions, to be joined laterally
+    own, slots = (f"split(trim(regexp_replace({x}, '[ \\\\t\\\\r\\\\n]+', ' ')), ' ')" for x in ("message", "template"))
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION template_params(message STRING, template STRING) RETURNS TABLE(place INT, param STRING) RETURN "
+        f"SELECT place, own[place] FROM (SELECT {own} AS own, {slots} AS slots) LATERAL VIEW posexplode(slots) p AS place, slot WHERE slot = '<*>' AND size(own) = size(slots)"
+    )
+    relations = [*RELATIONS.items(), (("process", "process"), "spawned_by")]
+    forth, back = (" OR ".join(f"({a}.kind = '{x}' AND {b}.kind = '{y}')" for (x, y), _ in relations) for a, b in (("a", "b"), ("b", "a")))
+    name = "CASE " + " ".join(f"WHEN (a.kind = '{x}' AND b.kind = '{y}') OR (b.kind = '{x}' AND a.kind = '{y}') THEN '{r}'" for (x, y), r in relations) + " END"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION infer_edges(typed ARRAY<STRUCT<kind: STRING, uuid: STRING>>) RETURNS TABLE(source_id STRING, target_id STRING, rel_type STRING) RETURN "
+        f"SELECT CASE WHEN {forth} THEN a.uuid ELSE b.uuid END, CASE WHEN {forth} THEN b.uuid ELSE a.uuid END, {name} "
+        f"FROM (SELECT typed AS all_of) LATERAL VIEW posexplode(all_of) p AS i, a LATERAL VIEW explode(slice(all_of, i + 2, size(all_of))) q AS b WHERE {forth} OR {back}"
+    )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION parent_technique(t STRING) RETURNS STRING RETURN CASE WHEN upper(t) RLIKE '^T[0-9]{4}([.][0-9]{3})?$' THEN split(upper(t), '[.]')[0] ELSE t END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION masked(s STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(s, '[ \\\\t\\\\r\\\\n]+', ' ')), '" + rf"(?:{OCTET}[.]){{3}}{OCTET}" + "', '<IP>')")

@@ -11,18 +11,9 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsight.functions.identity import RELATIONS
 from logsight.operators.lineage import settled
 
-# Relations of ordered pairs of entity types.
-RELATIONS = {
-    ("user", "ip"): "authenticated_from",
-    ("user", "host"): "logged_into",
-    ("ip", "host"): "has_ip",
-    ("user", "file"): "accessed",
-    ("ip", "domain"): "resolved_to",
-}
-
-
 def infer_edges(events: DataFrame, typed: str = "typed") -> DataFrame:
     """Edges of all pairs of an event's typed entities (kind, uuid); processes link in order (H1)."""
     each = events.select("timestamp_ns", F.posexplode(typed).alias("i", "a"), F.col(typed).alias("all"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import ipaddress
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -65,6 +67,43 @@ def all_of(selections: Mapping[str, Column], prefix: str) -> Column:
     return _every([c for n, c in selections.items() if n.startswith(prefix)])
 
 
+def condition_of(text: str) -> Callable[[Mapping[str, Column]], Column]:
+    """A condition in words, such as `selection and not 1 of filter_*` or `all of them`, as a function of the selections."""
+    named: dict[str, Callable[[Mapping[str, Column]], Column]] = {}
+
+    def group(m: re.Match) -> str:
+        prefix = "" if m[2] == "them" else m[2].rstrip("*")
+        named[name := f"group_{len(named)}"] = lambda s, f=all_of if m[1] == "all" else any_of: f(s, prefix)
+        return name
+
+    tree = ast.parse(re.sub(r"\b(1|any|all) of ([\w*]+)", group, text).strip(), mode="eval").body
+
+    def column(node: ast.expr, s: Mapping[str, Column]) -> Column:
+        match node:
+            case ast.Name(id=name):
+                return named[name](s) if name in named else s[name]
+            case ast.UnaryOp(op=ast.Not(), operand=one):
+                return ~column(one, s)
+            case ast.BoolOp(op=op, values=parts):
+                return (_every if isinstance(op, ast.And) else _any)([column(p, s) for p in parts])
+        raise ValueError(f"not a condition: {text}")
+
+    return lambda s: column(tree, s)
+
+
+def rule_pack(rows: Sequence[Mapping]) -> list[Rule]:
+    """Rules from rows or dicts with a condition in words (X2); the first of a repeated id counts.
+
+    selections: name to a list of {field, modifiers, values}; the other keys are those of `Rule`.
+    """
+    out: dict[str, Rule] = {}
+    for r in rows:
+        picked = {n: [(x.get("field"), tuple(x.get("modifiers") or ()), tuple(x["values"])) for x in parts] for n, parts in r["selections"].items()}
+        source = {k: r[k] or "" for k in ("category", "product", "service") if k in r}
+        out.setdefault(r["rule_id"], Rule(r["rule_id"], r["title"], r["level"], picked, condition_of(r["condition"]), tuple(r.get("tags") or ()), enabled=r.get("enabled", True), **source))
+    return list(out.values())
+
+
 def _in_network(value: Column, network: str) -> Column:
     """An IPv4 address lies in the network, by integer comparison."""
     net = ipaddress.ip_network(network)

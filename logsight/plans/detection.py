@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logsight.functions import identity
 from logsight.operators import alerts as al
 from logsight.operators import correlate, detectors, graph, rules, ueba, windows
 from logsight.plans import batch
@@ -379,6 +380,30 @@ def r1(spark, d):
     return sigma_matches(spark, d).select("event_id", "rule_id")
 
 
+# The rules as rows, their conditions in words
+PACK = [
+    {"rule_id": "r1", "title": "Failed passwords", "level": "high", "category": "error", "condition": "selection and not 1 of filter*", "selections": {"selection": [{"field": "CommandLine", "modifiers": ["contains"], "values": ["failed password"]}], "filter": [{"field": "CommandLine", "modifiers": ["contains"], "values": ["u1@"]}]}},
+    {"rule_id": "r2", "title": "Payments", "level": "low", "category": "purchase", "condition": "all of selection_*", "selections": {"selection_a": [{"field": "CommandLine", "modifiers": ["contains", "all"], "values": ["accepted", "process=pay"]}], "selection_b": [{"field": "EventID", "modifiers": [], "values": [3, 4]}]}},
+    {"rule_id": "r3", "title": "Keywords", "level": "critical", "condition": "1 of them", "selections": {"keywords": [{"values": ["SUDO:", "incorrect"]}]}},
+    {"rule_id": "r3", "title": "Repeated id", "level": "low", "condition": "keywords", "selections": {"keywords": [{"values": ["a"]}]}},
+]
+
+
+@query("x2_rule_pack", f"WITH {R1} SELECT event_id, rule_id FROM rm WHERE rule_id IN ('r1', 'r2', 'r3')")
+def x2(spark, d):
+    rows = lines(spark, d).withColumns({"category": F.col("source_type"), "product": F.lit(""), "service": F.lit("")})
+    return rules.rule_matches(rows, rules.rule_pack(PACK)).select("event_id", "rule_id")
+
+
+@query("x4_infer_edges", f"WITH {EV} SELECT event_id, 'U' || entity AS source_id, 'I' || (user_id % 9) AS target_id, 'authenticated_from' AS rel_type FROM ev UNION ALL SELECT event_id, 'U' || entity, 'H' || (event_id % 5), 'logged_into' FROM ev UNION ALL SELECT event_id, 'I' || (user_id % 9), 'H' || (event_id % 5), 'has_ip' FROM ev UNION ALL SELECT event_id, 'P' || (event_id % 7), 'P' || (event_id % 11 + 100), 'spawned_by' FROM ev")
+def x4_edges(spark, d):
+    identity.register(spark)
+    entity = lambda kind, t: f"named_struct('kind', '{kind}', 'uuid', {t})"
+    typed = "array(" + ", ".join(entity(k, t) for k, t in (("ip", "'I' || (user_id % 9)"), ("user", "'U' || entity"), ("host", "'H' || (event_id % 5)"), ("process", "'P' || (event_id % 7)"), ("process", "'P' || (event_id % 11 + 100)"))) + ")"
+    events(spark, d).selectExpr("event_id", f"{typed} AS typed").createOrReplaceTempView("logsight_x4_events")
+    return spark.sql("SELECT event_id, source_id, target_id, rel_type FROM logsight_x4_events, LATERAL infer_edges(typed)")
+
+
 @query("r4_sigma_alerts", f"WITH {R1} SELECT event_id, rule_id, CASE rule_id WHEN 'r1' THEN 4 WHEN 'r2' THEN 2 WHEN 'r3' THEN 5 ELSE 3 END AS severity_id, CASE rule_id WHEN 'r1' THEN 'credential_access' WHEN 'r2' THEN 'exfiltration' ELSE '' END AS tactics, CASE rule_id WHEN 'r1' THEN 'T1110.001' ELSE '' END AS techniques FROM rm")
 def r4(spark, d):
     found = rules.rule_alerts(sigma_matches(spark, d), [r for r in SIGMA if r.enabled])

@@ -134,6 +134,13 @@ def e5(spark, d):
     return lines(spark, d).select("event_id", F.array_join(text.template_params(F.col("message"), text.template_of(F.col("message"))), "|").alias("params"))
 
 
+@query("x4_template_params", f"WITH {LN}, t AS (SELECT event_id, string_split(trim(regexp_replace(message, '\\s+', ' ', 'g')), ' ') AS own, string_split({TEMPLATE}, ' ') AS slots FROM ln), p AS (SELECT *, unnest(range(len(own))) AS place FROM t) SELECT event_id, CAST(place AS INT) AS place, own[place + 1] AS param FROM p WHERE slots[place + 1] = '<*>'")
+def x4_params(spark, d):
+    identity.register(spark)
+    lines(spark, d).withColumn("template", text.template_of(F.col("message"))).createOrReplaceTempView("logsight_x4_lines")
+    return spark.sql("SELECT event_id, place, param FROM logsight_x4_lines, LATERAL template_params(message, template)")
+
+
 # IPv6 addresses in four spellings; the pattern's first alternative that fits decides how much of each is found
 SIX = "CASE event_id % 4 WHEN 0 THEN '2001:DB8::' || (user_id + 1) WHEN 1 THEN 'fe80::' || (event_id % 900) || ':' || (user_id + 1) WHEN 2 THEN '2001:0db8:0:0:1:2:3:' || (event_id % 9000) ELSE '::1' END"
 ADDRESSES = f"{LN}, sx AS (SELECT event_id, message || ' peer ' || {SIX} AS message FROM ln), ad AS (SELECT event_id, message, list_concat(regexp_extract_all(message, '\\b(?:{OCTET}\\.){{3}}{OCTET}\\b'), regexp_extract_all(message, '{text.IPV6}')) AS a FROM sx)"
