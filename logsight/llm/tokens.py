@@ -58,8 +58,8 @@ def can_be_cut(tokenizer) -> bool:
     return bool(level and model.get("type") == "BPE" and plain and added) and not any(parts.get(k) for k in ("normalizer", "truncation", "padding"))
 
 
-def piece_spans(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces of texts that begin at `begins` and end in one byte that belongs to none."""
+def plain_cuts(data: np.ndarray) -> np.ndarray:
+    """Places of single spaces and line ends that stand between two characters other than white space."""
     at = np.flatnonzero((data == 32) | (data == 10))
     at = at[(at > 0) & (at < len(data) - 1)]
     at = at[_SOLID[data[at - 1]] & _SOLID[data[at + 1]]]
@@ -70,8 +70,13 @@ def piece_spans(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
         after = data[i + 1 : i + 5].tobytes().decode("utf-8", "ignore")[:1]
         if before in _WIDE or after in _WIDE:  # an empty one counts as a space: no cut
             at[k] = -1
+    return at[at >= 0]
+
+
+def piece_spans(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts that begin at `begins` and end in one byte that belongs to none."""
     cuts = np.zeros(len(data) + 1, bool)
-    cuts[at[at >= 0]] = True
+    cuts[plain_cuts(data)] = True
     cuts[1 : len(data)] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     cuts[begins] = True
     starts = np.flatnonzero(cuts[:-1])
