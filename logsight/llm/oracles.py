@@ -86,4 +86,22 @@ string_agg(kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT, '
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_embedding_dedup": OP1, "op3_byte_shards": OP3, "op4_substring_dedup": OP4, "op5_minhash_dedup": OP5, "op7_mix_sources": OP7, "op9_pii": OP9}
+_RUN = "regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')"
+OP11 = f"""
+WITH RECURSIVE ct AS (SELECT {CRC_TABLE} AS t),
+runs AS (SELECT doc_id, translate(unnest({_RUN}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, k, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM d),
+h AS (SELECT run, k, xor(4294967295, list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h FROM b, ct),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+p AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM p a JOIN p b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+UNION SELECT p.word, p.n, v.word, v.n FROM p JOIN v ON v.word = p.rest UNION SELECT v.word, v.n, p.word, p.n FROM p JOIN v ON v.word = p.rest),
+g AS (SELECT word, n, count(*) AS n_near, arg_min(near, struct_pack(a := -near_n, b := near)) AS best, max(near_n) AS best_n FROM near GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN g USING (word)),
+reach(word, last) AS (SELECT word, word FROM f UNION ALL SELECT reach.word, f.form FROM reach JOIN f ON f.word = reach.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, reach.last AS root FROM f JOIN reach ON reach.word = f.word JOIN f e ON e.word = reach.last AND e.form IS NULL
+"""
+
+ORACLE_SQL = {"op1_embedding_dedup": OP1, "op3_byte_shards": OP3, "op4_substring_dedup": OP4, "op5_minhash_dedup": OP5, "op7_mix_sources": OP7, "op9_pii": OP9, "op11_spelling_variants": OP11}
