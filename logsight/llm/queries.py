@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsight.llm import digests, embed_dedup, minhash_dedup, mixing, oracles, packing, pii, quality, shards, substring_dedup, token_files
+from logsight.llm import alignment, digests, embed_dedup, minhash_dedup, mixing, ngram_rules, oracles, packing, pii, quality, shards, spelling, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,5 +57,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op6_packing, op7_mix_sources, op8_fingerprints, op9_pii, op10_quality)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_embedding_dedup, op2_token_files, op3_byte_shards, op4_substring_dedup, op5_minhash_dedup, op6_packing, op7_mix_sources,
+    op8_fingerprints, op9_pii, op10_quality, op11_spelling_variants, op12_token_alignment, op13_quality_rules,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)

@@ -91,8 +91,8 @@ def many_values(texts: list[str | None], fold_case: bool = False, chunk: int = 1
         i = j
 
 
-def shingles(values: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct shingle values: each run of `width` words, or the whole of a shorter text."""
+def shingles_in_order(values: np.ndarray, width: int) -> np.ndarray:
+    """The value of each run of `width` words, or of the whole of a shorter text."""
     n = len(values)
     if n == 0:
         return values
@@ -100,4 +100,9 @@ def shingles(values: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n - size + 1, np.uint64(size), np.uint64)
     for k in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[k : n - size + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingles(values: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct shingle values."""
+    return np.unique(shingles_in_order(values, width))
