@@ -10,7 +10,7 @@ files that the returned manifest names are valid: a task that ran twice leaves
 an unnamed file, never a wrong one.
 
 Cases: a null or empty text has the end id alone; a null doc_id sorts first;
-repeated rows are documents of their own, ordered by text within a doc_id;
+repeated rows are documents of their own, in a fixed order within a doc_id;
 an empty table has an empty manifest. Other columns are ignored.
 """
 
@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ def file_system(uri: str):
 
 
 def sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class _Writer:
@@ -84,7 +83,7 @@ class _Writer:
     def _batch(self, flat: np.ndarray, size: int) -> None:
         values = np.zeros(size, self.kind.to_pandas_dtype())
         values[: len(flat)] = flat
-        mask = np.arange(size) < len(flat)
+        mask = (np.arange(size) < len(flat)).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
         self.sequences.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += size // self.length
@@ -108,8 +107,10 @@ def write_token_files(
     path = tokenizer_path or tokens.default_path()
     ranged = (
         documents.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("mix", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))  # deals the rows of one doc_id
+        .repartitionByRange(partitions(spark), "doc_id", "mix")
+        .sortWithinPartitions("doc_id", "mix", "text")
+        .drop("mix")
         .withColumn("part", F.spark_partition_id())
     )
 
@@ -144,28 +145,28 @@ def open_file(uri: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence_at(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and mask of sequence i: the ids are a view of the file."""
+    """ids and mask (1 or 0 a place) of sequence i, both views of the file."""
     per = reader.get_batch(0).num_rows
     batch = reader.get_batch(i // per)
     ids, mask = (batch.column(c)[i % per].values for c in ("ids", "mask"))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
 
 def read_token_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and its first sequence."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                yield from _read_pair(row.part, row.ids_file, row.docs_file)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _read_pair(row["part"], row["ids_file"], row["docs_file"])
 
-    each = manifest.repartition(max(1, partitions(spark))).mapInPandas(read, "part int, doc_id long, local long, n_tokens long, ids_crc32 long, first_sequence long")
+    each = manifest.repartition(max(1, partitions(spark))).mapInArrow(read, "part int, doc_id long, local long, n_tokens long, ids_crc32 long, first_sequence long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return each.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "first_sequence")
 
 
-def _read_pair(part: int, ids_file: str, docs_file: str) -> Iterator[pd.DataFrame]:
+def _read_pair(part: int, ids_file: str, docs_file: str) -> Iterator[pa.RecordBatch]:
     sequences, docs = open_file(ids_file), open_file(docs_file)
     length = sequences.schema.field("ids").type.list_size
     held, begins, at = np.zeros(0, np.uint16), 0, 0  # held: the ids from `begins` on
@@ -181,10 +182,11 @@ def _read_pair(part: int, ids_file: str, docs_file: str) -> Iterator[pd.DataFram
                     batch = sequences.get_batch(at)
                     at += 1
                     ids, mask = batch.column("ids").flatten(), batch.column("mask").flatten()
-                    valid = mask.true_count
+                    valid = int(mask.to_numpy(zero_copy_only=True).sum(dtype=np.int64))
                     parts.append(ids.to_numpy(zero_copy_only=True)[:valid])
                     got += valid
                 held, begins = np.concatenate(parts), start
             one = held[start - begins : start - begins + size]
             crcs[i] = zlib.crc32(one.astype("<u4").tobytes())
-        yield pd.DataFrame({"part": part, "doc_id": index.column("doc_id").to_pandas().astype("Int64"), "local": starts, "n_tokens": sizes, "ids_crc32": crcs, "first_sequence": starts // length})
+        columns = [pa.array(np.full(len(starts), part, np.int32)), index.column("doc_id"), *map(pa.array, (starts, sizes, crcs, starts // length))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "local", "n_tokens", "ids_crc32", "first_sequence"])
