@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,9 @@ def _joined(held: list[tuple[int, np.ndarray]]) -> tuple[list[int], np.ndarray,
 
 
 def _scan(window: int):
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             n_words, keys, whole, sha = [], [], [], []
             for numbers, values, docs, first in _chunks(texts):
                 anchors = recompress.window_anchors(recompress.symbols(values, docs, window), values, docs, window)
@@ -73,7 +74,9 @@ def _scan(window: int):
                     keys.append(np.unique(anchors[first[k] : first[k] + n - window + 1]).view(np.int64) if n >= window else np.zeros(0, np.int64))
                     whole.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     sha.append(hashlib.sha256(b" ".join((texts[i] or "").encode().split())).hexdigest())
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": n_words, "keys": keys, "whole": whole, "sha": sha})
+            # ids stay in Arrow: pandas would round them beside a null
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "keys", "whole", "sha"])
 
     return scan
 
@@ -148,7 +151,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), "text")
-    scanned = materialize(texts.mapInPandas(_scan(window), "doc_id long, n_words long, keys array<long>, whole binary, sha string"), "op4-anchors")
+    scanned = materialize(texts.mapInArrow(_scan(window), "doc_id long, n_words long, keys array<long>, whole binary, sha string"), "op4-anchors")
     identified = scanned.where(F.col("doc_id").isNotNull())
     # groups of equal words, each for SALTS parts of its documents, so that a large group is spread
     groups = identified.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
