@@ -22,8 +22,9 @@ offsets they get. Spark numbers the pieces by ranges of that order, so the many
 of full length are spread, and each looks its place up by its number. Only the
 counts (at most `length` rows) come to the driver. The plan that goes to the
 tasks is a table of three numbers a run. A plan has a few runs for each length
-and configuration: 3,500 for 100,000 pieces, and as many for 500 times that.
-`PLACES` runs are the limit; a plan of more is made again with half the groups.
+and configuration: 3,500 for 100,000 pieces, and as many for 500 times that. It
+grows with the logarithm of the number of pieces (each round of step 4 places a
+fifth of what is left), at 24 bytes a run, and is made alike at every size.
 
 Cases: null and empty texts are one piece of the end id; repeated rows are
 packed one by one; an empty table gives no rows. Other columns are ignored.
@@ -36,7 +37,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +45,6 @@ from logsight.llm import tokens
 from logsight.llm.common import global_prefix, materialize, small_batches
 
 Pattern = tuple[int, ...]
-#: Runs that a plan may have: 24 bytes each, so at most 24 MB go to each executor.
-PLACES = 1_000_000
 
 
 def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str | None = None, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -54,11 +52,14 @@ def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str |
     small_batches(documents.sparkSession)
     path = tokenizer_path or tokens.default_path()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens.encoder(path), np.array([end_id], np.uint32)
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc_id, own in zip(frame["doc_id"].astype("Int64"), encoder.encode_many(frame["text"].tolist()), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(batch.column("text").to_pylist()), strict=True):
                 ids = np.concatenate([own, end])
                 at = 0
                 for number in range(-(-len(ids) // length)):
@@ -67,11 +68,11 @@ def token_pieces(documents: DataFrame, length: int = 1024, tokenizer_path: str |
                     row = (doc_id, number, at, stop - at, zlib.crc32(part.astype("<u4").tobytes()))
                     rows.append((*row, part.astype(np.int32)) if keep_ids else row)
                     at = stop
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
 class _Knapsack:
@@ -98,17 +99,25 @@ class _Knapsack:
         return float(most[-1][self.room]), counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """(pieces of each size, how many sequences) of a least-sequences linear program, by column generation."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-6) -> list[tuple[np.ndarray, float]]:
+    """(pieces of each size, how many sequences) of a least-sequences linear program, by column generation.
+
+    The amounts over the worth of the best further column bound the optimum from
+    below, so it ends within `gap` of that, or when as many columns as there are
+    sizes have come in without making the plan shorter.
+    """
     basis = np.diag((room // sizes).astype(float))
     columns = [basis[:, i].copy() for i in range(len(sizes))]
     inverse = np.linalg.inv(basis)
     amounts = inverse @ demand
     knapsack = _Knapsack(sizes, room)
-    for _ in range(steps):
+    least, idle = np.inf, 0
+    while idle <= len(sizes):
         value, column = knapsack.best(inverse.sum(axis=0))
-        if value <= 1 + 1e-6:
+        if value <= 1 + gap:
             break
+        now = float(amounts.sum())
+        least, idle = (now, 0) if now < least - 1e-9 * now else (least, idle + 1)
         change = inverse @ column
         ratio = np.where(change > 1e-12, amounts / np.where(change > 1e-12, change, 1), np.inf)
         leaves = int(ratio.argmin())
@@ -274,8 +283,7 @@ def pack(pieces: DataFrame, length: int = 1024, small: float = 0.3, groups: int
     for x in sorted(counts):
         before[x] = total
         total += counts[x]
-    while len(runs := places(plan(counts, length, small, groups))) > PLACES and groups > 1:
-        groups //= 2
+    runs = places(plan(counts, length, small, groups))
     rows = sorted((before[x] + low, first, offset) for x, low, _, first, offset in runs)
     where = spark.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 3))
     ranked = global_prefix(kept, [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], {"row": "one"}, "op6-order")
