@@ -7,14 +7,17 @@ difference of two digests adds the buckets' quartile steps (a step of three
 counts double), the steps of length beyond one and the steps of spread, and is
 bounded; likeness is 1 at no difference and 0 at `FAR` or more.
 
-Documents are followed in descending doc_id order. They are dealt into ranges
-whose first documents are known ids; a copy of each range's first document
-closes the range before, so every document meets its successor in its own task.
+Documents are followed in descending doc_id order, those of one doc_id in a fixed
+order of their texts' checksums. They are dealt into ranges of that order, and
+each range meets its own successions in one task; where a range ends, its last
+text and the first of the next range are joined, one row a range. Ids stay whole
+numbers or decimal text throughout, never doubles.
 
 Cases: null texts are as empty ones; texts of fewer than three bytes have no
-triplet; repeated rows follow each other, ordered by text within a doc_id; null
-doc_ids come last; one document is followed by itself; an empty table gives no
-rows. Other columns are ignored.
+triplet; repeated rows follow each other; null doc_ids come last; one document is
+followed by itself; an empty table gives no rows. A range holds all rows of equal
+id and text; the rows of one id (or without one) are dealt into several by their
+texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsight.llm.common import partitions, small_batches
+from logsight.llm.common import materialize, partitions, small_batches
 
 BUCKETS = 256
 #: The difference from which two digests count as wholly unlike.
@@ -64,22 +67,42 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, 1.0 - steps / FAR)
 
 
-def fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order; the first row marked `closing` follows the last document."""
-    held: tuple | None = None
-    closed = False
+_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_ROW = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDGE = "first_text string, last_id string, last_text string"
+
+
+def _successions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order: a row for each document with its successor in the range, and one for the ends of the range."""
+    at, first, held = None, None, None
+    names = ["range", *_COLUMNS, "first_text", "last_id", "last_text"]
+
+    def edge() -> pd.DataFrame:
+        return pd.DataFrame([(at, *[None] * len(_COLUMNS), first, held[0], held[1])], columns=names, dtype=object)
+
     for frame in frames:
         out = []
-        for doc_id, text, closing in zip(frame["doc_id"], frame["text"], frame["closing"], strict=True):
-            if closed:
-                break
-            text = text or ""
-            own = (doc_id, text, digest(text))
-            if held is not None:
-                out.append(_row(held, own))
-            held, closed = own, bool(closing)
+        for where, doc_id, text in zip(frame["range"].tolist(), frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
+            own = (doc_id, text or "", digest(text))
+            if where != at:
+                if held is not None:
+                    yield edge()
+                at, first = where, own[1]
+            else:
+                out.append((where, *_row(held, own), None, None, None))
+            held = own
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
+    if held is not None:
+        yield edge()
+
+
+def _last_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last document of each range with the first text of the next one."""
+    for frame in frames:
+        if len(frame):
+            rows = [_row((i, t, digest(t)), (None, n, digest(n))) for i, t, n in zip(frame["last_id"].tolist(), frame["last_text"].tolist(), frame["next_text"].tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _row(one: tuple, following: tuple) -> tuple:
@@ -88,28 +111,53 @@ def _row(one: tuple, following: tuple) -> tuple:
     edited = text[: len(text) - half] + following[1][:half]
     other = digest(edited)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return None if pd.isna(doc_id) else int(doc_id), len(text), sha, written(own), written(other), likeness(own, other), likeness(own, following[2])
+    return doc_id, len(text), sha, written(own), written(other), likeness(own, other), likeness(own, following[2])
+
+
+def _bounds(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n - 1 pairs (place, checksum) that cut the rows into ranges of about equal size; a place of very many rows is cut by checksums."""
+    low = rows.agg(F.min("place")).first()[0]
+    if low is None or n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    beyond = (F.col("place").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("double")
+    cuts = rows.agg(F.percentile_approx(beyond, [i / n for i in range(1, n)], 100 * n)).first()[0]
+    places, times = np.unique(np.array([low + int(c) for c in cuts], dtype=object), return_counts=True)
+    pairs = [(min(p, 2**63 - 1), (1 << 32) * j // t) for p, t in zip(places.tolist(), times.tolist(), strict=True) for j in range(t)]
+    return tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True))
+
+
+def _range_of(bounds: tuple[np.ndarray, np.ndarray]):
+    places, sums = bounds
+
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series, checksum: pd.Series) -> pd.Series:
+        p, c = place.to_numpy(np.int64), checksum.to_numpy(np.int64)
+        out, end = np.searchsorted(places, p, "left"), np.searchsorted(places, p, "right")
+        for k in np.unique(out[end > out]).tolist():
+            own = np.flatnonzero((out == k) & (end > out))
+            out[own] += np.searchsorted(sums[k : end[own[0]]], c[own], "right")
+        return pd.Series(out.astype(np.int32))
+
+    return range_of
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
     n = partitions(spark)
-    shares = [i / n for i in range(1, n + 1)]
-    # one id a range: existing ids, so that each is the first of its range
-    found = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("ids"), F.max("doc_id").alias("top")).first()
-    firsts = sorted({*(found.ids or ()), *([] if found.top is None else [found.top])}, reverse=True)
-    bounds = F.array(*(F.lit(x) for x in firsts)).cast("array<long>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(max(0, len(firsts) - 1))).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))) - 1)
-    if firsts:
-        before = F.when(own > 0, own - 1).otherwise(F.lit(len(firsts) - 1))
-        places = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(F.struct(own.alias("range"), F.lit(False).alias("closing")), F.struct(before.alias("range"), F.lit(True).alias("closing"))))
-        places = places.otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("closing"))))
-    else:  # all ids are null: the rows follow each other by text, the first also closes
-        places = F.array(F.struct(F.lit(0).alias("range"), F.lit(False).alias("closing")), F.struct(F.lit(0).alias("range"), F.lit(True).alias("closing")))
-    dealt = rows.select("doc_id", "text", F.inline(places)).repartitionById(max(1, len(firsts)), F.col("range")).sortWithinPartitions("closing", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInPandas(
-        fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+    # place: descending ids, null last; its checksum is beyond those of the least id, which has the same place
+    place = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(2**63 - 1))
+    bounds = _bounds(documents.select(place.alias("place")), n)
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) + F.when(F.col("doc_id").isNull(), F.lit(1 << 33)).otherwise(F.lit(0))
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", place.alias("place"), checksum.alias("checksum"))
+    # a range holds whole checksums; those of null ids count from 2^33
+    rows = rows.withColumn("range", _range_of(bounds)("place", F.col("checksum") % (1 << 33)) + F.when(F.col("checksum") >= 1 << 33, len(bounds[0]) + 1).otherwise(0))
+    dealt = rows.repartitionById(2 * len(bounds[0]) + 2, F.col("range")).sortWithinPartitions("range", "place", "checksum", "text").select("range", "doc_id", "text")
+    found = materialize(dealt.mapInPandas(_successions, f"range int, {_ROW}, {_EDGE}"), "op8-successions")
+    ends = found.where("last_text IS NOT NULL").select("range", "first_text", "last_id", "last_text")
+    order = ends.select("range").distinct()  # one row a range
+    following = order.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy())).alias("next"))
+    closed = ends.select("range", "last_id", "last_text").join(following, "range").join(ends.select(F.col("range").alias("next"), F.col("first_text").alias("next_text")), "next")
+    last = closed.select("last_id", "last_text", "next_text").mapInPandas(_last_rows, _ROW)
+    return found.where("last_text IS NULL").select(*_COLUMNS).union(last).withColumn("doc_id", F.col("doc_id").cast("long"))
