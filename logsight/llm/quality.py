@@ -17,8 +17,9 @@ Rows whose crc32(doc_id as text) mod 5 is 0 are held out of learning. labels,
 lang, source and doc_id are never inputs of a score.
 
 Cases: null and empty texts are scored as the texts they are; rows without a
-label, with null labels or null ids teach nothing; without any labels every
-score is 0.5; repeated rows each give a row. Other columns are ignored.
+label, with null labels or null ids teach nothing; of the rows of one labelled id
+the least text teaches, with each of its labels; without any labels every score is
+0.5; repeated rows each give a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,9 +139,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     texts = documents.select(F.col("doc_id").cast("long"), "text")
     usable = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("label")).where(F.col("label").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by = F.xxhash64("doc_id")
-    few, many = (usable.where(F.col("label") == v).orderBy(by, "doc_id").limit(n) for v, n in ((0.0, sample // 2), (1.0, sample - sample // 2)))
+    few, many = (usable.where(F.col("label") == v).distinct().orderBy(by, "doc_id").limit(n) for v, n in ((0.0, sample // 2), (1.0, sample - sample // 2)))
     chosen = few.union(many)
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(_sample_features, "doc_id long, features binary, label double").toPandas()
+    # one text, the least, of a labelled id: at most `sample` rows come out
+    once = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = once.join(F.broadcast(chosen), "doc_id").mapInPandas(_sample_features, "doc_id long, features binary, label double").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["doc_id", "label"])
@@ -157,13 +161,14 @@ def classify(documents: DataFrame, model: Model | None, extra: tuple[str, ...] =
     fields = [f for f in rows.schema.fields if f.name in ("doc_id", *extra)]
     spread = documents.sparkSession.sparkContext.broadcast(model)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
-        for frame in frames:
-            texts = frame["text"].tolist()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             found = own.scores(_matrix(texts)) if own is not None and len(texts) else np.full(len(texts), 0.5)
-            yield frame[[f.name for f in fields]].assign(score=found)
+            # the other columns stay in Arrow: pandas would round whole numbers beside a null
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(found, pa.float64())], names=[*(f.name for f in fields), "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    scored = rows.mapInPandas(score, schema)
+    scored = rows.mapInArrow(score, schema)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in extra if c != "doc_id"])
