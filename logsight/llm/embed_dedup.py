@@ -101,6 +101,8 @@ def near_duplicate_vectors(
 
     def in_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array([np.asarray(v, np.float64) for v in pdf["vector"]])
+        _, exponent = np.frexp(np.abs(x).max(axis=1))  # by a power of two, which changes no cosine and keeps squares in range
+        x = np.ldexp(np.ldexp(x, -(exponent // 2)[:, None]), -(exponent - exponent // 2)[:, None])
         return tile_links(pdf["id"].to_numpy(), pdf["copies"].to_numpy(), x, pdf["side"].to_numpy(), threshold)
 
     found = materialize(tiles.groupBy("label", "dim", "i", "j").applyInPandas(in_tile, _TILE), "op1-links")
