@@ -94,18 +94,19 @@ def join_in_parts(rows: DataFrame, one: DataFrame, key: str, other: str) -> Data
     return salted.join(spread.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the nodes of `edges`; component is the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step takes a minimum by
     key, which Spark combines before the shuffle, and joins it back to the links
     of a node in `SALTS` parts, so a node of very many links is not gathered in
-    one task. Each round is written to the shared folder.
+    one task. Each round is written to the shared folder; it ends when a round
+    changes no link.
     """
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     pairs = materialize(pairs, "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         stat = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(stat) == seen or stat[0] == 0:
             break
@@ -119,8 +120,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         step = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         discard(pairs)
         pairs = step
-    else:
-        raise RuntimeError("components did not settle")
     child = pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return child.union(roots)
