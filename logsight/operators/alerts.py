@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import alert_id
+from logsight.operators.lineage import settled
 from logsight.operators.windows import join_back
 
 # Severity 0 to 6 as numbers and names of log records.
@@ -22,34 +21,48 @@ def anchored(alerts: DataFrame, keys: Sequence[str], window_ns: int = 900_000_00
 
     An alert within the window of the anchor, either way, folds into it; any
     other is the next anchor. The anchor doesn't move, so this is a fold and no
-    session. Keys are split at gaps longer than the window first: what follows
-    such a gap always starts anew. Gaps are found from the first and last time
-    in each cell of the window's width, and a burst's rows pass in order of
-    time through a task that holds the anchor and the count alone.
+    session, yet no task walks along it:
+
+    1. Each time of a key points to the first one beyond its window, which lies
+       in the next cell of the window's width or is the first of a later one.
+    2. What follows a gap longer than the window is an anchor for sure. From
+       these, anchors are reached by pointers that double in each round: after
+       k rounds the first 2^k anchors of every unbroken burst are known.
+    3. A cell holds one anchor at most, so a row's anchor is that of its own
+       cell or of the one before, an equi-join. Nothing holds more than the
+       rows of one cell, or one row a cell of a key.
     """
-    spark = alerts.sparkSession
-    rows = alerts.select(*keys, F.col(time).alias("_t"), tie, F.expr(f"(`{time}` - pmod(`{time}`, {window_ns})) div {window_ns}").alias("_cell"))
-    cells = rows.groupBy(*keys, "_cell").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    cell = lambda t: F.expr(f"({t} - pmod({t}, {window_ns})) div {window_ns}")
+    rows = alerts.select(*keys, F.col(time).alias("_t"), tie)
+    times = settled(rows.select(*keys, "_t").distinct().withColumn("_cell", cell("_t")), "anchor-times")
     order = Window.partitionBy(*keys).orderBy("_cell")
-    new = F.coalesce((F.col("_low") - F.lag("_high").over(order) > window_ns).cast("int"), F.lit(1))
-    bursts = cells.withColumn("_new", new).withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_cell", "_burst")
-    dealt = join_back(rows, bursts, [*keys, "_cell"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_burst").sortWithinPartitions(*keys, "_burst", "_t", tie)
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, anchor, n = None, 0, 0
-        for frame in frames:
-            groups = list(zip(*(frame[c].where(frame[c].notna(), None) for c in (*keys, "_burst")), strict=True))
-            anchors, counts = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            for i, (g, t) in enumerate(zip(groups, frame["_t"].tolist(), strict=True)):
-                if g == last and abs(t - anchor) <= window_ns:
-                    n += 1
-                else:
-                    last, anchor, n = g, t, 1
-                anchors[i], counts[i] = anchor, n
-            yield frame[[*keys, tie]].assign(anchor_ns=anchors, dedup_count=counts)
-
-    kinds = dict(alerts.dtypes)
-    return dealt.select(*keys, "_burst", "_t", tie).mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, tie)) + ", anchor_ns long, dedup_count long")
+    cells = times.groupBy(*keys, "_cell").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    begins = F.coalesce(F.col("_low") - F.lag("_high").over(order) > window_ns, F.lit(True))
+    far = F.when(F.lead("_cell").over(order) > F.col("_cell") + 1, F.lead("_low").over(order)).otherwise(F.lead("_low", 2).over(order))
+    cells = settled(cells.withColumns({"_begins": begins, "_far": far}), "anchor-cells")
+    # the first time of the next cell that is beyond the window's end: asked for in that cell, behind times equal to it
+    asks = times.select(*keys, (F.col("_t") + window_ns).alias("_at"), (F.col("_cell") + 1).alias("_cell"), F.lit(True).alias("_asks"), "_t")
+    both = times.select(*keys, F.col("_t").alias("_at"), "_cell", F.lit(False).alias("_asks"), "_t").union(asks)
+    ahead = Window.partitionBy(*keys, "_cell").orderBy(F.col("_at").desc(), F.col("_asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("_near", F.min(F.when(~F.col("_asks"), F.col("_at"))).over(ahead)).where("_asks").select(*keys, "_t", (F.col("_cell") - 1).alias("_cell"), "_near")
+    step = join_back(near, cells.select(*keys, "_cell", "_far"), [*keys, "_cell"]).select(*keys, "_t", F.coalesce("_near", "_far").alias("_next"))
+    step = settled(step.where("_next IS NOT NULL"), "anchor-steps")
+    known = settled(cells.where("_begins").select(*keys, F.col("_low").alias("_t")), "anchors")
+    n = known.count()
+    while True:
+        reached = join_back(known, step, [*keys, "_t"]).select(*keys, F.col("_next").alias("_t"))
+        known = settled(known.union(reached).distinct(), "anchors")
+        if (grown := known.count()) == n:
+            break
+        n = grown
+        further = step.select(*keys, F.col("_next").alias("_after"), F.col("_t").alias("_next"))
+        step = settled(join_back(step, further, [*keys, "_next"]).select(*keys, "_t", F.col("_after").alias("_next")), "anchor-steps")
+    at = settled(known.select(*keys, F.col("_t").alias("_a"), cell("_t").alias("_cell")), "anchors")
+    dealt = join_back(rows.withColumn("_cell", cell("_t")), at.withColumnRenamed("_a", "_own"), [*keys, "_cell"], "left")
+    dealt = join_back(dealt, at.select(*keys, F.col("_a").alias("_before"), (F.col("_cell") + 1).alias("_cell")), [*keys, "_cell"], "left")
+    anchor = F.when(F.col("_own") <= F.col("_t"), F.col("_own")).otherwise(F.col("_before"))
+    number = F.row_number().over(Window.partitionBy(*keys, "anchor_ns").orderBy("_t", tie)).cast("long")
+    return dealt.withColumn("anchor_ns", anchor).withColumn("dedup_count", number).select(*keys, tie, "anchor_ns", "dedup_count")
 
 
 def deduplicated(alerts: DataFrame, keys: Sequence[str], window_ns: int = 900_000_000_000) -> DataFrame:

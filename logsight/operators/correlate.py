@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import alert_id
+from logsight.operators.folds import fold_by_key
 from logsight.operators.query import regex_condition
-from logsight.operators.windows import sliding
+from logsight.operators.windows import join_back, running_total, within
 
 
 @dataclass(frozen=True)
@@ -71,20 +72,20 @@ def correlate(events: DataFrame, rule: CorrelationRule, arrays: Sequence[str] =
     """Events at which the rule fires, with counts and risk (K1, K2).
 
     events: entity, entity_type and the fields of the conditions. A condition
-    is one flag column summed over the window, so rows are read once for all
-    conditions. The window holds events of the same time, also later ones in
-    input order. The contributing events are joined back to the fired ones by
-    entity and stretch of time; no list grows inside a window.
+    is one flag column summed over the window by `within`, so rows are read once
+    for all conditions and the work is linear in the rows of a busy entity. The
+    window holds events of the same time, also later ones in input order. The
+    contributing events are joined back to the fired ones by entity and stretch
+    of time; no list grows inside a window.
     """
     span = rule.window_seconds * 1_000_000_000
     marked = events.where(F.col("entity_type") == rule.entity_type)
-    w = sliding(["entity"], span)
     for i, c in enumerate(rule.conditions):
         hit = F.col("source_type") == c.source_type
         for name, pattern in c.patterns.items():
             hit = hit & regex_condition(F.col(name), pattern, name in arrays)
         marked = marked.withColumn(f"_f{i}", hit)
-    counted = marked.select("*", *(F.sum(F.col(f"_f{i}").cast("int")).over(w).alias(f"_c{i}") for i in range(len(rule.conditions))))
+    counted = within(marked, ["entity"], span, {f"_c{i}": ("sum", F.col(f"_f{i}").cast("int")) for i in range(len(rule.conditions))})
     met = sum(((F.col(f"_c{i}") >= c.min_count).cast("int") for i, c in enumerate(rule.conditions)), F.lit(0))
     n = sum((F.when(F.col(f"_c{i}") >= c.min_count, F.col(f"_c{i}")).otherwise(0) for i, c in enumerate(rule.conditions)), F.lit(0))
     fired = counted.withColumn("n_events", n).where(met >= rule.min_sources)
@@ -108,13 +109,24 @@ def correlate(events: DataFrame, rule: CorrelationRule, arrays: Sequence[str] =
 def kill_chain_window(alerts: DataFrame, least: int = 3, span_ns: int = 86_400_000_000_000) -> DataFrame:
     """Alerts at which an entity has at least `least` distinct tactics in the window (K5, the window form).
 
-    Each tactic's last time before the row is a running maximum, so the window
-    needs no list of alerts.
+    A tactic counts from each of its times for the span; such stretches of one
+    tactic that meet are one. An alert's tactics are the stretches begun up to
+    it less those that have ended, a running total of +1 and -1 by entity, split
+    by time. No window moves and none collects a set.
     """
-    each = alerts.select("entity_value", "alert_id", "timestamp_ns", F.explode(F.array_distinct("mitre_tactics")).alias("tactic"))
-    w = Window.partitionBy("entity_value").orderBy("timestamp_ns").rangeBetween(-span_ns, 0)
-    counted = each.withColumn("tactics", F.size(F.collect_set("tactic").over(w)))
-    return counted.groupBy("alert_id", "entity_value", "timestamp_ns").agg(F.max("tactics").alias("n_tactics")).where(F.col("n_tactics") >= least)
+    own = alerts.select("entity_value", "timestamp_ns", F.explode(F.array_distinct("mitre_tactics")).alias("tactic")).distinct()
+    w = Window.partitionBy("entity_value", "tactic").orderBy("timestamp_ns")
+    opens = F.coalesce(F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) > span_ns, F.lit(True))
+    closes = F.coalesce(F.lead("timestamp_ns").over(w) - F.col("timestamp_ns") > span_ns, F.lit(True))
+    marked = own.withColumns({"opens": opens, "closes": closes})
+    steps = marked.where("opens").select("entity_value", "timestamp_ns", F.lit(1).alias("step"))
+    steps = steps.union(marked.where("closes").select("entity_value", (F.col("timestamp_ns") + span_ns + 1).alias("timestamp_ns"), F.lit(-1).alias("step")))
+    asked = alerts.select("entity_value", "timestamp_ns", F.lit(0).alias("step")).distinct()
+    # of one time: what begins and ends before what asks
+    ordered = steps.groupBy("entity_value", "timestamp_ns").agg(F.sum("step").alias("step")).withColumn("asks", F.lit(False)).union(asked.withColumn("step", F.lit(0).cast("long")).withColumn("asks", F.lit(True)))
+    counted = running_total(ordered, ["entity_value"], "step", "n", ["timestamp_ns", "asks"]).where("asks").select("entity_value", "timestamp_ns", F.col("n").cast("int").alias("n_tactics"))
+    found = join_back(alerts.select("alert_id", "entity_value", "timestamp_ns").distinct(), counted.where(F.col("n_tactics") >= least), ["entity_value", "timestamp_ns"])
+    return found.select("alert_id", "entity_value", "timestamp_ns", "n_tactics")
 
 
 def kill_chain_fold(frame: pd.DataFrame, least: int = 3, span_ns: int = 86_400_000_000_000, most: int = 14, state: tuple[dict, bool] | None = None) -> tuple[pd.DataFrame, tuple[dict, bool]]:
@@ -136,11 +148,12 @@ def kill_chain_fold(frame: pd.DataFrame, least: int = 3, span_ns: int = 86_400_0
     return pd.DataFrame(rows, columns=["entity_value", "alert_id", "timestamp_ns", "n_tactics", "risk_score"]), (first, fired)
 
 
-def kill_chain(alerts: DataFrame, least: int = 3, span_ns: int = 86_400_000_000_000) -> DataFrame:
-    """Kill chain alerts of each entity (K5)."""
+def kill_chain(alerts: DataFrame, least: int = 3, span_ns: int = 86_400_000_000_000, segment: int = 100_000) -> DataFrame:
+    """Kill chain alerts of each entity (K5): the exact fold, in segments of an entity's alerts."""
     kind = dict(alerts.dtypes)["alert_id"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kill_chain_fold(pdf.sort_values(["timestamp_ns", "alert_id"]), least, span_ns)[0]
+    def fold(pdf: pd.DataFrame, state: tuple[dict, bool] | None) -> tuple[pd.DataFrame, tuple[dict, bool]]:
+        return kill_chain_fold(pdf, least, span_ns, state=state)
 
-    return alerts.select("entity_value", "alert_id", "timestamp_ns", "mitre_tactics").groupBy("entity_value").applyInPandas(fold, f"entity_value string, alert_id {kind}, timestamp_ns long, n_tactics int, risk_score double")
+    rows = alerts.select("entity_value", "alert_id", "timestamp_ns", "mitre_tactics")
+    return fold_by_key(rows, ["entity_value"], fold, f"entity_value string, alert_id {kind}, timestamp_ns long, n_tactics int, risk_score double", ("timestamp_ns", "alert_id"), segment)

@@ -9,7 +9,6 @@ key and minute, not one an event.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsight.operators.folds import fold_by_key
 from logsight.operators.windows import ORDER, join_back, minute_buckets, ranked
 
 
@@ -243,28 +243,31 @@ def _percentiles(numbered: DataFrame, key: str, t: TailThreshold) -> DataFrame:
     return numbered.where(F.col("rank") <= t.window).groupBy(key).agg(p.alias("p"), F.count("*").alias("c")).where(F.col("c") >= t.window).select(key, F.col("p")[0].alias("u"), F.col("p")[1].alias("l"))
 
 
-def tail_anomalies(scored: DataFrame, key: str, t: TailThreshold) -> DataFrame:
+def tail_anomalies(scored: DataFrame, key: str, t: TailThreshold, segment: int = 100_000) -> DataFrame:
     """(key, event_id, rank, score, anomaly, upper, lower) of the rows beyond the percentiles after the first window.
 
     Rows between the percentiles never change the state but for their number,
-    which the rank holds, so only the first window and the few rows beyond are folded.
+    which the rank holds, so only the first window and the few rows beyond are
+    folded, in segments of a key's rows.
     """
     types = dict(scored.dtypes)
     numbered = ranked(scored, [key])
-    few = join_back(numbered, _percentiles(numbered, key, t), [key]).where((F.col("rank") <= t.window) | (F.col("score") > F.col("u")) | (F.col("score") < F.col("l"))).select(key, "event_id", "rank", "score")
+    few = join_back(numbered, _percentiles(numbered, key, t), [key]).where((F.col("rank") <= t.window) | (F.col("score") > F.col("u")) | (F.col("score") < F.col("l"))).select(key, "timestamp_ns", "event_id", "rank", "score")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        s = t.begin(pdf.loc[pdf["rank"] <= t.window, "score"].to_numpy())
+    def fold(pdf: pd.DataFrame, state: tuple[list, dict | None] | None) -> tuple[pd.DataFrame, tuple[list, dict | None]]:
+        head, s = state or ([], None)
+        head = head + pdf.loc[pdf["rank"] <= t.window, "score"].tolist() if s is None else head
         rest = pdf[pdf["rank"] > t.window]
+        if s is None and len(rest):
+            head, s = [], t.begin(np.array(head))
         rows = []
         for r in rest.itertuples():
             zu, zl = s["zu"], s["zl"]
             rows.append((t.step(s, r.score, r.rank), zu, zl))
         flags = pd.DataFrame(rows, columns=["anomaly", "upper", "lower"], index=rest.index)
-        return pd.concat([rest, flags], axis=1)
+        return pd.concat([rest, flags], axis=1), (head, s)
 
-    return few.groupBy(key).applyInPandas(fold, f"{key} {types[key]}, event_id {types['event_id']}, rank int, score double, anomaly boolean, upper double, lower double")
+    return fold_by_key(few, [key], fold, f"{key} {types[key]}, event_id {types['event_id']}, rank long, score double, anomaly boolean, upper double, lower double", ("timestamp_ns", "event_id"), segment)
 
 
 def adjusted_thresholds(thresholds: DataFrame, false_positives: DataFrame, key: str = "source_type", factor: float = 1.05, cap: float = 5.0) -> DataFrame:
@@ -327,8 +330,3 @@ def forest_scores(events: DataFrame, key: str, forest: Forest) -> DataFrame:
     mass = hit.groupBy(key, "win", "tree", "leaf").agg(F.count("*").alias("mass")).withColumn("win", F.col("win") + 1)
     summed = hit.join(mass, [key, "win", "tree", "leaf"], "left").groupBy("event_id", key, "win").agg(F.sum(F.coalesce("mass", F.lit(0))).alias("m"))
     return summed.select("event_id", key, F.when(F.col("win") == 0, 0.0).otherwise(1 - F.col("m") / F.lit(float(forest.trees * forest.window))).alias("score"))
-
-
-def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run any fold over each key's rows in order; for states that no window expresses."""
-    return rows.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf.sort_values(order, ignore_index=True)), schema)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsight.operators.folds import fold_by_key
 from logsight.operators.windows import ORDER, before
 
 #: Weights of time of day, source novelty, volume and pattern novelty.
@@ -47,13 +48,12 @@ def pattern_novelty(events: DataFrame, key: str = "entity") -> DataFrame:
     return events.withColumn("pattern_novelty", F.when(F.col("template_id").isNull(), 0.0).otherwise((n == 0).cast("double")))
 
 
-def pattern_novelty_exact(events: DataFrame, key: str = "entity", alpha: float = 0.05, top: int = 32) -> DataFrame:
-    """1 - weight / largest weight of decayed template weights, the `top` largest kept."""
+def pattern_novelty_exact(events: DataFrame, key: str = "entity", alpha: float = 0.05, top: int = 32, segment: int = 100_000) -> DataFrame:
+    """1 - weight / largest weight of decayed template weights, the `top` largest kept (U5), in segments of a key's events."""
     types = dict(events.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER), ignore_index=True)
-        weights: dict = {}
+    def fold(pdf: pd.DataFrame, weights: dict | None) -> tuple[pd.DataFrame, dict]:
+        weights = weights or {}
         out = np.zeros(len(pdf))
         for i, t in enumerate(pdf["template_id"]):
             if pd.isna(t):
@@ -64,9 +64,9 @@ def pattern_novelty_exact(events: DataFrame, key: str = "entity", alpha: float =
             weights[t] = weights.get(t, 0.0) + alpha
             if len(weights) > top:
                 weights = dict(sorted(weights.items(), key=lambda x: -x[1])[:top])
-        return pdf[[key, "event_id"]].assign(pattern_novelty=out)
+        return pdf[[key, "event_id"]].assign(pattern_novelty=out), weights
 
-    scored = events.select(key, *ORDER, "template_id").groupBy(key).applyInPandas(fold, f"{key} {types[key]}, event_id {types['event_id']}, pattern_novelty double")
+    scored = fold_by_key(events.select(key, *ORDER, "template_id"), [key], fold, f"{key} {types[key]}, event_id {types['event_id']}, pattern_novelty double", segment=segment)
     return events.join(scored, [key, "event_id"])
 
 

@@ -24,10 +24,40 @@ def before(*keys: str, order: Sequence[str] = ORDER):
 
 
 def sliding(keys: Sequence[str], span_ns: int):
-    """Rows of the key within span_ns before the row, both ends included."""
+    """Frame of the rows of the key within span_ns before the row, both ends included; for keys of few rows, see `within`."""
     return Window.partitionBy(*keys).orderBy("timestamp_ns").rangeBetween(-span_ns, 0)
 
 
+def within(rows: DataFrame, keys: Sequence[str], span_ns: int, values: dict[str, tuple[str, Column]], time: str = "timestamp_ns") -> DataFrame:
+    """Sums, maxima or minima over the rows of the key within span_ns before each row, both ends included.
+
+    values: column name to ("sum", "max" or "min", expression). The result is
+    that of a moving frame, without one: time is cut into blocks of the span, so
+    a row's window is what its block has up to it, and what the block before has
+    from the window's start on. Both are running values inside one block, from
+    its begin and from its end, so the work is linear and no task holds more of
+    a key than the different times of one block.
+    """
+    how = {n: {"sum": F.sum, "max": F.max, "min": F.min}[k] for n, (k, _) in values.items()}
+    per = rows.groupBy(*keys, F.col(time).alias("_t")).agg(*(how[n](e).alias(n) for n, (_, e) in values.items()))
+    none = [F.lit(None).cast(per.schema[n].dataType).alias(n) for n in values]
+    asked = per.select(*keys, F.col("_t").alias("_own"), (F.col("_t") - span_ns).alias("_t"), F.lit(True).alias("_start"), *none)
+    both = per.select(*keys, F.col("_t").alias("_own"), "_t", F.lit(False).alias("_start"), *values).union(asked).withColumn("_b", floor_to(F.col("_t"), span_ns))
+    block = Window.partitionBy(*keys, "_b")
+    up, down = block.orderBy("_t"), block.orderBy(F.col("_t").desc())  # rows of one time stand together
+    parts = both.select(*keys, "_own", *(F.when(F.col("_start"), how[n](n).over(down)).otherwise(how[n](n).over(up)).alias(n) for n in values))
+    return join_back(rows.withColumn("_own", F.col(time)), parts.groupBy(*keys, "_own").agg(*(how[n](n).alias(n) for n in values)), [*keys, "_own"]).drop("_own")
+
+
+def running_total(rows: DataFrame, keys: Sequence[str], value: str, out: str, order: Sequence[str], time: str = "timestamp_ns", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """Sum of the value over the key's rows up to each one, in order, which begins with the time; split by buckets of time."""
+    cut = rows.withColumn("_b", floor_to(F.col(time), bucket_ns))
+    per = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_n"))
+    starts = per.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return join_back(cut.withColumn("_r", own), starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_r")).drop("_b", "_s", "_r")
+
+
 def minute_buckets(events: DataFrame, keys: Sequence[str], bucket_ns: int, cap: int) -> DataFrame:
     """Counts of each key and bucket; after each, at most `cap` empty buckets of the gap to the next.
 
@@ -57,7 +87,7 @@ def ranked(rows: DataFrame, keys: Sequence[str], out: str = "rank", bucket_ns: i
     per = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     starts = per.withColumn("_s", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return join_back(cut.withColumn("_r", own), starts, [*keys, "_b"]).withColumn(out, (F.col("_s") + F.col("_r")).cast("int")).drop("_b", "_s", "_r")
+    return join_back(cut.withColumn("_r", own), starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_r")).drop("_b", "_s", "_r")
 
 
 def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6, warm_up: int = 100) -> DataFrame:

@@ -123,8 +123,8 @@ def k9(spark, d):
 
 @query("w1_sliding_window", f"WITH {EV} SELECT event_id, count(*) OVER w AS n, round(max(value) OVER w, 6) AS top FROM ev WINDOW w AS (PARTITION BY entity ORDER BY timestamp_ns RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW)")
 def w1(spark, d):
-    w = windows.sliding(["entity"], 6 * HOUR)
-    return rounded(events(spark, d).select("event_id", F.count("*").over(w).alias("n"), F.max("value").over(w).alias("top")), "top")
+    counted = windows.within(events(spark, d), ["entity"], 6 * HOUR, {"n": ("sum", F.lit(1)), "top": ("max", F.col("value"))})
+    return rounded(counted.select("event_id", "n", "top"), "top")
 
 
 BK = f"{EV}, b0 AS (SELECT source_type, timestamp_ns // {HOUR} AS bucket, count(*) AS n FROM ev GROUP BY 1, 2), b1 AS (SELECT *, coalesce(lead(bucket) OVER (PARTITION BY source_type ORDER BY bucket) - bucket - 1, 0) AS gap FROM b0), b2 AS (SELECT source_type, bucket, n, unnest(range(0, least(gap, 100) + 1)) AS step FROM b1), bk AS (SELECT source_type, bucket + step AS bucket, CASE WHEN step = 0 THEN n ELSE 0 END AS n, row_number() OVER (PARTITION BY source_type ORDER BY bucket, step) AS seq FROM b2)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logsight.functions import attack, identity, text
 from logsight.operators import aggregates, templates
+from logsight.operators.lineage import shared_path
 from logsight.plans.base import AL, EV, LN, alerts, events, lines, query, table
 from logsight.sources import readers, sinks
 
@@ -88,6 +89,17 @@ def a11(spark, d):
     return sinks.first_by_id(events(spark, d).select((F.col("event_id") % 5000).alias("event_id"), "timestamp_ns"))
 
 
+@query("a11_upsert", f"WITH {EV} SELECT event_id, timestamp_ns, CASE WHEN event_id % 3 = 1 THEN value ELSE value + 1000 END AS value, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d') AS day FROM ev")
+def a11_upsert(spark, d):
+    """Two batches, the second with all events and changed values, and again."""
+    path = shared_path(spark, "events")
+    rows = events(spark, d).select("event_id", "timestamp_ns", "value")
+    every = rows.withColumn("value", F.col("value") + 1000)
+    for batch in (rows.where("event_id % 3 = 1"), every.unionByName(every), every):
+        sinks.write_events(batch, path)
+    return spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+
+
 NAMES = "['TRACE','INFORMATIONAL','NOTICE','WARNING','ERROR','CRITICAL','FATAL'][severity_id + 1]"
 
 

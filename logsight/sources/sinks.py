@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logsight.functions.text import SEVERITY_NAMES
+from logsight.operators.lineage import exists, settled
 
 
 def severity_name(severity: Column) -> Column:
@@ -14,15 +18,37 @@ def severity_name(severity: Column) -> Column:
 
 
 def first_by_id(events: DataFrame, key: str = "event_id", order: str = "timestamp_ns") -> DataFrame:
-    """One row an id: the first."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    """One row an id: the first; of rows of one time the least as JSON, so that reruns agree."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order), F.to_json(F.struct(*events.columns))))
     return events.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def write_events(events: DataFrame, path: str, partition: str = "day") -> None:
-    """The event table, one row an id, in folders by day."""
-    rows = first_by_id(events).withColumn(partition, F.to_date(F.timestamp_micros(F.expr("timestamp_ns div 1000"))))
-    rows.repartition(partition, F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode("overwrite").partitionBy(partition).parquet(path)
+def _day() -> Column:
+    return F.to_date(F.timestamp_micros(F.expr("timestamp_ns div 1000")))
+
+
+def write_events(events: DataFrame, path: str, partition: str = "day", files: int = 16) -> None:
+    """Add events to the event table, one row an id, in folders by day.
+
+    An id that the table has keeps its row, so a batch may be written again. The
+    table is looked at in the days of the batch only (an event keeps its time),
+    and only its ids are read; new rows are appended and nothing else is touched.
+    One writer at a time. Rows without an id or a time are left out.
+    """
+    spark = events.sparkSession
+    rows = first_by_id(events.where("event_id IS NOT NULL AND timestamp_ns IS NOT NULL")).withColumn(partition, _day())
+    if exists(spark, path):
+        days = [r[0] for r in events.select(_day().alias("d")).where("d IS NOT NULL").distinct().collect()]  # calendar days
+        there = spark.read.parquet(path).where(F.col(partition).isin(days)).select("event_id")
+        rows = rows.join(there, "event_id", "left_anti")
+    rows.repartition(partition, F.pmod(F.xxhash64("event_id"), F.lit(files))).write.mode("append").partitionBy(partition).parquet(path)
+
+
+def compact_days(spark: SparkSession, path: str, days: Sequence[date], partition: str = "day", files: int = 16) -> None:
+    """Rewrite the given days of the event table in `files` files each; the others stay as they are."""
+    kept = settled(spark.read.parquet(path).where(F.col(partition).isin(list(days))), "compact")
+    dealt = kept.repartition(partition, F.pmod(F.xxhash64("event_id"), F.lit(files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def event_json(events: DataFrame) -> DataFrame:
