@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from logsight.functions import attack
 from logsight.functions.text import SEVERITY_NAMES
-from logsight.operators import aggregates, evaluate, query as q
+from logsight.operators import aggregates, evaluate, search_index
+from logsight.operators import query as q
+from logsight.operators.lineage import shared_path
 from logsight.plans.base import AL, DAY, EV, FIRST, GR, HOUR, LAST, LN, SECOND, alerts, events, graph_rows, lines, query, rounded, table
 from logsight.sources import sinks
 
@@ -40,6 +42,58 @@ def q3(spark, d):
     return table(spark, d, "documents").where(q.phrase_match(F.col("text"), "of The")).select("doc_id", "n_chars")
 
 
+def _stem_sql(words: str) -> str:
+    """DuckDB text: CTEs that give the table st(word, stem) of the table `words`, by the rules of the search index."""
+    x = search_index
+    less = lambda n: f"left(w, length(w) - {n})"
+    has = lambda e, p: f"regexp_matches({e}, '{p}')"
+
+    def endings(table: dict[str, str], measure: str) -> str:
+        cases = " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN {has(less(len(e)), measure)} THEN {less(len(e))} || '{table[e]}' ELSE w END" for e in sorted(table, key=len, reverse=True))
+        return f"CASE {cases} ELSE w END"
+
+    cut = f"CASE WHEN ends_with(w, 'ed') THEN {less(2)} WHEN ends_with(w, 'ing') THEN {less(3)} ELSE '' END"
+    body = "rtrim(w, '#')"
+    steps = [
+        f"CASE WHEN {has('w', '(ss|i)es$')} THEN {less(2)} WHEN {has('w', '[^s]s$')} THEN {less(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(less(3), x.SOME)} THEN {less(1)} ELSE w END WHEN {has(cut, x.VOWEL)} THEN {cut} || '#' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '#') THEN w WHEN {has(body, '(at|bl|iz)$')} THEN {body} || 'e' WHEN {has(body, x.DOUBLE)} THEN left({body}, length({body}) - 1) WHEN {has(body, x.SHORT)} THEN {body} || 'e' ELSE {body} END",
+        f"CASE WHEN ends_with(w, 'y') AND {has(less(1), x.VOWEL)} THEN {less(1)} || 'i' ELSE w END",
+        endings(x.SECOND, x.SOME), endings(x.THIRD, x.SOME), f"CASE WHEN {has('w', '[st]ion$')} THEN CASE WHEN {has(less(3), x.MORE)} THEN {less(3)} ELSE w END ELSE {endings(dict.fromkeys(x.FOURTH, ''), x.MORE)} END",
+        f"CASE WHEN ends_with(w, 'e') AND ({has(less(1), x.MORE)} OR ({has(less(1), x.ONE)} AND NOT {has(less(1), x.SHORT)})) THEN {less(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {has(less(1), x.MORE)} THEN {less(1)} ELSE w END",
+    ]
+    chain = [f"s0 AS (SELECT word, CASE WHEN word[1] = 'y' THEN 'Y' || word[2:] ELSE word END AS w FROM {words})"]
+    chain += [f"s{i + 1} AS (SELECT word, CASE WHEN regexp_matches(word, '^[a-z]{{3,}}$') THEN {step} ELSE w END AS w FROM s{i})" for i, step in enumerate(steps)]
+    return ", ".join([*chain, f"st AS (SELECT word, CASE WHEN regexp_matches(word, '^[a-z]{{3,}}$') THEN lower(w) ELSE word END AS stem FROM s{len(steps)})"])
+
+
+_PLACED = f"pl AS (SELECT event_id, timestamp_ns, unnest(list_zip(range(1, 1 + len(t)), t)) AS p FROM (SELECT event_id, timestamp_ns, regexp_extract_all(lower(message), '[\\pL\\pN]+') AS t FROM ln)), pw AS (SELECT event_id, timestamp_ns, p[1] AS place, p[2] AS word FROM pl)"
+_ASKED = lambda phrase: f"ask AS (SELECT unnest(range(0, {len(phrase.split())})) AS i, unnest({phrase.split()}) AS word)"
+_BEGUN = "SELECT DISTINCT event_id, timestamp_ns FROM (SELECT event_id, timestamp_ns, place - i AS b FROM pw JOIN st USING (word) JOIN ask_st USING (stem) GROUP BY event_id, timestamp_ns, b HAVING count(DISTINCT i) = (SELECT count(*) FROM ask_st))"
+_ALL = "SELECT event_id, timestamp_ns FROM pw JOIN st USING (word) JOIN ask_st USING (stem) GROUP BY event_id, timestamp_ns HAVING count(DISTINCT stem) = (SELECT count(DISTINCT stem) FROM ask_st)"
+
+
+def _index_sql(phrase: str, found: str) -> str:
+    return f"WITH {LN}, {_PLACED}, {_ASKED(phrase)}, vocabulary AS (SELECT word FROM pw UNION SELECT word FROM ask), {_stem_sql('vocabulary')}, ask_st AS (SELECT i, stem FROM ask JOIN st USING (word)) {found}"
+
+
+def _indexed(spark, d):
+    path = shared_path(spark, "index")
+    search_index.build(lines(spark, d), path)
+    return path
+
+
+@query("q3_index_phrase", _index_sql("failing passwords for users", _BEGUN))
+def q3_index(spark, d):
+    return search_index.phrase_hits(spark, _indexed(spark, d), "Failing passwords for users")
+
+
+@query("q3_index_words", _index_sql("users opening sessions", _ALL))
+def q3_index_words(spark, d):
+    return search_index.word_hits(spark, _indexed(spark, d), "users opening sessions")
+
+
 @query("q3_word_search", f"SELECT doc_id FROM documents WHERE contains({TOKENS}, ' the ') AND contains({TOKENS}, ' with ') AND contains({TOKENS}, ' this ')")
 def q3_words(spark, d):
     return table(spark, d, "documents").where(q.words_match(F.col("text"), ["the", "with", "this"])).select("doc_id")
@@ -220,6 +274,13 @@ def g17(spark, d):
     return rounded(aggregates.latency_percentiles(table(spark, d, "events").withColumnRenamed("event_type", "stage"), "stage", "value"), "p50", "p95", "p99")
 
 
+@query("g17_sketch")
+def g17_sketch(spark, d):
+    """Sketches of each hour, merged."""
+    hours = events(spark, d).withColumn("hour", F.expr(f"timestamp_ns div {HOUR}"))
+    return aggregates.merged_percentiles(aggregates.latency_sketches(hours, ["source_type", "hour"], "value"), ["source_type"])
+
+
 @query("g18_rule_counters", f"WITH {AL} SELECT rule_name AS rule_id, count(*) AS match_count, max(timestamp_ns) AS last_fired_ns FROM al GROUP BY 1")
 def g18(spark, d):
     return aggregates.rule_counters(alerts(spark, d).withColumnRenamed("rule_name", "rule_id"))
