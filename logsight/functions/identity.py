@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from logsight.functions.text import OCTET
+from logsight.functions.text import IPV4, OCTET, UUID
 
 # The name spaces of the entity types, and the one of DNS names for alerts.
 NAMESPACES = {
@@ -159,7 +159,7 @@ def register(spark: SparkSession) -> None:
         "FROM (SELECT sha1(concat(unhex(replace(space, '-', '')), encode(name, 'UTF-8'))) AS h))"
     )
     # table functions, to be joined laterally
-    own, slots = (f"split(trim(regexp_replace({x}, '[ \\\\t\\\\r\\\\n]+', ' ')), ' ')" for x in ("message", "template"))
+    own, slots = (f"split(trim(regexp_replace({x}, r'\\s+', ' ')), ' ')" for x in ("message", "template"))
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION template_params(message STRING, template STRING) RETURNS TABLE(place INT, param STRING) RETURN "
         f"SELECT place, own[place] FROM (SELECT {own} AS own, {slots} AS slots) LATERAL VIEW posexplode(slots) p AS place, slot WHERE slot = '<*>' AND size(own) = size(slots)"
@@ -173,4 +173,15 @@ def register(spark: SparkSession) -> None:
         f"FROM (SELECT typed AS all_of) LATERAL VIEW posexplode(all_of) p AS i, a LATERAL VIEW explode(slice(all_of, i + 2, size(all_of))) q AS b WHERE {forth} OR {back}"
     )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION parent_technique(t STRING) RETURNS STRING RETURN CASE WHEN upper(t) RLIKE '^T[0-9]{4}([.][0-9]{3})?$' THEN split(upper(t), '[.]')[0] ELSE t END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION masked(s STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(s, '[ \\\\t\\\\r\\\\n]+', ' ')), '" + rf"(?:{OCTET}[.]){{3}}{OCTET}" + "', '<IP>')")
+    plain = "trim(regexp_replace(substring(s, 1, 8192), r'\\s+', ' '))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION masked(s STRING) RETURNS STRING RETURN regexp_replace(regexp_replace({plain}, r'{IPV4}', '<IP>'), r'{UUID}', '<UUID>')")
+    # each step names the one before, so none is written twice
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION full_ipv6(raw STRING) RETURNS STRING RETURN "
+        "(SELECT CASE WHEN size(whole) = 8 AND forall(whole, g -> g RLIKE '^[0-9a-f]{1,4}$') THEN array_join(transform(whole, g -> lpad(g, 4, '0')), ':') END FROM "
+        "(SELECT CASE WHEN size(halves) = 1 THEN lows WHEN size(halves) = 2 AND size(lows) + size(highs) < 8 THEN concat(lows, array_repeat('0', 8 - size(lows) - size(highs)), highs) END AS whole FROM "
+        "(SELECT halves, CASE WHEN halves[0] = '' THEN array() ELSE split(halves[0], ':') END AS lows, CASE WHEN coalesce(get(halves, 1), '') = '' THEN array() ELSE split(get(halves, 1), ':') END AS highs FROM "
+        "(SELECT split(CASE WHEN bytes = '' THEN t ELSE concat(substr(t, 1, length(t) - length(bytes)), lower(hex(int(b[0]) * 256 + int(b[1]))), ':', lower(hex(int(b[2]) * 256 + int(b[3])))) END, '::') AS halves FROM "
+        f"(SELECT t, bytes, split(bytes, '[.]') AS b FROM (SELECT lower(trim(raw)) AS t, regexp_extract(lower(trim(raw)), '^.*:(({octet}[.]){{3}}{octet})$', 1) AS bytes))))))"
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import alert_id
@@ -68,6 +68,19 @@ RULES = (
 )
 
 
+def correlation_pack(rows: Sequence[Row | Mapping]) -> list[CorrelationRule]:
+    """Correlation rules from Spark rows or dicts (X2); the first of a repeated name counts.
+
+    conditions: a list of {source_type, min_count, patterns}; the other keys are those of `CorrelationRule`.
+    """
+    out: dict[str, CorrelationRule] = {}
+    for r in (r.asDict(recursive=True) if isinstance(r, Row) else r for r in rows):
+        conditions = tuple(Condition(c["source_type"], c.get("min_count") or 1, dict(c.get("patterns") or {})) for c in r["conditions"])
+        rule = CorrelationRule(r["name"], r["entity_type"], r["window_seconds"], r["min_sources"], r["severity"], conditions, tuple(r.get("tactics") or ()), tuple(r.get("techniques") or ()))
+        out.setdefault(rule.name, rule)
+    return list(out.values())
+
+
 def correlate(events: DataFrame, rule: CorrelationRule, arrays: Sequence[str] = (), contributing: bool = False) -> DataFrame:
     """Events at which the rule fires, with counts and risk (K1, K2).
 

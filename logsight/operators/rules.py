@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import alert_id
@@ -67,16 +67,22 @@ def all_of(selections: Mapping[str, Column], prefix: str) -> Column:
     return _every([c for n, c in selections.items() if n.startswith(prefix)])
 
 
+def some_of(selections: Mapping[str, Column], prefix: str, least: int) -> Column:
+    """At least so many of the selections."""
+    found = [F.coalesce(c, F.lit(False)).cast("int") for n, c in selections.items() if n.startswith(prefix)]
+    return sum(found, F.lit(0)) >= least
+
+
 def condition_of(text: str) -> Callable[[Mapping[str, Column]], Column]:
-    """A condition in words, such as `selection and not 1 of filter_*` or `all of them`, as a function of the selections."""
+    """A condition in words, such as `selection and not 2 of filter_*` or `all of them`, as a function of the selections."""
     named: dict[str, Callable[[Mapping[str, Column]], Column]] = {}
 
     def group(m: re.Match) -> str:
         prefix = "" if m[2] == "them" else m[2].rstrip("*")
-        named[name := f"group_{len(named)}"] = lambda s, f=all_of if m[1] == "all" else any_of: f(s, prefix)
+        named[name := f"group_{len(named)}"] = lambda s: all_of(s, prefix) if m[1] == "all" else some_of(s, prefix, 1 if m[1] == "any" else int(m[1]))
         return name
 
-    tree = ast.parse(re.sub(r"\b(1|any|all) of ([\w*]+)", group, text).strip(), mode="eval").body
+    tree = ast.parse(re.sub(r"\b([0-9]+|any|all) of ([\w*]+)", group, text).strip(), mode="eval").body
 
     def column(node: ast.expr, s: Mapping[str, Column]) -> Column:
         match node:
@@ -92,15 +98,15 @@ def condition_of(text: str) -> Callable[[Mapping[str, Column]], Column]:
 
 
 def rule_pack(rows: Sequence[Mapping]) -> list[Rule]:
-    """Rules from rows or dicts with a condition in words (X2); the first of a repeated id counts.
+    """Rules from Spark rows or dicts with a condition in words (X2); the first of a repeated id counts.
 
     selections: name to a list of {field, modifiers, values}; the other keys are those of `Rule`.
     """
     out: dict[str, Rule] = {}
-    for r in rows:
+    for r in (r.asDict(recursive=True) if isinstance(r, Row) else r for r in rows):
         picked = {n: [(x.get("field"), tuple(x.get("modifiers") or ()), tuple(x["values"])) for x in parts] for n, parts in r["selections"].items()}
         source = {k: r[k] or "" for k in ("category", "product", "service") if k in r}
-        out.setdefault(r["rule_id"], Rule(r["rule_id"], r["title"], r["level"], picked, condition_of(r["condition"]), tuple(r.get("tags") or ()), enabled=r.get("enabled", True), **source))
+        out.setdefault(r["rule_id"], Rule(r["rule_id"], r["title"], r["level"], picked, condition_of(r["condition"]), tuple(r.get("tags") or ()), enabled=r.get("enabled") is not False, **source))
     return list(out.values())
 
 

@@ -11,9 +11,13 @@ from logsight.functions.text import synthetic_ip, syslog_header
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], source_type: str = "file") -> DataFrame:
-    """Lines of text files, compressed or not, with where they come from; blank lines and files with NUL are left out (A1)."""
+    """Lines of text files, compressed or not, with where they come from (A1).
+
+    Blank lines are left out, and so is every line of a file that holds a NUL: it is no text.
+    """
     rows = spark.read.text(paths).select(F.col("value"), F.lit(source_type).alias("source_type"), F.col("_metadata.file_path").alias("source_id"))
-    return rows.where((F.trim("value") != "") & ~F.contains("value", F.lit("\x00")))
+    binary = rows.where(F.contains("value", F.lit("\x00"))).select("source_id").distinct()
+    return rows.where(F.trim("value") != "").join(binary, "source_id", "left_anti").select(*rows.columns)
 
 
 def stream_lines(spark: SparkSession, folder: str, source_type: str = "file", max_bytes: int = 65_536) -> DataFrame:
