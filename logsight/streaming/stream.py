@@ -1,14 +1,17 @@
 """Streaming forms of the stateful operators.
 
 A step is a function (state, frame) -> (state, results) over one key's new rows
-in order; the state is a dict that JSON can hold, kept in the state store by
-`with_state`. The batch operators compute the same results, which the tests
+in order; the state is a small dict that JSON can hold, kept in the state store by
+`with_state`. What grows with a key's rows or texts is a list or map of typed
+entries (`windows_met`, `mined`). Keys expire by event time. The batch operators compute the same results, which the tests
 compare. Progress and restarts are left to checkpoints (S7).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -19,35 +22,189 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from logsight.functions.text import template_of
 from logsight.operators.correlate import kill_chain_fold
 from logsight.operators.detectors import Cusum, HoltWinters, TailThreshold
+from logsight.operators.templates import WILD
 
 Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Folding(StatefulProcessor):
-    def __init__(self, step: Step, order: list[str]):
-        self.step, self.order = step, order
+class _Expiring(StatefulProcessor):
+    """Leaves a key's state in the store for idle_ns of event time after its last row, or for good without idle_ns.
+
+    One timer a key: a row that comes later puts it off. When the watermark
+    reaches it, what `forget` names is cleared.
+    """
+
+    def __init__(self, order: list[str], idle_ns: int | None):
+        self.order, self.idle_ns = order, idle_ns
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.idle_ns is not None:
+            self.timer = handle.getValueState("timer", "at long")
+
+    def in_order(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
+        if self.idle_ns is not None and len(frame):
+            # in milliseconds, rounded up
+            at = -(-(int(frame[self.order[0]].iloc[-1]) + self.idle_ns) // 1_000_000)
+            old = self.timer.get()[0] if self.timer.exists() else None
+            if old is None or at > old:
+                if old is not None:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        return frame
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Folding(_Expiring):
+    def __init__(self, step: Step, order: list[str], idle_ns: int | None = None):
+        super().__init__(order, idle_ns)
+        self.step = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin(handle)
         self.state = handle.getValueState("state", "json string")
 
+    def forget(self) -> None:
+        self.state.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
+        frame = self.in_order(rows)
         old = json.loads(self.state.get()[0]) if self.state.exists() else None
         new, out = self.step(old, frame)
         self.state.update((json.dumps(new),))
         yield out
 
-    def close(self) -> None:
-        pass
 
+class _Windows(_Expiring):
+    """The flagged rows of the last span_ns as a list in the state store, each row an entry of its own."""
+
+    def __init__(self, span_ns: int, least: dict[str, int], order: list[str], idle_ns: int | None):
+        super().__init__(order, idle_ns)
+        self.span_ns, self.least = span_ns, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin(handle)
+        self.recent = handle.getListState("recent", "timestamp_ns long, flag string")
+
+    def forget(self) -> None:
+        self.recent.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = self.in_order(rows)
+        held = deque(sorted(self.recent.get()))
+        counts = Counter(flag for _, flag in held)
+        fired = []
+        for row in frame.itertuples():
+            if isinstance(row.flag, str):
+                held.append((int(row.timestamp_ns), row.flag))
+                counts[row.flag] += 1
+            while held and held[0][0] < row.timestamp_ns - self.span_ns:
+                counts[held.popleft()[1]] -= 1
+            if all(counts[k] >= n for k, n in self.least.items()):
+                fired.append((row.entity, row.event_id, row.timestamp_ns, sum(counts[k] for k in self.least)))
+        if held:
+            self.recent.put(list(held))
+        else:
+            self.recent.clear()
+        yield pd.DataFrame(fired, columns=["entity", "event_id", "timestamp_ns", "n_events"])
+
+
+class _Miner(_Expiring):
+    """Templates of one token count and first tokens, a map in the state store from id to template."""
+
+    def __init__(self, share: float, order: list[str], idle_ns: int | None):
+        super().__init__(order, idle_ns)
+        self.share = share
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin(handle)
+        self.known = handle.getMapState("templates", "template_id long", "place int, template string, n long, first_ns long, last_ns long")
+
+    def forget(self) -> None:
+        self.known.clear()
 
-def with_state(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """Run a step over each key's rows with state in RocksDB."""
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = self.in_order(rows)
+        found = sorted([*v, k[0]] for k, v in self.known.iterator())  # place, template, n, first, last, id
+        tokens = [f[1].split(" ") for f in found]
+        out, changed = [], set()
+        for row in frame.itertuples():
+            own = row.mask.split(" ")
+            for i, t in enumerate(tokens):
+                if sum(a == b for a, b in zip(t, own, strict=True)) >= self.share * len(own):
+                    break
+            else:
+                i = len(found)
+                # the id comes from the mask that began the template, and stays when the template widens
+                number = int.from_bytes(hashlib.blake2b(row.mask.encode(), digest_size=8).digest(), "little", signed=True)
+                found.append([i, row.mask, 0, int(row.timestamp_ns), 0, number])
+                tokens.append(own)
+            if tokens[i] != own:
+                tokens[i] = [a if a == b else WILD for a, b in zip(tokens[i], own, strict=True)]
+            f = found[i]
+            f[1], f[2], f[4] = " ".join(tokens[i]), f[2] + 1, max(f[4], int(row.timestamp_ns))
+            changed.add(i)
+            out.append((row.event_id, row.timestamp_ns, f[5], f[1], f[2]))
+        for i in changed:
+            self.known.updateValue((found[i][5],), tuple(found[i][:5]))
+        yield pd.DataFrame(out, columns=["event_id", "timestamp_ns", "template_id", "template", "n"])
+
+
+def _run(rows: DataFrame, keys: list[str], processor: _Expiring, schema: str, slack: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy(*keys).transformWithStateInPandas(_Folding(step, order), schema, "Update", "None")
+    if processor.idle_ns is None:
+        return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "None")
+    timed = rows.withColumn("event_time", F.timestamp_micros(F.expr(f"{processor.order[0]} div 1000"))).withWatermark("event_time", slack)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "EventTime")
+
+
+def with_state(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, idle_ns: int | None = None, slack: str = "30 seconds") -> DataFrame:
+    """Run a step over each key's rows with state in RocksDB.
+
+    With idle_ns, rows pass in event time: those behind the watermark, the newest
+    time of earlier batches less the slack, are left out (S1; Spark takes a new
+    watermark for late rows one batch later than for timers), and a key that
+    has been silent for idle_ns leaves the store. That changes no result when the
+    step forgets within idle_ns by itself: the window of S6, the span of S5, 64
+    half-lives of S4. order begins with the time in nanoseconds.
+    """
+    return _run(rows, keys, _Folding(step, order, idle_ns), schema, slack)
+
+
+def windows_met(rows: DataFrame, keys: list[str], span_ns: int, least: dict[str, int], idle_ns: int | None = None, slack: str = "30 seconds") -> DataFrame:
+    """Rows at which every condition has enough rows in the window.
+
+    rows: entity, event_id, timestamp_ns, flag (the condition's name, or null).
+    """
+    return _run(rows, keys, _Windows(span_ns, least, ["timestamp_ns", "event_id"], idle_ns), "entity string, event_id long, timestamp_ns long, n_events long", slack)
+
+
+def mined(lines: DataFrame, text: str = "message", share: float = 0.4, depth: int = 2, idle_ns: int | None = None, slack: str = "30 seconds") -> DataFrame:
+    """event_id, timestamp_ns, template_id, template and its lines so far, for each line as it comes.
+
+    A tree of fixed depth: lines go by their number of tokens and first `depth`
+    tokens, masked, to a list of templates in order of birth, and join the first
+    one with at least `share` equal tokens, which widens; else they begin one.
+    Within a batch lines pass in order of (time, id). Ids depend on the mask that
+    began a template alone, so restarts keep them.
+    """
+    masked = lines.withColumn("mask", template_of(F.col(text))).where("mask <> ''")
+    tokens = F.split("mask", " ")
+    keyed = masked.select("event_id", "timestamp_ns", "mask", F.size(tokens).alias("size"), F.array_join(F.slice(tokens, 1, depth), " ").alias("head"))
+    return _run(keyed, ["size", "head"], _Miner(share, ["timestamp_ns", "event_id"], idle_ns), "event_id long, timestamp_ns long, template_id long, template string, n long", slack)
 
 
 def risk_step(half_life_ns: int) -> Step:
@@ -93,27 +250,6 @@ def kill_chain_step(least: int, span_ns: int) -> Step:
     return step
 
 
-def window_step(span_ns: int, least: dict[str, int]) -> Step:
-    """Recent rows by condition; fires where every condition has enough in the window.
-
-    frame: entity, event_id, timestamp_ns, flag (the condition's name, or null).
-    """
-
-    def step(state: dict | None, frame: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        recent = [tuple(x) for x in (state or {"recent": []})["recent"]]
-        fired = []
-        for row in frame.itertuples():
-            if isinstance(row.flag, str):
-                recent.append((int(row.timestamp_ns), row.flag))
-            recent = [x for x in recent if x[0] >= row.timestamp_ns - span_ns]
-            counts = {k: sum(f == k for _, f in recent) for k in least}
-            if all(counts[k] >= n for k, n in least.items()):
-                fired.append((row.entity, row.event_id, row.timestamp_ns, sum(counts.values())))
-        return {"recent": recent}, pd.DataFrame(fired, columns=["entity", "event_id", "timestamp_ns", "n_events"])
-
-    return step
-
-
 def bucket_step(detector: Cusum | HoltWinters, bucket_ns: int, keys: list[str]) -> Step:
     """Counts of the open bucket and the detector's state; each event gets the score before it (S3)."""
     cap = detector.season if isinstance(detector, HoltWinters) else 100
@@ -170,8 +306,9 @@ def edge_counts(pairs: DataFrame) -> DataFrame:
 def branches(events: DataFrame, on_all: Callable[[DataFrame, int], None], on_timely: Callable[[DataFrame, int], None], checkpoint: str, slack_ns: int = 30_000_000_000) -> StreamingQuery:
     """All events to one branch, those no more than the slack behind the newest so far to the other.
 
-    The newest time is one number, kept beside the stream's checkpoint and
-    written after each batch; a batch that is repeated sees the same number.
+    The newest time is one number, kept beside the stream's checkpoint in a folder
+    a batch; only the batch before is read, and a repeated batch sees the same
+    number. For the branch alone, `with_state` with idle_ns does it by watermark.
     """
     spark: SparkSession = events.sparkSession
     place = f"{checkpoint}/newest"
@@ -179,12 +316,12 @@ def branches(events: DataFrame, on_all: Callable[[DataFrame, int], None], on_tim
     def each(batch: DataFrame, number: int) -> None:
         past = -1
         if number:
-            past = spark.read.schema("newest long, batch long").json(place).where(F.col("batch") < number).agg(F.coalesce(F.max("newest"), F.lit(-1))).first()[0]
+            past = spark.read.schema("newest long").json(f"{place}/{number - 1}").agg(F.coalesce(F.max("newest"), F.lit(-1))).first()[0]
         batch = batch.persist()
         on_all(batch, number)
         on_timely(batch.where(F.col("timestamp_ns") >= past - slack_ns), number)
-        newest = batch.agg(F.greatest(F.coalesce(F.max("timestamp_ns"), F.lit(-1)), F.lit(past)).alias("newest"), F.lit(number).cast("long").alias("batch"))
-        newest.coalesce(1).write.mode("append").json(place)
+        newest = batch.agg(F.greatest(F.coalesce(F.max("timestamp_ns"), F.lit(-1)), F.lit(past)).alias("newest"))
+        newest.coalesce(1).write.mode("overwrite").json(f"{place}/{number}")
         batch.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsight.operators import alerts as al
-from logsight.operators import correlate, detectors, graph, windows
+from logsight.operators import correlate, detectors, graph, templates, windows
 from logsight.plans.base import DAY, HOUR, alerts, events
 from logsight.streaming import stream
 
@@ -62,7 +62,7 @@ def test_kill_chain(spark, parts, tmp_path):
 def test_sliding_rule(spark, parts, tmp_path):
     rows, df = source(spark, parts, "events")
     flag = F.when(F.col("source_type").isin("error", "purchase"), F.col("source_type"))
-    got = stream.with_state(rows.withColumn("flag", flag), ["entity"], ["timestamp_ns", "event_id"], stream.window_step(DAY, {"error": 3, "purchase": 1}), "entity string, event_id long, timestamp_ns long, n_events long")
+    got = stream.windows_met(rows.withColumn("flag", flag), ["entity"], DAY, {"error": 3, "purchase": 1})
     stream.run_once(got, "rule", str(tmp_path))
     rule = correlate.CorrelationRule("x", "user", 86_400, 2, 5, (correlate.Condition("error", 3), correlate.Condition("purchase", 1)))
     batch = correlate.correlate(df.withColumn("entity_type", F.lit("user")), rule).toPandas()
@@ -97,6 +97,76 @@ def test_branches(spark, parts, tmp_path):
     assert sum(whole) == df.count() and sum(timely) == sum(whole) and len(whole) == 3
 
 
+def drained(result, checkpoint):
+    """What a stream gives for the files that are there, and the rows in its state store after the last batch."""
+    out = []
+    query = result.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["stateOperators"]]
+    return out, progress[-1]["stateOperators"][0]["numRowsTotal"] if progress else None
+
+
+SECOND = 10**9
+
+
+def written(spark, folder, *batches, schema="k string, timestamp_ns long, alert_id string, points double, dedup_key string, entity string, event_id long, flag string"):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, t * SECOND, f"a{t}", 1.0, k, k, t, f) for k, t, f in rows], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_silent_keys_leave_the_store(spark, tmp_path):
+    """Of 60 keys that speak once, none is left when time has passed; late rows behind the watermark are left out."""
+    old = [(f"k{i}", i, "x") for i in range(1, 61)]
+    rows = written(spark, str(tmp_path / "in"), old, [("new", 5000, "x")], [("new", 5001, "x")], [("new", 5002, "x"), ("k1", 100, "x")], [("new", 5003, "x")])
+    schema = "dedup_key string, alert_id string, anchor_ns long, dedup_count long"
+    step = stream.dedup_step(900 * SECOND)
+    kept, total = drained(stream.with_state(rows, ["dedup_key"], ["timestamp_ns", "alert_id"], step, schema), str(tmp_path / "a"))
+    short, left = drained(stream.with_state(rows, ["dedup_key"], ["timestamp_ns", "alert_id"], step, schema, idle_ns=900 * SECOND), str(tmp_path / "b"))
+    late = {r.alert_id for r in kept} - {r.alert_id for r in short}
+    assert late == {"a100"} and sorted(r for r in kept if r.alert_id != "a100") == sorted(short)
+    assert left < 10 < total
+
+
+def test_window_lists_expire(spark, tmp_path):
+    batches = [[(f"k{i}", i % 7, "x") for i in range(40)], [("k1", 8, "y"), ("k2", 9, "x")], [("k3", 4000, "x")], [("k3", 4001, "y")], [("k3", 4003, "y")]]
+    rows = written(spark, str(tmp_path / "in"), *batches)
+    every, total = drained(stream.windows_met(rows, ["entity"], 60 * SECOND, {"x": 1, "y": 1}), str(tmp_path / "a"))
+    found, left = drained(stream.windows_met(rows, ["entity"], 60 * SECOND, {"x": 1, "y": 1}, idle_ns=60 * SECOND), str(tmp_path / "b"))
+    assert sorted(every) == sorted(found) and {(r.entity, r.n_events) for r in found} == {("k1", 2), ("k3", 2), ("k3", 3)}
+    assert left < 12 < total
+
+
+def test_mined_templates(spark, tmp_path):
+    """Streamed templates are those of the batch rule on lines in order of how common their masks are; ids outlive a restart."""
+    bodies = ["session opened for user {0}", "session closed for user root", "session opened for root {0}", "disk full on node {0}", "disk gone on node {0} now", "disk full at node x"]
+    masks = [b.replace("{0}", "<*>") for b in bodies for _ in range(1)]
+    lines = [(i, f"{bodies[k]}".replace("{0}", f"n{i}")) for i, k in enumerate(k for k in range(len(bodies)) for _ in range(20 - 3 * k))]
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+
+    def put(part, number):
+        spark.createDataFrame([(i, i * SECOND, m) for i, m in part], "event_id long, timestamp_ns long, message string").coalesce(1).write.parquet(f"{folder}/{number}")
+
+    put(lines[:25], 0)
+    rows = spark.readStream.schema("event_id long, timestamp_ns long, message string").option("recursiveFileLookup", True).parquet(folder)
+    first, _ = drained(stream.mined(rows), checkpoint)
+    put(lines[25:], 1)
+    second, _ = drained(stream.mined(rows), checkpoint)
+    got = first + second
+    assert sorted(r.event_id for r in got) == [i for i, _ in lines]
+    groups = {}
+    for m, n in ((m, 20 - 3 * k) for k, m in enumerate(masks)):
+        groups.setdefault((len(m.split()), tuple(m.split()[:2])), []).append((m, n))
+    wanted = {t for g in groups.values() for t in templates.merge_masks(g).values()}
+    final = {}
+    for r in sorted(got, key=lambda r: r.event_id):
+        final[r.template_id] = (r.template, r.n)
+    assert {t for t, _ in final.values()} == wanted
+    assert sum(n for _, n in final.values()) == len(lines)
+    again, _ = drained(stream.mined(rows), str(tmp_path / "d"))
+    assert {r.template_id for r in again} == set(final)
+
+
 def test_counts(spark, parts, tmp_path):
     rows, df = source(spark, parts, "events")
     stream.run_once(stream.template_counts(rows.withColumn("template", F.col("source_type"))), "templates", str(tmp_path / "a"), "complete")
