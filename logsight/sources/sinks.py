@@ -78,3 +78,22 @@ def alert_sink(alerts: DataFrame, path: str, checkpoint: str, floor: int = 0, pe
     """A stream of alerts to JSON files by day, from a severity on."""
     rows = alerts.where(F.col("severity_id") >= floor).withColumn("day", F.to_date(F.timestamp_micros(F.expr("timestamp_ns div 1000"))))
     return rows.writeStream.format("json").option("maxRecordsPerFile", per_file).option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).start()
+
+
+def rotating_alert_sink(alerts: DataFrame, path: str, checkpoint: str, floor: int = 0, max_bytes: int = 50_000_000, every_ns: int = 86_400_000_000_000) -> StreamingQuery:
+    """A stream of alerts to JSON files that change by time and size.
+
+    A file holds alerts of one period of `every_ns` and begins anew after
+    `max_bytes`, so it has at most one line more. A batch writes folders of its
+    own (batch, period, file) and a repeated batch writes them again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col("severity_id") >= floor)
+        lines = rows.select(F.expr(f"timestamp_ns div {every_ns}").alias("period"), "timestamp_ns", "alert_id", F.to_json(F.struct(*batch.columns)).alias("value"))
+        before = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("period").orderBy("timestamp_ns", "alert_id", "value").rowsBetween(Window.unboundedPreceding, -1))
+        filed = lines.withColumn("file", F.floor(F.coalesce(before, F.lit(0)) / max_bytes))
+        dealt = filed.repartition("period", "file").sortWithinPartitions("period", "file", "timestamp_ns", "alert_id")
+        dealt.select("period", "file", "value").write.mode("overwrite").partitionBy("period", "file").text(f"{path}/batch={number}")
+
+    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
