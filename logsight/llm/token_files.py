@@ -2,7 +2,8 @@
 
 `write_token_files` deals the documents into ranges of doc_id, encodes each
 whole text, appends an end id to each document and writes a pair of Arrow IPC
-files for each range: `ids-*`, record batches of fixed-size lists (ids, mask),
+files for each range: `ids-*`, record batches of fixed-size lists (ids, and masks
+by number from the file's dictionary of all masks),
 all batches but the last with equally many sequences, so sequence i lies at a
 computable place and can be read from a memory map without a copy; and
 `docs-*`, where each document begins in its file and how many ids it has. Only
@@ -16,6 +17,7 @@ an empty table has an empty manifest. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +41,13 @@ def file_system(uri: str):
 
 
 def sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length)))])
+
+
+@functools.cache
+def masks(length: int) -> pa.FixedSizeListArray:
+    """All masks that there are: number n has n ones, then zeros. A file holds them once, as the dictionary of its mask column."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.tril(np.ones((length + 1, length), np.uint8), -1).reshape(-1)), length)
 
 
 class _Writer:
@@ -83,8 +91,8 @@ class _Writer:
     def _batch(self, flat: np.ndarray, size: int) -> None:
         values = np.zeros(size, self.kind.to_pandas_dtype())
         values[: len(flat)] = flat
-        mask = (np.arange(size) < len(flat)).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
+        valid = np.clip(len(flat) - np.arange(0, size, self.length), 0, self.length).astype(np.int32)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length), pa.DictionaryArray.from_arrays(pa.array(valid), masks(self.length))]
         self.sequences.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += size // self.length
 
@@ -148,8 +156,9 @@ def sequence_at(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarra
     """ids and mask (1 or 0 a place) of sequence i, both views of the file."""
     per = reader.get_batch(0).num_rows
     batch = reader.get_batch(i // per)
-    ids, mask = (batch.column(c)[i % per].values for c in ("ids", "mask"))
-    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
+    mask = batch.column("mask")
+    own = mask.dictionary.slice(mask.indices[i % per].as_py(), 1).flatten()
+    return batch.column("ids")[i % per].values.to_numpy(zero_copy_only=True), own.to_numpy(zero_copy_only=True)
 
 
 def read_token_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -181,8 +190,8 @@ def _read_pair(part: int, ids_file: str, docs_file: str) -> Iterator[pa.RecordBa
                 while got < size:
                     batch = sequences.get_batch(at)
                     at += 1
-                    ids, mask = batch.column("ids").flatten(), batch.column("mask").flatten()
-                    valid = int(mask.to_numpy(zero_copy_only=True).sum(dtype=np.int64))
+                    ids = batch.column("ids").flatten()
+                    valid = int(batch.column("mask").indices.to_numpy().sum())  # a mask's number is its ones
                     parts.append(ids.to_numpy(zero_copy_only=True)[:valid])
                     got += valid
                 held, begins = np.concatenate(parts), start
