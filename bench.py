@@ -55,6 +55,8 @@ def main() -> None:
     rates = {n: round(rows / took[q]) for n, q in (("syslog_parse", "a4_syslog_header"), ("template_mining", "e4_templates"), ("entity_extraction", "e13_entity_refs"), ("full_normaliser", "n1_normalise"), ("full_pipeline", "a18_analyse"))}
     times = int(os.environ.get("BENCH_REPEAT", "10"))
     many = lines(spark, sf).select("event_id", "timestamp_ns", "source_type", "message").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("event_id", F.col("event_id") * times + F.col("k"))
+    # another word in each repetition, so that mining meets new masks
+    many = many.withColumn("message", F.concat("message", F.lit(" unit"), F.expr("chr(97 + k % 26)"), F.expr("chr(97 + k div 26)")))
     m = F.col("message")
     entities = identity.entity_refs(text.ips(m), text.users(m), text.hosts(m), text.domains(m), text.files(m), text.processes(m))
     stages = {

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsight.functions import attack, identity, text
 from logsight.operators import alerts as al
-from logsight.operators import detectors, rules, windows
+from logsight.operators import correlate, detectors, graph, rules, ueba, windows
 from logsight.operators.lineage import settled, spread
 from logsight.sources.readers import syslog
 
@@ -27,38 +28,142 @@ def normalised(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"template_id": F.xxhash64("template"), "entity_type": kind, "entity": F.coalesce(value, F.lit("")), "entity_refs": refs, "mapped": attack.of_template(F.col("template"))})
 
 
-def anomalies(events: DataFrame, bucket_ns: int, warm_up: int, season: int, sequence_warm_up: int) -> DataFrame:
-    """Scores of volume, change, sequence and template volume, normalised and blended, for each event.
+CONTENT = ("f_severity", "f_hour", "f_length", "f_entities")
 
-    The columns of the events pass through; events are joined with tables of
-    one row a bucket, never with each other.
+
+def content(events: DataFrame) -> DataFrame:
+    """What the content score sees of an event, each from 0 to 1."""
+    size = F.size("entity_refs") if "entity_refs" in events.columns else F.lit(0)
+    length = F.length("message") if "message" in events.columns else F.lit(0)
+    hour = F.pmod(F.floor(F.col("timestamp_ns") / 3_600_000_000_000), F.lit(24))
+    return events.withColumns({"f_severity": F.col("severity_id") / 6, "f_hour": hour / 24, "f_length": F.least(length / 512, F.lit(1.0)), "f_entities": F.least(size / 16, F.lit(1.0))})
+
+
+#: The six detectors, in the order of their weights.
+DETECTORS = ("content", "volume", "change", "sequence", "template_volume", "entity_volume")
+
+
+def anomalies(events: DataFrame, bucket_ns: int, warm_up: int, season: int, sequence_warm_up: int, forest: detectors.Forest | None = None) -> DataFrame:
+    """Scores of content, volume, change, sequence, template and entity volume, normalised and blended, for each event.
+
+    events: event_id, timestamp_ns, source_type, severity_id, entity, template_id
+    and entity_refs. The columns of the events pass through; events are joined
+    with tables of one row a bucket or one an event.
     """
     source = ["source_type"]
+    if not set(CONTENT) <= set(events.columns):
+        events = content(events)
+    forest = forest or detectors.Forest(CONTENT)
     scored = detectors.score_events(events, detectors.fold_buckets(events, source, detectors.HoltWinters(season=season), bucket_ns), source, bucket_ns, "volume")
     scored = detectors.score_events(scored, detectors.fold_buckets(events, source, detectors.Cusum(warm_up=warm_up), bucket_ns), source, bucket_ns, "change")
     scored = windows.markov_scores(scored, ["source_type", "entity"], warm_up=sequence_warm_up).withColumnRenamed("score", "sequence")
+    scored = detectors.template_volume(scored, detectors.HoltWinters(season=season), bucket_ns).withColumnRenamed("score", "template_volume")
+    inside = detectors.forest_scores(events.select("event_id", "timestamp_ns", *source, *forest.features), source[0], forest).select("event_id", F.col("score").alias("content"))
+    entities = detectors.entity_volume(events, detectors.HoltWinters(season=season), bucket_ns).withColumnRenamed("score", "entity_volume")
     # what follows reads the scores several times over
-    scored = settled(detectors.template_volume(scored, detectors.HoltWinters(season=season), bucket_ns).withColumnRenamed("score", "template_volume"))
-    names = ("volume", "change", "sequence", "template_volume")
-    scored = windows.running_z_by_bucket(scored, source, names, bucket_ns * 24, [f"z_{name}" for name in names])
-    zs = [F.col(f"z_{name}") for name in names]
-    return scored.withColumn("anomaly_score", windows.amplified(windows.blended(zs, windows.BLEND[1:5]), zs))
+    scored = settled(scored.join(inside, "event_id", "left").join(entities, "event_id", "left"), "scores")
+    scored = windows.running_z_by_bucket(scored, source, DETECTORS, bucket_ns * 24, [f"z_{name}" for name in DETECTORS])
+    zs = [F.col(f"z_{name}") for name in DETECTORS]
+    return scored.withColumn("anomaly_score", windows.amplified(windows.blended(zs), zs)).drop(*CONTENT)
 
 
-def analyse(lines: DataFrame, detection_rules: Sequence[rules.Rule] = (), bucket_ns: int = 3_600_000_000_000, warm_up: int = 30, season: int = 24, sequence_warm_up: int = 100, tail: detectors.TailThreshold | None = None, dedup_ns: int = 900_000_000_000) -> DataFrame:
-    """Alerts of detectors and rules, deduplicated."""
-    # read by every detector and rule; ids of entities are not needed here
-    events = settled(normalised(lines).drop("entity_refs", "mapped"))
-    wanted = ["event_id", "timestamp_ns", "source_type", "severity_id", "entity", "template_id"]
-    scored = settled(anomalies(events.select(*wanted), bucket_ns, warm_up, season, sequence_warm_up).select(*wanted, "anomaly_score"))
-    tails = detectors.tail_anomalies(scored.withColumnRenamed("anomaly_score", "score"), "source_type", tail or detectors.TailThreshold())
+# Alert families: each gives alert_id, alert_type, rule_name, timestamp_ns, severity_id, entity, risk_score, tactics.
+COLUMNS = ("alert_id", "alert_type", "rule_name", "timestamp_ns", "severity_id", "entity", "risk_score", "tactics")
+
+
+def _alerts(rows: DataFrame, kind: str, rule: Column | str, risk: Column, severity: Column, key: Sequence[Column | str], tactics: Column | None = None) -> DataFrame:
+    name = F.lit(rule) if isinstance(rule, str) else rule
+    return rows.select(identity.alert_id(kind, *key).alias("alert_id"), F.lit(kind).alias("alert_type"), name.alias("rule_name"), F.col("timestamp_ns").cast("long").alias("timestamp_ns"), severity.cast("int").alias("severity_id"), F.col("entity"), risk.cast("double").alias("risk_score"), (F.array().cast("array<string>") if tactics is None else tactics).alias("tactics"))
+
+
+KINDS = ("ip", "user", "host", "domain", "file", "process")
+
+
+def _named(kind: str) -> Column:
+    """The event's entities of a kind as (kind, value, uuid); the name stands for the id."""
+    return F.transform(f"related_{kind}s", lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.concat(F.lit(f"{kind}:"), v).alias("uuid")))
+
+
+def anomaly_alerts(scored: DataFrame, tail: detectors.TailThreshold) -> DataFrame:
+    tails = detectors.tail_anomalies(scored.withColumnRenamed("anomaly_score", "score"), "source_type", tail)
     odd = scored.join(tails.where("anomaly").select("event_id"), "event_id", "left_semi")
-    found = odd.select(identity.alert_id("ml", F.col("event_id")).alias("alert_id"), F.lit("ml").alias("alert_type"), F.lit("blended").alias("rule_name"), "timestamp_ns", "severity_id", "entity")
+    return _alerts(odd, "ml", "blended", F.greatest(F.lit(0.0), F.least("anomaly_score", F.lit(1.0))), F.col("severity_id"), [F.col("event_id")])
+
+
+def rule_alerts(events: DataFrame, detection_rules: Sequence[rules.Rule]) -> DataFrame:
+    logs = events.withColumns({"category": F.col("source_type"), "product": F.lit(""), "service": F.lit("")})
+    levels = F.create_map(*(x for r in detection_rules for x in (F.lit(r.rule_id), F.lit(rules.LEVELS.get(r.level, 3)))))
+    tactics = F.create_map(*(x for r in detection_rules for x in (F.lit(r.rule_id), F.array(*map(F.lit, rules.tags_of(r)[0])).cast("array<string>"))))
+    rule, severity = F.col("rule_id"), levels[F.col("rule_id")]
+    return _alerts(rules.rule_matches(logs, detection_rules), "sigma", rule, severity / 6, severity, [rule, F.col("event_id")], tactics[rule])
+
+
+def correlation_alerts(events: DataFrame, correlation_rules: Sequence[correlate.CorrelationRule]) -> DataFrame:
+    """Windows of each user and address of an event; the lines count as syslog."""
+    kinds = sorted({r.entity_type for r in correlation_rules} & set(KINDS))
+    each = F.concat(*map(_named, kinds))
+    rows = settled(events.select("event_id", "timestamp_ns", F.lit("syslog").alias("source_type"), "message", F.explode(F.array_distinct(each)).alias("e")).select("*", F.col("e.value").alias("entity"), F.col("e.kind").alias("entity_type")).drop("e"), "correlated")
+    out = []
+    for r in correlation_rules:
+        found = correlate.correlate(rows, r)
+        out.append(_alerts(found, "correlation", r.name, F.col("risk_score"), F.lit(r.severity), [F.lit(r.name), F.col("entity"), F.col("timestamp_ns")], F.array(*map(F.lit, r.tactics)).cast("array<string>")))
+    return functools.reduce(DataFrame.union, out).distinct()
+
+
+def indicator_alerts(events: DataFrame, indicators: DataFrame) -> DataFrame:
+    seen = F.concat(F.transform("related_ips", lambda v: F.struct(F.when(F.contains(v, F.lit(":")), "ipv6").otherwise("ipv4").alias("kind"), v.alias("value"))), F.transform("related_domains", lambda v: F.struct(F.lit("domain").alias("kind"), v.alias("value"))))
+    observed = events.select("event_id", "timestamp_ns", F.explode(F.array_distinct(seen)).alias("o")).select("event_id", "timestamp_ns", "o.kind", "o.value")
+    found = rules.indicator_alerts(rules.match_indicators(observed, indicators)).withColumn("entity", F.col("value"))
+    return _alerts(found, "ioc", F.concat(F.lit("ioc-"), F.col("kind")), F.col("risk_score"), F.col("severity_id"), [F.col("event_id"), F.col("value")], F.col("tactics"))
+
+
+def behaviour_alerts(events: DataFrame) -> DataFrame:
+    known = events.where("entity <> ''").select("event_id", "timestamp_ns", "entity", "template_id", "related_ips")
+    found = ueba.composite(known).where("alert")
+    return _alerts(found, "ueba", "behaviour", F.col("composite"), F.col("severity"), [F.col("event_id")])
+
+
+def graph_alerts(events: DataFrame, snapshot_ns: int) -> DataFrame:
+    """Edges between communities, and vertices that reach more than they used to."""
+    edges = settled(graph.infer_edges(events.select("timestamp_ns", F.concat(*map(_named, KINDS)).alias("typed"))), "edges")
+    pairs = edges.groupBy("source_id", "target_id").agg(F.min("timestamp_ns").alias("timestamp_ns"))
+    across = graph.crossings(pairs, graph.communities(pairs.select("source_id", "target_id"))).withColumn("entity", F.col("source_id"))
+    out = _alerts(across, "graph", "community-crossing", F.col("risk_score"), F.lit(3), [F.col("source_id"), F.col("target_id")])
+    daily = edges.groupBy(F.col("source_id").alias("vertex"), F.expr(f"timestamp_ns div {snapshot_ns}").alias("snapshot")).agg(F.countDistinct("target_id").alias("fan_out"), F.max("timestamp_ns").alias("timestamp_ns"))
+    wide = graph.fan_out_alerts(windows.fan_out_baseline(daily)).withColumn("entity", F.col("vertex"))
+    return out.union(_alerts(wide, "graph", "fan-out", F.col("risk_score"), F.lit(3), [F.col("vertex"), F.col("snapshot")]))
+
+
+def chain_alerts(found: DataFrame, span_ns: int) -> DataFrame:
+    """Kill chains over the alerts of the other families."""
+    rows = found.where("size(tactics) > 0 AND entity <> ''").select("alert_id", "timestamp_ns", F.col("entity").alias("entity_value"), F.col("tactics").alias("mitre_tactics")).dropDuplicates(["alert_id"])
+    chains = correlate.kill_chain(rows, span_ns=span_ns).withColumn("entity", F.col("entity_value"))
+    return _alerts(chains, "correlation", "kill-chain", F.col("risk_score"), F.lit(5), [F.lit("kill-chain"), F.col("alert_id")])
+
+
+def all_alerts(
+    lines: DataFrame, detection_rules: Sequence[rules.Rule] = (), correlation_rules: Sequence[correlate.CorrelationRule] = correlate.RULES, indicators: DataFrame | None = None, bucket_ns: int = 3_600_000_000_000,
+    warm_up: int = 30, season: int = 24, sequence_warm_up: int = 100, tail: detectors.TailThreshold | None = None, forest: detectors.Forest | None = None, chain_ns: int = 86_400_000_000_000, snapshot_ns: int = 86_400_000_000_000,
+) -> DataFrame:
+    """Alerts of all families over the lines, one row an alert id."""
+    # written once with what the families read; each then reads its own columns
+    events = settled(content(normalised(lines)).drop("mapped", "template"), "events")
+    wanted = ["event_id", "timestamp_ns", "source_type", "severity_id", "entity", "template_id"]
+    scored = settled(anomalies(events.select(*wanted, "entity_refs", *CONTENT), bucket_ns, warm_up, season, sequence_warm_up, forest).select(*wanted, "anomaly_score"), "anomalies")
+    families = [anomaly_alerts(scored, tail or detectors.TailThreshold()), behaviour_alerts(events), graph_alerts(events, snapshot_ns)]
     if detection_rules:
-        logs = events.withColumns({"category": F.col("source_type"), "product": F.lit(""), "service": F.lit("")})
-        matched = rules.rule_matches(logs, detection_rules)
-        levels = F.create_map(*(x for r in detection_rules for x in (F.lit(r.rule_id), F.lit(rules.LEVELS.get(r.level, 3)))))
-        found = found.unionByName(matched.select(identity.alert_id("sigma", F.col("rule_id"), F.col("event_id")).alias("alert_id"), F.lit("sigma").alias("alert_type"), F.col("rule_id").alias("rule_name"), "timestamp_ns", levels[F.col("rule_id")].alias("severity_id"), "entity"))
-    keyed = found.withColumn("dedup_key", F.concat_ws(":", "alert_type", "rule_name", "entity"))
-    folded = al.anchored(keyed, ["dedup_key"], dedup_ns)
-    return folded.groupBy("dedup_key", "anchor_ns").agg(F.max("dedup_count").alias("dedup_count"))
+        families.append(rule_alerts(events, detection_rules))
+    if correlation_rules:
+        families.append(correlation_alerts(events, correlation_rules))
+    if indicators is not None:
+        families.append(indicator_alerts(events, indicators))
+    found = settled(functools.reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in families]).dropDuplicates(["alert_id"]), "alerts")
+    return found.unionByName(chain_alerts(found, chain_ns).select(*COLUMNS))
+
+
+def analyse(lines: DataFrame, detection_rules: Sequence[rules.Rule] = (), dedup_ns: int = 900_000_000_000, **options) -> DataFrame:
+    """Alerts of all families, deduplicated: key, first time, number, largest severity and risk (A18). options: those of `all_alerts`."""
+    found = settled(all_alerts(lines, detection_rules, **options).withColumn("dedup_key", F.concat_ws(":", "alert_type", "rule_name", "entity")), "alerts")
+    folded = al.anchored(found, ["dedup_key"], dedup_ns)
+    joined = folded.join(found.select("alert_id", "severity_id", "risk_score"), "alert_id")
+    return joined.groupBy("dedup_key", "anchor_ns").agg(F.max("dedup_count").alias("dedup_count"), F.max("severity_id").alias("severity_id"), F.max("risk_score").alias("risk_score"))

@@ -542,7 +542,9 @@ def h14(spark, d):
 @query("a18_analyse")
 def a18(spark, d):
     rows = lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message")
-    return batch.analyse(rows, [r for r in SIGMA if r.rule_id != "r5"], sequence_warm_up=10, tail=TAIL, dedup_ns=DAY)
+    bad = table(spark, d, "supplier").select(F.expr("'192.168.' || (s_suppkey % 300) || '.9'").alias("value"), F.lit("ipv4").alias("kind"), (F.col("s_suppkey") % 100).cast("int").alias("confidence"), F.array(F.lit("discovery")).alias("phases"), F.lit(1).alias("feed_order"))
+    found = batch.analyse(rows, SIGMA, DAY, indicators=bad, sequence_warm_up=10, tail=TAIL, forest=detectors.Forest(batch.CONTENT, window=250), chain_ns=3 * DAY)
+    return rounded(found, "risk_score")
 
 
 @query("a19_detectors_only")

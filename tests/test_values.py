@@ -243,7 +243,7 @@ def test_ranks_settle(spark):
 
 
 def test_batch_scores_and_alerts(spark, sf_dir):
-    """The blend of four scores, row by row, and an alert for each event beyond its limits or rule that fires."""
+    """The blend of six scores, row by row; an alert of every family, once."""
     got = QUERIES["a19_detectors_only"](spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/events.parquet").count() == len({r.event_id for r in got})
     assert all(math.isfinite(r.anomaly_score) for r in got) and any(r.volume for r in got) and any(r.sequence for r in got)
@@ -252,18 +252,18 @@ def test_batch_scores_and_alerts(spark, sf_dir):
     past = defaultdict(lambda: defaultdict(list))
     for r in sorted(found, key=lambda r: (r.timestamp_ns, r.event_id)):
         zs = []
-        for name in ("volume", "change", "sequence", "template_volume"):
+        for name in batch.DETECTORS:
             x, own = r[name], past[r.source_type][name]
             zs.append(None if x is None else x if len(own) < 2 else (x - np.mean(own)) / max(np.std(own, ddof=1), 1e-10))
             if x is not None:
                 own.append(x)
-        pairs = [(z, w) for z, w in zip(zs, (0.25, 0.20, 0.25, 0.15), strict=True) if z is not None]
+        pairs = [(z, w) for z, w in zip(zs, (0.30, 0.25, 0.20, 0.25, 0.15, 0.15), strict=True) if z is not None]
         agree = sum(z > 1 for z, _ in pairs)
-        score = sum(z * w for z, w in pairs) / sum(w for _, w in pairs) * (2.0 if agree >= 2 else 1.0)
+        score = sum(z * w for z, w in pairs) / sum(w for _, w in pairs) * (2.0 if agree >= 4 else 1.5 if agree >= 3 else 1.0)
         if all(abs(z - 1) > 1e-6 for z, _ in pairs) and all(abs(z) < 1e4 for z, _ in pairs):
             assert r.anomaly_score == pytest.approx(score, rel=1e-5, abs=1e-5)
     folded = QUERIES["a18_analyse"](spark, sf_dir).collect()
-    assert {k.split(":")[0] for k in (r.dedup_key for r in folded)} <= {"ml", "sigma"} and all(r.dedup_count >= 1 for r in folded)
+    assert {"sigma", "ioc", "graph"} <= {k.split(":")[0] for k in (r.dedup_key for r in folded)} <= {"ml", "sigma", "correlation", "ioc", "ueba", "graph"} and all(r.dedup_count >= 1 for r in folded)
     assert len({(r.dedup_key, r.anchor_ns) for r in folded}) == len(folded)
 
 
