@@ -24,7 +24,9 @@ sure border of one level and that of the next are popped, on the right
 likewise, and the symbols between the sure borders of the highest level that
 has any are the core. Equal passages pop the same symbols and have the same
 core, wherever they stand, and the popped symbols and the core spell the whole
-passage, so equal names (of 128 bits) mean equal passages.
+passage, so equal names mean equal passages as far as no two symbols share a
+name. Over a large corpus some do; whoever decides by names takes those of a
+second recompression, of independent word values, beside them.
 """
 
 from __future__ import annotations

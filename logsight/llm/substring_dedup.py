@@ -7,9 +7,11 @@ window whose words also start in a document with a smaller doc_id are removed.
    window has one anchor, a border of symbols with the names of those round it.
 2. Spark groups the anchors of all documents. Those of a single document end
    here, which is nearly all of them.
-3. Windows whose anchor is shared are named by the symbols that they consist of
-   (128 bits), each name once a document; Spark takes each name's smallest
-   document and joins it back: that verifies the repeat.
+3. Windows whose anchor is shared are named by the symbols that they consist of,
+   and once more by those of a second recompression that begins with independent
+   values of the words: 128 bits that no collision of a word or a symbol passes.
+   Each name counts once a document; Spark takes each name's smallest document
+   and joins it back: that verifies the repeat.
 4. Documents with covered windows are cut; all others keep their words.
 
 Documents with equal words are handled first: all but the smallest doc_id lose
@@ -42,11 +44,11 @@ SALTS = 16
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
-def _chunks(texts: list[str | None], size: int = 400_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[str | None], size: int = 400_000, other: bool = False) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """(text numbers, all their word values, number of the text of each word, first word of each text)."""
     held: list[tuple[int, np.ndarray]] = []
     n = 0
-    for item in words.many_values(texts):
+    for item in words.many_values(texts, other=other):
         held.append(item)
         n += len(item[1])
         if n >= size:
@@ -83,7 +85,8 @@ def _scan(window: int):
 
 def _candidates(frame: pd.DataFrame, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text number, window start in its text, two hashes) of the windows whose anchor is shared, by text."""
-    for numbers, values, docs, first in _chunks(frame["text"].tolist()):
+    texts = frame["text"].tolist()
+    for (numbers, values, docs, first), (_, others, _, _) in zip(_chunks(texts), _chunks(texts, other=True), strict=True):
         found = recompress.symbols(values, docs, window)
         anchors = recompress.window_anchors(found, values, docs, window).view(np.int64)
         ends = np.append(first[1:], len(values))
@@ -93,7 +96,7 @@ def _candidates(frame: pd.DataFrame, window: int) -> Iterator[tuple[np.ndarray,
                 own = anchors[first[k] : ends[k] - window + 1]
                 at.append(np.flatnonzero(np.isin(own, np.asarray(frame["keys"].iloc[i]))) + first[k])
         at = np.concatenate(at)
-        one, two = (recompress.passage_names(found, at, window, second).view(np.int64) for second in (False, True))
+        one, two = (recompress.passage_names(f, at, window).view(np.int64) for f in (found, recompress.symbols(others, docs, window)))
         yield np.asarray(numbers)[docs[at]], at - first[docs[at]], one, two
 
 

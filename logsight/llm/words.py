@@ -10,6 +10,8 @@ import numpy as np
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Coefficients of values that are independent of the others.
+_OTHER = np.random.Generator(np.random.PCG64(77_20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
@@ -38,11 +40,11 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """One 64-bit value a word; equal words have equal values."""
+def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False, other: bool = False) -> np.ndarray:
+    """One 64-bit value a word; equal words have equal values. other: values that are independent of these."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    table = _FOLDED if fold_case else _BYTE
+    table = _OTHER if other else _FOLDED if fold_case else _BYTE
     lengths = ends - starts
     first = np.repeat(starts, lengths)
     at = np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -54,20 +56,20 @@ def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_cas
         power = power * powers[far]
     terms = table[data[first + at]] * power
     sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
-    return mix(sums + lengths.astype(np.uint64))
+    return mix(sums + lengths.astype(np.uint64) * np.uint64(_BASE if other else 1))
 
 
-def values_of(text: str | None, fold_case: bool = False) -> np.ndarray:
+def values_of(text: str | None, fold_case: bool = False, other: bool = False) -> np.ndarray:
     """The word values of one text; empty for null."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends = word_spans(data)
     out = []
     for i in range(0, len(starts), 200_000):  # bounds the working memory of a very long text
-        out.append(word_values(data, starts[i : i + 200_000], ends[i : i + 200_000], fold_case))
+        out.append(word_values(data, starts[i : i + 200_000], ends[i : i + 200_000], fold_case, other))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def many_values(texts: list[str | None], fold_case: bool = False, chunk: int = 1 << 21):
+def many_values(texts: list[str | None], fold_case: bool = False, chunk: int = 1 << 21, other: bool = False):
     """Yield (index of the text, its word values), computed for many short texts at once."""
     i = 0
     while i < len(texts):
@@ -77,11 +79,11 @@ def many_values(texts: list[str | None], fold_case: bool = False, chunk: int = 1
             size += len(parts[-1]) + 1
             j += 1
         if j == i + 1:
-            yield i, values_of(texts[i], fold_case)
+            yield i, values_of(texts[i], fold_case, other)
         else:
             data = np.frombuffer(b" ".join(parts), np.uint8)
             starts, ends = word_spans(data)
-            values = word_values(data, starts, ends, fold_case)
+            values = word_values(data, starts, ends, fold_case, other)
             edges = np.cumsum([len(p) + 1 for p in parts])
             cuts = np.searchsorted(starts, edges)
             last = 0

@@ -1,6 +1,7 @@
 """Equal windows that begin in a run of equal words have equal anchors, whatever comes before."""
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,3 +54,24 @@ def test_passages_are_named_by_what_they_say(seed, letters, window):
 def test_pairs_are_looked_up_by_both_hashes():
     one, two = np.array([1, 1, 1, 2, 3]), np.array([5, 6, 7, 5, 0])
     assert substring_dedup._among(one, two, np.array([3, 1, 1, 9]), np.array([1, 7, 5, 9])).tolist() == [True, False, True, False, False]
+
+
+def test_names_of_few_bits_are_verified_by_the_second_ones():
+    """Where the first names are cut to 16 bits and collide, the second ones tell the windows apart, and equal windows agree in both."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    passage = [vocabulary[i] for i in rng.integers(0, 40, 300)]
+    texts = [" ".join(vocabulary[i] for i in rng.integers(0, 40, 900)) for _ in range(12)] + [" ".join(["pre"] * k + passage) for k in range(3)]
+    windows = {}
+    values = dict(words.many_values(texts))
+    keys = [np.unique(recompress.window_anchors(recompress.symbols(v, np.zeros(len(v), int), 50), v, np.zeros(len(v), int), 50)).view(np.int64) for v in values.values()]
+    frame = pd.DataFrame({"text": texts, "keys": keys})
+    cut, pairs = {}, {}
+    for number, start, one, two in substring_dedup._candidates(frame, 50):
+        for i, s, a, b in zip(number.tolist(), start.tolist(), one.tolist(), two.tolist(), strict=True):
+            own = tuple(texts[i].split()[s : s + 50])
+            assert windows.setdefault(own, (a, b)) == (a, b)
+            cut.setdefault(a & 0xFFFF, set()).add(own)
+            pairs.setdefault((a & 0xFFFF, b), set()).add(own)
+    assert sum(len(x) > 1 for x in cut.values()) > 300
+    assert all(len(x) == 1 for x in pairs.values())
