@@ -8,7 +8,7 @@ from logsight.functions import identity
 from logsight.operators import alerts as al
 from logsight.operators import correlate, detectors, graph, rules, ueba, windows
 from logsight.plans import batch
-from logsight.plans.base import AL, DAY, EV, GR, GRE, HOUR, LN, alerts, events, graph_edges, lines, query, rounded, table
+from logsight.plans.base import AL, DAY, EV, GR, GRE, HOUR, LN, alerts, events, graph_edges, graph_rows, lines, query, rounded, table
 
 BRUTE = correlate.CorrelationRule("brute-force", "user", 86_400, 2, 5, (correlate.Condition("error", 3), correlate.Condition("purchase", 1)))
 UUID = "substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h,17,1)) - 1) % 4 + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12)"
@@ -499,6 +499,12 @@ def h6(spark, d):
     return graph.communities(graph_edges(spark, d), 4)
 
 
+@query("h6_modularity")
+def h6_modularity(spark, d):
+    weighed = graph_rows(spark, d).groupBy("source_id", "target_id").agg(F.count("*").alias("weight"))
+    return graph.communities_by_modularity(weighed)
+
+
 @query("h7_fan_out", f"WITH {GRE} SELECT node, count(target_id) AS fan_out FROM vx LEFT JOIN ge ON source_id = node GROUP BY 1")
 def h7(spark, d):
     return graph.fan_out(graph_edges(spark, d))
