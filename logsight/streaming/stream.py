@@ -163,6 +163,53 @@ class _Miner(_Expiring):
         yield pd.DataFrame(out, columns=["event_id", "timestamp_ns", "template_id", "template", "n"])
 
 
+class _Markov(_Expiring):
+    """Counts of template pairs as maps in the state store (S3 for W5); a batch reads and writes only the pairs that it meets."""
+
+    def __init__(self, keys: list[str], epsilon: float, warm_up: int, order: list[str], idle_ns: int | None):
+        super().__init__(order, idle_ns)
+        self.keys, self.epsilon, self.warm_up = keys, epsilon, warm_up
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin(handle)
+        self.pairs = handle.getMapState("pairs", "prev long, cur long", "n long")
+        self.totals = handle.getMapState("totals", "prev long", "n long")
+        self.last = handle.getValueState("last", "prev long, learned long, met long")
+
+    def forget(self) -> None:
+        for state in (self.pairs, self.totals, self.last):
+            state.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = self.in_order(rows)
+        prev, learned, met = self.last.get() if self.last.exists() else (None, 0, 0)
+        pairs: dict[tuple[int, int], int] = {}
+        totals: dict[int, int] = {}
+        scores = np.zeros(len(frame))
+        for i, cur in enumerate(frame["template_id"].tolist()):
+            if prev is not None:
+                if (prev, cur) not in pairs:
+                    pairs[prev, cur] = self.pairs.getValue((prev, cur))[0] if self.pairs.containsKey((prev, cur)) else 0
+                if prev not in totals:
+                    totals[prev] = self.totals.getValue((prev,))[0] if self.totals.containsKey((prev,)) else 0
+                pair, total = pairs[prev, cur], totals[prev]
+                if learned >= self.warm_up and met > 0:
+                    if total == 0:
+                        scores[i] = 1.0 if met > 1 else 0.0
+                    else:
+                        low = total + self.epsilon * met
+                        scores[i] = min(1.0, max(0.0, np.log((pair + self.epsilon) / low) / np.log(self.epsilon / low)))
+                met += total == 0
+                pairs[prev, cur], totals[prev] = pair + 1, total + 1
+            prev, learned = cur, learned + 1
+        for (a, b), n in pairs.items():
+            self.pairs.updateValue((a, b), (n,))
+        for a, n in totals.items():
+            self.totals.updateValue((a,), (n,))
+        self.last.update((prev, learned, met))
+        yield frame[[*self.keys, "event_id"]].assign(score=scores)
+
+
 def _run(rows: DataFrame, keys: list[str], processor: _Expiring, schema: str, slack: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if processor.idle_ns is None:
@@ -293,6 +340,45 @@ def tail_step(t: TailThreshold, key: str) -> Step:
     return step
 
 
+def markov(events: DataFrame, keys: list[str], epsilon: float = 1e-6, warm_up: int = 100, idle_ns: int | None = None, slack: str = "30 seconds") -> DataFrame:
+    """The keys, event_id and score of each event with a template: how unlikely it is after the one before (S3 for W5)."""
+    types = dict(events.dtypes)
+    rows = events.where("template_id IS NOT NULL").select(*keys, "event_id", "timestamp_ns", F.col("template_id").cast("long").alias("template_id"))
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", event_id {types['event_id']}, score double"
+    return _run(rows, keys, _Markov(keys, epsilon, warm_up, ["timestamp_ns", "event_id"], idle_ns), schema, slack)
+
+
+def z_step(value: str, keys: list[str]) -> Step:
+    """Number, mean and squared deviations of what came before (S3 for W9); each row gets its distance from them."""
+
+    def step(state: dict | None, frame: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        s = state or {"n": 0, "mean": 0.0, "squares": 0.0}
+        out = np.full(len(frame), np.nan)
+        for i, x in enumerate(frame[value]):
+            if pd.isna(x):
+                continue
+            out[i] = x if s["n"] < 2 else (x - s["mean"]) / max((s["squares"] / (s["n"] - 1)) ** 0.5, 1e-10)
+            n, away = s["n"] + 1, x - s["mean"]
+            mean = s["mean"] + away / n
+            s = {"n": n, "mean": float(mean), "squares": float(s["squares"] + away * (x - mean))}
+        return s, frame[[*keys, "event_id"]].assign(z=out)
+
+    return step
+
+
+def template_volume_step(detector: HoltWinters, bucket_ns: int, least: int = 50) -> Step:
+    """The volume score of a (source, template), null until `least` of its events (S3 for W7)."""
+    inner = bucket_step(detector, bucket_ns, ["source_type", "template_id"])
+
+    def step(state: dict | None, frame: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        s = state or {"rank": 0, "volume": None}
+        volume, out = inner(s["volume"], frame)
+        known = s["rank"] + 1 + np.arange(len(frame)) >= least
+        return {"rank": s["rank"] + len(frame), "volume": volume}, out.assign(score=out["score"].where(known))
+
+    return step
+
+
 def template_counts(lines: DataFrame) -> DataFrame:
     """Counts and times of templates, in update mode."""
     return lines.groupBy("template").agg(F.count("*").alias("event_count"), F.min("timestamp_ns").alias("first_seen_ns"), F.max("timestamp_ns").alias("last_seen_ns"))

@@ -80,6 +80,34 @@ def test_detectors(spark, parts, tmp_path, detector):
     same(spark.table(name).toPandas(), detectors.score_events(df, scores, ["source_type"], HOUR).select("event_id", "score").toPandas(), ["event_id"], "score")
 
 
+def test_sequences(spark, parts, tmp_path):
+    rows, df = source(spark, parts, "events")
+    stream.run_once(stream.markov(rows, ["source_type", "entity"], warm_up=2), "markov", str(tmp_path))
+    by_user = windows.markov_scores(df, ["source_type", "entity"], warm_up=2)
+    same(spark.table("markov").toPandas(), by_user.select("event_id", "score").toPandas(), ["event_id"], "score")
+    stream.run_once(stream.markov(rows.withColumn("all", F.lit("x")), ["all"], warm_up=5), "markov_all", str(tmp_path / "all"))
+    batch = windows.markov_scores(df.withColumn("all", F.lit("x")), ["all"], warm_up=5).select("event_id", "score").toPandas()
+    assert (batch["score"] > 0).sum() > 50
+    same(spark.table("markov_all").toPandas(), batch, ["event_id"], "score")
+
+
+def test_running_moments(spark, parts, tmp_path):
+    rows, df = source(spark, parts, "events")
+    got = stream.with_state(rows, ["source_type"], ["timestamp_ns", "event_id"], stream.z_step("value", ["source_type"]), "source_type string, event_id long, z double")
+    stream.run_once(got, "moments", str(tmp_path))
+    same(spark.table("moments").toPandas(), windows.running_z(df, ["source_type"], "value").select("event_id", "z").toPandas(), ["event_id"], "z")
+
+
+def test_template_volume(spark, parts, tmp_path):
+    rows, df = source(spark, parts, "events")
+    detector = detectors.HoltWinters(season=24)
+    got = stream.with_state(rows, ["source_type", "template_id"], ["timestamp_ns", "event_id"], stream.template_volume_step(detector, HOUR, 20), "source_type string, template_id int, event_id long, score double")
+    stream.run_once(got, "volumes", str(tmp_path))
+    batch = detectors.template_volume(df, detector, HOUR, 20).select("event_id", "score").toPandas()
+    assert batch["score"].isna().any() and batch["score"].notna().any()
+    same(spark.table("volumes").toPandas(), batch, ["event_id"], "score")
+
+
 def test_tail_limits(spark, parts, tmp_path):
     rows, df = source(spark, parts, "events")
     t = detectors.TailThreshold(window=60, risk=0.01)
