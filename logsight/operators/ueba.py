@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsight.operators.aggregates import floor_to
 from logsight.operators.folds import fold_by_key
-from logsight.operators.windows import ORDER, before
+from logsight.operators.windows import ORDER, join_back
 
 #: Weights of time of day, source novelty, volume and pattern novelty.
 WEIGHTS = (0.25, 0.30, 0.20, 0.25)
@@ -18,20 +19,45 @@ def hour_of(ns: Column) -> Column:
     return F.pmod(F.floor(ns / 3_600_000_000_000), F.lit(24)).cast("int")
 
 
+_HOUR = 3_600_000_000_000
+_PAST = ("_seen", "_first_ns", "_last_ns", "_hour_n", "_top_n")
+
+
+def past(events: DataFrame, key: str = "entity") -> DataFrame:
+    """Adds what the key's earlier events are: their number, first and last time, the number in the event's hour of the day, and the largest of an hour.
+
+    Events are counted by hour first. Inside one hour only that hour of the day
+    grows, so a row needs its place in the hour and one row of what came before
+    it: no window holds more than the events of one hour, or one row an hour.
+    """
+    cut = events.withColumn("_b", floor_to(F.col("timestamp_ns"), _HOUR))
+    per = cut.groupBy(key, "_b").agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high"))
+    of_hour = Window.partitionBy(key, "hour").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = per.withColumn("hour", hour_of(F.col("_b"))).withColumn("_h0", F.coalesce(F.sum("n").over(of_hour), F.lit(0)))
+    starts = counted.select(key, "_b", "_h0", F.coalesce(F.sum("n").over(of_key), F.lit(0)).alias("_s0"), F.min("low").over(of_key).alias("_f0"), F.max("high").over(of_key).alias("_l0"), F.max(F.col("_h0") + F.col("n")).over(of_key).alias("_t0"))
+    own = Window.partitionBy(key, "_b").orderBy(*ORDER)
+    placed = cut.withColumns({"_r": F.row_number().over(own) - 1, "_f1": F.first("timestamp_ns").over(own), "_l1": F.lag("timestamp_ns").over(own)})
+    both = join_back(placed, starts, [key, "_b"])
+    hour_n = F.col("_h0") + F.col("_r")
+    after = {"_seen": F.col("_s0") + F.col("_r"), "_first_ns": F.coalesce("_f0", F.when(F.col("_r") > 0, F.col("_f1"))), "_last_ns": F.coalesce("_l1", "_l0"), "_hour_n": hour_n, "_top_n": F.greatest(F.coalesce("_t0", F.lit(0)), hour_n)}
+    return both.withColumns(after).drop("_b", "_r", "_f1", "_l1", "_h0", "_s0", "_f0", "_l0", "_t0")
+
+
 def time_of_day(events: DataFrame, key: str = "entity") -> DataFrame:
     """1 - count of the hour / largest count of an hour, before the event."""
-    seen = events.withColumn("hour", hour_of(F.col("timestamp_ns")))
-    own = F.count("*").over(before(key, "hour"))
-    counted = seen.withColumn("own", own)
-    top = F.max(F.col("own") + 1).over(before(key))
-    return counted.withColumn("time_of_day", F.coalesce(1 - F.col("own") / top, F.lit(0.0))).drop("own", "hour")
+    return past(events, key).withColumn("time_of_day", _time_of_day()).drop(*_PAST)
+
+
+def _time_of_day() -> Column:
+    return F.when(F.col("_seen") > 0, 1 - F.col("_hour_n") / F.col("_top_n")).otherwise(0.0)
 
 
 def source_novelty(events: DataFrame, key: str = "entity", ips: str = "related_ips") -> DataFrame:
     """Share of the event's addresses that the key has not had before; 0 without any."""
-    each = events.select("event_id", key, "timestamp_ns", F.posexplode(ips).alias("pos", "ip"))
-    first = F.min(F.struct("timestamp_ns", "event_id")).over(Window.partitionBy(key, "ip"))
-    new = each.withColumn("new", (first["timestamp_ns"] == F.col("timestamp_ns")) & (first["event_id"] == F.col("event_id")))
+    each = events.select("event_id", key, "timestamp_ns", F.explode(ips).alias("ip"))
+    firsts = each.groupBy(key, "ip").agg(F.min(F.struct("timestamp_ns", "event_id")).alias("first"))
+    new = join_back(each, firsts, [key, "ip"]).withColumn("new", F.struct("timestamp_ns", "event_id") == F.col("first"))
     share = new.groupBy("event_id").agg(F.avg(F.col("new").cast("double")).alias("source_novelty"))
     return events.join(share, "event_id", "left").withColumn("source_novelty", F.coalesce("source_novelty", F.lit(0.0)))
 
@@ -44,8 +70,9 @@ def volume_score(rate: Column) -> Column:
 
 def pattern_novelty(events: DataFrame, key: str = "entity") -> DataFrame:
     """1 for a template that the key has not had, 0 else or without a template (U5, the "seen before" form)."""
-    n = F.count("*").over(before(key, "template_id"))
-    return events.withColumn("pattern_novelty", F.when(F.col("template_id").isNull(), 0.0).otherwise((n == 0).cast("double")))
+    firsts = events.where("template_id IS NOT NULL").groupBy(key, "template_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    seen = join_back(events, firsts, [key, "template_id"], "left")
+    return seen.withColumn("pattern_novelty", F.coalesce((F.struct(*ORDER) == F.col("_first")).cast("double"), F.lit(0.0))).drop("_first")
 
 
 def pattern_novelty_exact(events: DataFrame, key: str = "entity", alpha: float = 0.05, top: int = 32, segment: int = 100_000) -> DataFrame:
@@ -91,9 +118,11 @@ def known_ips(events: DataFrame, key: str = "entity", ips: str = "related_ips",
 
 def warm_state(events: DataFrame, key: str = "entity", warm_events: int = 50, warm_ns: int = 7 * 86_400_000_000_000) -> DataFrame:
     """Whether the key had warmed up before the event."""
-    w = before(key)
-    span = F.max("timestamp_ns").over(w) - F.min("timestamp_ns").over(w)
-    return events.withColumn("warm", F.coalesce((F.count("*").over(w) >= warm_events) & (span >= warm_ns), F.lit(False)))
+    return past(events, key).withColumn("warm", _warm(warm_events, warm_ns)).drop(*_PAST)
+
+
+def _warm(warm_events: int, warm_ns: int) -> Column:
+    return F.coalesce((F.col("_seen") >= warm_events) & (F.col("_last_ns") - F.col("_first_ns") >= warm_ns), F.lit(False))
 
 
 def composite(events: DataFrame, key: str = "entity", weights: tuple[float, ...] = WEIGHTS, limit: float = 0.75, warm_events: int = 50, warm_ns: int = 7 * 86_400_000_000_000, volume: Column | None = None) -> DataFrame:
@@ -101,8 +130,9 @@ def composite(events: DataFrame, key: str = "entity", weights: tuple[float, ...]
 
     volume: the mean rate before the event; without it, that of `baselines`.
     """
-    seen = warm_state(events, key, warm_events, warm_ns).withColumn("volume_ema_min", volume if volume is not None else F.when(F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)) > 1, 1.0).otherwise(0.0))
-    scored = pattern_novelty(source_novelty(time_of_day(seen, key), key), key).withColumn("volume", volume_score(F.col("volume_ema_min")))
+    rate = volume if volume is not None else F.when(F.col("_seen") > 0, 1.0).otherwise(0.0)
+    seen = past(events, key).withColumns({"warm": _warm(warm_events, warm_ns), "time_of_day": _time_of_day(), "volume_ema_min": rate}).drop(*_PAST)
+    scored = pattern_novelty(source_novelty(seen, key), key).withColumn("volume", volume_score(F.col("volume_ema_min")))
     parts = ("time_of_day", "source_novelty", "volume", "pattern_novelty")
     total = sum((w * F.col(c) for w, c in zip(weights[1:], parts[1:], strict=True)), weights[0] * F.col(parts[0]))
     out = scored.withColumn("composite", F.when(F.col("warm"), total).otherwise(0.0))

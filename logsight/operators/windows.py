@@ -90,19 +90,53 @@ def ranked(rows: DataFrame, keys: Sequence[str], out: str = "rank", bucket_ns: i
     return join_back(cut.withColumn("_r", own), starts, [*keys, "_b"]).withColumn(out, F.col("_s") + F.col("_r")).drop("_b", "_s", "_r")
 
 
-def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6, warm_up: int = 100) -> DataFrame:
+def previous(rows: DataFrame, keys: Sequence[str], value: str, out: str, order: Sequence[str] = ORDER, time: str = "timestamp_ns", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """The value of the key's row before, in order, which begins with the time; null for the first.
+
+    Each bucket of time begins with a row that holds the last value before it,
+    so no window holds more than the rows of one bucket, or one row a bucket.
+    """
+    cut = rows.withColumn("_b", floor_to(F.col(time), bucket_ns))
+    lasts = cut.groupBy(*keys, "_b").agg(F.max_by(value, F.struct(*order)).alias("_l"))
+    starts = lasts.select(*keys, "_b", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b")).alias(value), F.lit(False).alias("_row"))
+    flow = cut.withColumn("_row", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    own = Window.partitionBy(*keys, "_b").orderBy("_row", *order)
+    return flow.withColumn(out, F.lag(value).over(own)).where("_row").drop("_b", "_row")
+
+
+def counts_before(rows: DataFrame, keys: Sequence[str], counts: dict[str, Sequence[str]], order: Sequence[str] = ORDER, time: str = "timestamp_ns", bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """For each name of `counts`, how many earlier rows of the key equal the row in the named columns.
+
+    Each bucket of time begins with rows that hold what the buckets before have
+    counted, for the values met in it. So all counts share one shuffle of the
+    rows, by key and bucket, and no task holds more of a key than a bucket.
+    """
+    cut = rows.withColumn("_b", floor_to(F.col(time), bucket_ns))
+    flow = cut.withColumns({"_of": F.lit(""), "_n": F.lit(1).cast("long")})
+    for name, more in counts.items():
+        earlier = F.sum("_n").over(Window.partitionBy(*keys, *more).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        starts = cut.groupBy(*keys, "_b", *more).agg(F.count("*").alias("_n")).withColumn("_n", earlier).where("_n > 0")
+        flow = flow.unionByName(starts.withColumn("_of", F.lit(name)), allowMissingColumns=True)
+    flow = flow.repartition(*keys, "_b")
+    real = F.col("_of") == ""
+    for name, more in counts.items():
+        own = Window.partitionBy(*keys, "_b", *more).orderBy(real, *order).rowsBetween(Window.unboundedPreceding, -1)
+        weight = F.when(real, F.lit(1)).when(F.col("_of") == name, F.col("_n")).otherwise(F.lit(0))
+        flow = flow.withColumn(name, F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    return flow.where(real).drop("_b", "_of", "_n")
+
+
+def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6, warm_up: int = 100, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
     """How unlikely each template is after the one before (W5); exact running counts, no state.
 
     P = (count(prev, cur) + e) / (count(prev) + e * V), V the number of previous templates met so far;
     score = ln P / ln(e / denominator), at most 1, and 0 for the first `warm_up` events of a key.
+    Counts are split by buckets of time.
     """
-    own = Window.partitionBy(*keys).orderBy(*ORDER)
-    steps = events.where(F.col("template_id").isNotNull()).withColumn("prev", F.lag("template_id").over(own)).withColumn("learned", F.row_number().over(own) - 1)
-    pair = F.count("*").over(before(*keys, "prev", "template_id"))
-    total = F.count("*").over(before(*keys, "prev"))
-    counted = steps.withColumns({"pair": pair, "total": total})
-    fresh = (F.col("prev").isNotNull() & (F.col("total") == 0)).cast("int")
-    counted = counted.withColumn("fresh", fresh).withColumn("met", F.coalesce(F.sum("fresh").over(before(*keys)), F.lit(0)))
+    steps = previous(events.where(F.col("template_id").isNotNull()), keys, "template_id", "prev", bucket_ns=bucket_ns)
+    counted = counts_before(steps, keys, {"pair": ["prev", "template_id"], "total": ["prev"], "learned": []}, bucket_ns=bucket_ns)
+    fresh = (F.col("prev").isNotNull() & (F.col("total") == 0)).cast("long")
+    counted = running_total(counted.withColumn("fresh", fresh), keys, "fresh", "met", ORDER, bucket_ns=bucket_ns).withColumn("met", F.col("met") - F.col("fresh"))
     denominator = F.col("total") + F.lit(epsilon) * F.col("met")
     score = F.log((F.col("pair") + epsilon) / denominator) / F.log(F.lit(epsilon) / denominator)
     usable = F.col("prev").isNotNull() & (F.col("learned") >= warm_up) & (F.col("met") > 0)

@@ -1,6 +1,7 @@
 """Operators on keys with very many rows: equal to plain folds, without one task that holds a key."""
 
 import datetime
+import math
 import random
 
 import pytest
@@ -136,3 +137,80 @@ def test_event_writes_go_on(spark, tmp_path):
     sinks.compact_days(spark, path, [datetime.date(1970, 1, 2)], files=1)
     assert table(spark, path) == kept
     assert len(list((tmp_path / "events" / "day=1970-01-02").glob("*.parquet"))) == 1
+
+
+def past_rows():
+    """Two keys and a null one over some days, with ties of time and templates left out."""
+    rng = random.Random(12)
+    hour = 3_600_000_000_000
+    rows = []
+    for i in range(900):
+        t = rng.choice((rng.randint(-30 * hour, 60 * hour), rng.randint(0, 3) * hour, 5 * hour + rng.randint(0, 5)))
+        rows.append((rng.choice(["a", "a", "a", "b", None]), t, i, rng.choice([None, 1, 2, 3, 4, 5]), [rng.choice("pqrs") for _ in range(rng.randint(0, 3))]))
+    return rows
+
+
+def plain_sequences(rows, epsilon, warm_up):
+    """{event_id: score}, one event after the other."""
+    out, state = {}, {}
+    for key, _, i, cur, _ in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[1], r[2])):
+        s = state.setdefault(key, {"prev": None, "learned": 0, "pairs": {}, "totals": {}})
+        prev, met, out[i] = s["prev"], len(s["totals"]), 0.0
+        if prev is not None:
+            pair, total = s["pairs"].get((prev, cur), 0), s["totals"].get(prev, 0)
+            if s["learned"] >= warm_up and met:
+                low = total + epsilon * met
+                out[i] = (1.0 if met > 1 else 0.0) if not total else min(1.0, max(0.0, math.log((pair + epsilon) / low) / math.log(epsilon / low)))
+            s["pairs"][prev, cur], s["totals"][prev] = pair + 1, total + 1
+        s["prev"], s["learned"] = cur, s["learned"] + 1
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1, 3_600_000_000_000, 10**18])
+def test_sequences_by_buckets(spark, bucket):
+    rows = past_rows()
+    df = spark.createDataFrame(rows, "entity string, timestamp_ns long, event_id long, template_id int, related_ips array<string>").repartition(5)
+    found = windows.markov_scores(df, ["entity"], 1e-4, 7, bucket)
+    assert found.columns == [*df.columns, "score"]
+    assert {r.event_id: r.score for r in found.collect()} == pytest.approx(plain_sequences(rows, 1e-4, 7))
+    assert windows.markov_scores(df.limit(0), ["entity"]).count() == 0
+
+
+def plain_behaviour(rows, warm_events, warm_ns):
+    """{event_id: (warm, time_of_day, pattern_novelty, source_novelty)}, one event after the other."""
+    out, state = {}, {}
+    for key, t, i, template, ips in sorted(rows, key=lambda r: (r[1], r[2])):
+        s = state.setdefault(key, {"times": [], "hours": {}, "templates": set(), "ips": set()})
+        hour = t // 3_600_000_000_000 % 24
+        usual = 1 - s["hours"].get(hour, 0) / max(s["hours"].values()) if s["hours"] else 0.0
+        warm = len(s["times"]) >= max(warm_events, 1) and s["times"][-1] - s["times"][0] >= warm_ns
+        out[i] = (warm, usual, float(template is not None and template not in s["templates"]), sum(ip not in s["ips"] for ip in ips) / len(ips) if ips else 0.0)
+        s["times"].append(t)
+        s["hours"][hour] = s["hours"].get(hour, 0) + 1
+        s["templates"].add(template)
+        s["ips"].update(ips)
+    return out
+
+
+def test_behaviour_by_hours(spark):
+    rows = past_rows()
+    warm_ns = 20 * 3_600_000_000_000
+    df = spark.createDataFrame(rows, "entity string, timestamp_ns long, event_id long, template_id int, related_ips array<string>").repartition(5)
+    plain = plain_behaviour(rows, 30, warm_ns)
+    found = ueba.composite(df, warm_events=30, warm_ns=warm_ns).collect()
+    assert sorted(r.event_id for r in found) == list(range(len(rows)))
+    for r in found:
+        warm, usual, pattern, sources = plain[r.event_id]
+        assert (r.warm, r.time_of_day, r.pattern_novelty, r.source_novelty) == pytest.approx((warm, usual, pattern, sources))
+    assert {r.event_id: r.warm for r in ueba.warm_state(df, "entity", 30, warm_ns).collect()} == {i: p[0] for i, p in plain.items()}
+    assert {r.event_id: r.time_of_day for r in ueba.time_of_day(df).collect()} == pytest.approx({i: p[1] for i, p in plain.items()})
+    assert any(p[0] for p in plain.values()) and ueba.composite(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("score", [lambda df: windows.markov_scores(df, ["entity"]), ueba.composite])
+def test_no_window_over_a_whole_key(spark, score):
+    """Windows over rows are partitioned by bucket as well; those by key alone read one row a bucket."""
+    df = spark.createDataFrame(past_rows(), "entity string, timestamp_ns long, event_id long, template_id int, related_ips array<string>")
+    plan = score(df)._jdf.queryExecution().optimizedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if "Window" in line and "timestamp_ns" in line.split("windowspecdefinition", 1)[-1]]
+    assert over_rows and all("_b#" in line for line in over_rows)
