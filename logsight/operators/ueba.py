@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logsight.operators.aggregates import floor_to
 from logsight.operators.folds import fold_by_key
+from logsight.operators.lineage import settled
 from logsight.operators.windows import ORDER, join_back
 
 #: Weights of time of day, source novelty, volume and pattern novelty.
@@ -55,11 +56,14 @@ def _time_of_day() -> Column:
 
 def source_novelty(events: DataFrame, key: str = "entity", ips: str = "related_ips") -> DataFrame:
     """Share of the event's addresses that the key has not had before; 0 without any."""
+    return events.join(_new_share(events, key, ips), "event_id", "left").withColumn("source_novelty", F.coalesce("source_novelty", F.lit(0.0)))
+
+
+def _new_share(events: DataFrame, key: str, ips: str) -> DataFrame:
     each = events.select("event_id", key, "timestamp_ns", F.explode(ips).alias("ip"))
     firsts = each.groupBy(key, "ip").agg(F.min(F.struct("timestamp_ns", "event_id")).alias("first"))
     new = join_back(each, firsts, [key, "ip"]).withColumn("new", F.struct("timestamp_ns", "event_id") == F.col("first"))
-    share = new.groupBy("event_id").agg(F.avg(F.col("new").cast("double")).alias("source_novelty"))
-    return events.join(share, "event_id", "left").withColumn("source_novelty", F.coalesce("source_novelty", F.lit(0.0)))
+    return new.groupBy("event_id").agg(F.avg(F.col("new").cast("double")).alias("source_novelty"))
 
 
 def volume_score(rate: Column) -> Column:
@@ -70,7 +74,14 @@ def volume_score(rate: Column) -> Column:
 
 def pattern_novelty(events: DataFrame, key: str = "entity") -> DataFrame:
     """1 for a template that the key has not had, 0 else or without a template (U5, the "seen before" form)."""
-    firsts = events.where("template_id IS NOT NULL").groupBy(key, "template_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    return _pattern_novelty(events, _first_templates(events, key), key)
+
+
+def _first_templates(events: DataFrame, key: str) -> DataFrame:
+    return events.where("template_id IS NOT NULL").groupBy(key, "template_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
+
+
+def _pattern_novelty(events: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
     seen = join_back(events, firsts, [key, "template_id"], "left")
     return seen.withColumn("pattern_novelty", F.coalesce((F.struct(*ORDER) == F.col("_first")).cast("double"), F.lit(0.0))).drop("_first")
 
@@ -131,8 +142,10 @@ def composite(events: DataFrame, key: str = "entity", weights: tuple[float, ...]
     volume: the mean rate before the event; without it, that of `baselines`.
     """
     rate = volume if volume is not None else F.when(F.col("_seen") > 0, 1.0).otherwise(0.0)
-    seen = past(events, key).withColumns({"warm": _warm(warm_events, warm_ns), "time_of_day": _time_of_day(), "volume_ema_min": rate}).drop(*_PAST)
-    scored = pattern_novelty(source_novelty(seen, key), key).withColumn("volume", volume_score(F.col("volume_ema_min")))
+    kept = settled(events, "behaviour")
+    seen = past(kept, key).withColumns({"warm": _warm(warm_events, warm_ns), "time_of_day": _time_of_day(), "volume_ema_min": rate}).drop(*_PAST)
+    known = seen.join(_new_share(kept, key, "related_ips"), "event_id", "left").withColumn("source_novelty", F.coalesce("source_novelty", F.lit(0.0)))
+    scored = _pattern_novelty(known, _first_templates(kept, key), key).withColumn("volume", volume_score(F.col("volume_ema_min")))
     parts = ("time_of_day", "source_novelty", "volume", "pattern_novelty")
     total = sum((w * F.col(c) for w, c in zip(weights[1:], parts[1:], strict=True)), weights[0] * F.col(parts[0]))
     out = scored.withColumn("composite", F.when(F.col("warm"), total).otherwise(0.0))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsight.operators.aggregates import floor_to
+from logsight.operators.lineage import settled
 
 ORDER = ("timestamp_ns", "event_id")
 
@@ -131,9 +132,9 @@ def markov_scores(events: DataFrame, keys: Sequence[str], epsilon: float = 1e-6,
 
     P = (count(prev, cur) + e) / (count(prev) + e * V), V the number of previous templates met so far;
     score = ln P / ln(e / denominator), at most 1, and 0 for the first `warm_up` events of a key.
-    Counts are split by buckets of time.
+    Counts are split by buckets of time, and read the steps from a table, so that what gives the events runs no oftener.
     """
-    steps = previous(events.where(F.col("template_id").isNotNull()), keys, "template_id", "prev", bucket_ns=bucket_ns)
+    steps = settled(previous(events.where(F.col("template_id").isNotNull()), keys, "template_id", "prev", bucket_ns=bucket_ns), "sequences")
     counted = counts_before(steps, keys, {"pair": ["prev", "template_id"], "total": ["prev"], "learned": []}, bucket_ns=bucket_ns)
     fresh = (F.col("prev").isNotNull() & (F.col("total") == 0)).cast("long")
     counted = running_total(counted.withColumn("fresh", fresh), keys, "fresh", "met", ORDER, bucket_ns=bucket_ns).withColumn("met", F.col("met") - F.col("fresh"))
