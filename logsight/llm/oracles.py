@@ -63,10 +63,10 @@ SELECT o.doc_id, size, ss AS source_size, target, coalesce(taken, 0) AS taken FR
 
 
 def _spans(kind: str, rank: int, pattern: str, check: str) -> str:
-    """DuckDB text: spans of one kind, from the cuts and matches of a text."""
+    """DuckDB text: spans of one kind, from the cuts and matches of a text, with the text."""
     return (
-        f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(cuts[1:i], lambda c: length(c))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda c: length(c))), 0) AS start, m FROM "
-        f"(SELECT doc_id, cuts, ms, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS cuts, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE text IS NOT NULL)) WHERE {check}"
+        f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(cuts[1:i], lambda c: length(c))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda c: length(c))), 0) AS start, m, text FROM "
+        f"(SELECT doc_id, text, cuts, ms, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m FROM (SELECT doc_id, text, string_split_regex(text, '{pattern}') AS cuts, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE text IS NOT NULL)) WHERE {check}"
     )
 
 
@@ -75,15 +75,19 @@ LUHN = f"list_sum(list_transform(string_split(reverse({DIGITS}), ''), lambda d,
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = "replace(m, ' ', '')"
 MOD97 = f"list_reduce(list_transform(string_split(substr({IBAN}, 5) || substr({IBAN}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda r, v: CASE WHEN v < 10 THEN (r * 10 + v) % 97 ELSE (r * 100 + v) % 97 END, 0) = 1"
+#: Kind, base score in hundredths and words before a span that add 10.
+CONTEXT = (("email", 90, "mail|contact|write|address"), ("ip", 60, "ip|host|server|address|login"), ("card", 70, "card|visa|credit|payment|number"), ("phone", 60, "phone|call|tel|mobile|fax"), ("iban", 80, "iban|account|bank|transfer"))
+SCORE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {base} + CASE WHEN regexp_matches(before, '\\b(?:{words})') THEN 10 ELSE 0 END" for k, base, words in CONTEXT) + " END"
 OP9 = rf"""
 WITH s AS ({_spans("email", 0, EMAIL, "TRUE")}
 UNION ALL {_spans("ip", 1, r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR right('000' || p, 3)::INT > 255)) = 0")}
 UNION ALL {_spans("card", 2, "[0-9](?:[ -]?[0-9])+", f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN}")}
 UNION ALL {_spans("phone", 3, r"\+[0-9][ ().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 9 AND 15")}
 UNION ALL {_spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", f"length({IBAN}) BETWEEN 15 AND 34 AND {MOD97}")}),
+b AS (SELECT * EXCLUDE text, lower(substr(text, (start - least(start, 40))::BIGINT + 1, least(start, 40)::BIGINT)) AS before FROM s),
 g AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_email, count(*) FILTER (WHERE rank = 1) AS n_ip, count(*) FILTER (WHERE rank = 2) AS n_card, count(*) FILTER (WHERE rank = 3) AS n_phone,
-string_agg(kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT, ',' ORDER BY start, rank) AS spans FROM s GROUP BY 1)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)
+string_agg(kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT, ',' ORDER BY start, rank) FILTER (WHERE rank < 4) AS base, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT, ',' ORDER BY start, rank) AS spans, string_agg({SCORE}, ',' ORDER BY start, rank) AS scores FROM b GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 _RUN = "regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')"

@@ -7,7 +7,8 @@ begin at each word of two capitals and two digits; of the ends of words within
 34 signs the last that passes mod 97 is taken, so that capitalised words and
 numbers behind it do not hide it. Each span has
 a score: a base by kind, raised if one of the kind's words stands among the
-`near` characters before it. Scores drop no span.
+`near` characters before it. Scores drop no span here: they come with the spans,
+and `mask` takes a floor.
 
 Everything is Spark SQL expressions. The places of the matches come from
 cutting the text at the matches: the lengths of the cuts and matches before add
@@ -211,12 +212,13 @@ def _listed(spans: Column) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, base_sha256 and spans, from the output of `find_spans`."""
+    """doc_id, a count for each base kind, base_sha256, spans, and scores (hundredths, in the order of spans), from the output of `find_spans`."""
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("pii", lambda s: s["kind"])
     counts = [F.size(kinds).cast("long") - F.size(F.array_remove(kinds, k)).cast("long") for k in BASE]
     counts = [c.alias(f"n_{k}") for c, k in zip(counts, BASE, strict=True)]
-    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def mask(documents: DataFrame, text_col: str = "text", floor: float = 0.0) -> DataFrame:

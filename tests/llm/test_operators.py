@@ -507,6 +507,9 @@ def test_masked_text_and_scores(spark):
     df = documents(spark, [(1, "write to me@x.org or call +1 555 123 4567 now", "s"), (2, None, "s")])
     found = {r.doc_id: r for r in pii.find_spans(df).collect()}
     assert [(s.kind, round(s.score, 2)) for s in found[1].pii] == [("email", 1.0), ("phone", 0.7)]
+    far = documents(spark, [(3, "call " + "x" * 40 + " +1 555 123 4567, or GB82 WEST 1234 5698 7654 32; recall +1 555 123 4567", "s"), (4, "Bank: GB82 WEST 1234 5698 7654 32", "s"), (5, None, "s")])
+    told = {r.doc_id: (r.spans.split(":")[0], r.scores) for r in pii.report(pii.find_spans(far)).collect()}
+    assert told == {3: ("phone", "60,80,60"), 4: ("iban", "90"), 5: ("", "")}
     assert {r.doc_id: r.text for r in pii.mask(df).collect()} == {1: "write to <EMAIL> or call <PHONE> now", 2: None}
 
 
