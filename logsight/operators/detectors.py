@@ -306,6 +306,15 @@ class Forest:
                     box[child] = (a, b)
         return dims, cuts
 
+    def leaves(self, x: np.ndarray, nodes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The leaf of each tree, counted from 0, that each row of features falls in."""
+        dims, cuts = nodes
+        node = np.zeros((len(x), self.trees), int)
+        t = np.arange(self.trees)
+        for _ in range(self.height):
+            node = 2 * node + 1 + (np.take_along_axis(x, dims[t, node], axis=1) >= cuts[t, node])
+        return node - (2**self.height - 1)
+
 
 def forest_scores(events: DataFrame, key: str, forest: Forest) -> DataFrame:
     """(event_id, key, score) from the mass of the window before; 0 in a key's first window.
@@ -313,18 +322,12 @@ def forest_scores(events: DataFrame, key: str, forest: Forest) -> DataFrame:
     Features must lie in [0, 1]. The leaf of each tree comes from an Arrow
     batch; masses are counted by (key, window, tree, leaf) with a shuffle.
     """
-    dims, cuts = forest.nodes()
+    nodes = forest.nodes()
     numbered = ranked(events, [key]).withColumn("win", F.expr(f"(rank - 1) div {forest.window}"))
 
     @F.pandas_udf("array<int>")
     def leaves(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols])
-        node = np.zeros((len(x), forest.trees), int)
-        for _ in range(forest.height):
-            t = np.arange(forest.trees)
-            right = np.take_along_axis(x, dims[t, node], axis=1) >= cuts[t, node]
-            node = 2 * node + 1 + right
-        return pd.Series(list((node - (2**forest.height - 1)).astype(np.int32)))
+        return pd.Series(list(forest.leaves(np.column_stack([c.to_numpy(float) for c in cols]), nodes).astype(np.int32)))
 
     hit = numbered.select("event_id", key, "win", F.posexplode(leaves(*map(F.col, forest.features))).alias("tree", "leaf"))
     mass = hit.groupBy(key, "win", "tree", "leaf").agg(F.count("*").alias("mass")).withColumn("win", F.col("win") + 1)

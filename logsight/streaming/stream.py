@@ -24,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from logsight.functions.text import template_of
 from logsight.operators.correlate import kill_chain_fold
-from logsight.operators.detectors import Cusum, HoltWinters, TailThreshold
+from logsight.operators.detectors import Cusum, Forest, HoltWinters, TailThreshold
 from logsight.operators.templates import WILD
 
 Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]
@@ -379,6 +379,56 @@ def template_volume_step(detector: HoltWinters, bucket_ns: int, least: int = 50)
     return step
 
 
+def forest_step(forest: Forest, key: str) -> Step:
+    """Masses of the last whole window and of the open one; each row is scored by the last (S3 for W6).
+
+    The state holds the leaves that have been met, trees times 2**height at most.
+    """
+    nodes, width = forest.nodes(), 2**forest.height
+    offsets = np.arange(forest.trees) * width
+
+    def dense(mass: dict[str, int]) -> np.ndarray:
+        out = np.zeros(forest.trees * width, int)
+        out[[int(k) for k in mass]] = list(mass.values())
+        return out
+
+    def sparse(mass: np.ndarray) -> dict[str, int]:
+        return {str(i): int(mass[i]) for i in np.flatnonzero(mass)}
+
+    def step(state: dict | None, frame: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        s = state or {"windows": 0, "n": 0, "last": {}, "open": {}}
+        windows, n, last, now = s["windows"], s["n"], dense(s["last"]), dense(s["open"])
+        at = forest.leaves(frame[list(forest.features)].to_numpy(float), nodes) + offsets
+        scores, i = np.zeros(len(frame)), 0
+        while i < len(frame):
+            part = at[i : i + forest.window - n]  # what the open window still takes
+            if windows:
+                scores[i : i + len(part)] = 1 - last[part].sum(axis=1) / (forest.trees * forest.window)
+            np.add.at(now, part.ravel(), 1)
+            i, n = i + len(part), n + len(part)
+            if n == forest.window:
+                windows, n, last, now = windows + 1, 0, now, np.zeros_like(now)
+        return {"windows": windows, "n": n, "last": sparse(last), "open": sparse(now)}, frame[[key, "event_id"]].assign(score=scores)
+
+    return step
+
+
+def entity_volumes(events: DataFrame, detector: HoltWinters, bucket_ns: int, most: int = 32, idle_ns: int | None = None, slack: str = "30 seconds") -> DataFrame:
+    """source_type, ref, event_id and the volume score of each of an event's first entities (S3 for W8).
+
+    All entities of an event come in its own batch, so `largest` of each batch is the event's score.
+    """
+    types = dict(events.dtypes)
+    each = events.select("event_id", "timestamp_ns", "source_type", F.explode(F.array_distinct(F.slice("entity_refs", 1, most))).alias("ref"))
+    keys = ["source_type", "ref"]
+    return with_state(each, keys, ["timestamp_ns", "event_id"], bucket_step(detector, bucket_ns, keys), f"source_type {types['source_type']}, ref {dict(each.dtypes)['ref']}, event_id {types['event_id']}, score double", idle_ns, slack)
+
+
+def largest(batch: DataFrame) -> DataFrame:
+    """event_id and its largest score, of a batch of `entity_volumes` (for foreachBatch)."""
+    return batch.groupBy("event_id").agg(F.max("score").alias("score"))
+
+
 def template_counts(lines: DataFrame) -> DataFrame:
     """Counts and times of templates, in update mode."""
     return lines.groupBy("template").agg(F.count("*").alias("event_count"), F.min("timestamp_ns").alias("first_seen_ns"), F.max("timestamp_ns").alias("last_seen_ns"))

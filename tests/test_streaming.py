@@ -108,6 +108,30 @@ def test_template_volume(spark, parts, tmp_path):
     same(spark.table("volumes").toPandas(), batch, ["event_id"], "score")
 
 
+@pytest.mark.parametrize("window", [7, 50, 400])
+def test_content_masses(spark, parts, tmp_path, window):
+    rows, df = source(spark, parts, "events")
+    forest = detectors.Forest(("f", "g"), trees=5, height=4, window=window)
+    unit = lambda x: x.withColumns({"f": F.pmod(F.hash("event_id"), F.lit(1000)) / 1000, "g": F.pmod(F.col("value"), F.lit(1.0))})
+    got = stream.with_state(unit(rows), ["source_type"], ["timestamp_ns", "event_id"], stream.forest_step(forest, "source_type"), "source_type string, event_id long, score double")
+    stream.run_once(got, f"masses{window}", str(tmp_path))
+    batch = detectors.forest_scores(unit(df), "source_type", forest).select("event_id", "score").toPandas()
+    assert window > 50 or (batch["score"] > 0).any()
+    same(spark.table(f"masses{window}").toPandas(), batch, ["event_id"], "score")
+
+
+def test_entity_volume(spark, parts, tmp_path):
+    rows, df = source(spark, parts, "events")
+    refs = lambda x: x.withColumn("entity_refs", F.array("entity", F.concat(F.lit("h"), F.pmod(F.col("event_id"), F.lit(3)))))
+    detector = detectors.HoltWinters(season=24)
+    out = []
+    query = stream.entity_volumes(refs(rows), detector, HOUR).writeStream.foreachBatch(lambda b, _: out.extend(stream.largest(b).collect())).outputMode("update").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = detectors.entity_volume(refs(df), detector, HOUR).select("event_id", "score").toPandas()
+    assert (batch["score"] > 0).any() and len(out) == len(batch)
+    same(pd.DataFrame([r.asDict() for r in out]), batch, ["event_id"], "score")
+
+
 def test_tail_limits(spark, parts, tmp_path):
     rows, df = source(spark, parts, "events")
     t = detectors.TailThreshold(window=60, risk=0.01)
