@@ -215,31 +215,63 @@ def ego_size(edges: DataFrame) -> DataFrame:
     return undirected(edges).where("u <> v").groupBy(F.col("u").alias("node")).agg(F.count("*").alias("neighbours"))
 
 
+def twins(links: DataFrame) -> DataFrame:
+    """(node, twin): the smallest node with exactly the same neighbours, itself if there is no other.
+
+    A hash of the neighbours only proposes; a node stays with its twin if every
+    link of the one is a link of the other.
+    """
+    signs = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("sign"))
+    named = signs.join(signs.groupBy("n", "sign").agg(F.min("node").alias("twin")), ["n", "sign"]).select("node", "n", "twin")
+    asked = links.join(named.where("node <> twin"), F.col("u") == F.col("node")).select("node", "n", "twin", "v")
+    shared = asked.join(links.select(F.col("u").alias("twin"), "v"), ["twin", "v"]).groupBy("node", "n").agg(F.count("*").alias("shared"))
+    sure = shared.where("shared = n").select("node", F.lit(True).alias("sure"))
+    return named.join(sure, "node", "left").select("node", F.when(F.col("sure"), F.col("twin")).otherwise(F.col("node")).alias("twin"))
+
+
 def betweenness(edges: DataFrame, pivots: int | None = None, block: int = 4096) -> DataFrame:
     """Betweenness, undirected and normalised, by sums over sources; `pivots` sources by a hash, if asked (H9).
 
-    Sources are taken in blocks. Rows are (source, node): a round of joins
-    finds the next depth of all searches of a block with the number of shortest
-    paths, and as many rounds back give each node its share. Nothing but counts
-    comes to the driver.
+    Nodes with the same neighbours are searched from, and met, as one: each
+    search then counts paths and shares by how many there are, which changes no
+    result. Sources are taken in blocks. Rows are (source, node) of such classes:
+    a round of joins finds the next depth of all searches of a block with the
+    number of shortest paths, and as many rounds back give each node its share.
+    Nothing but counts comes to the driver.
     """
     links = settled(undirected(edges).where("u <> v"))
     nodes = settled(vertices(edges))
     n = nodes.count()
     taken = min(n, pivots or n)
     chosen = settled(nodes.orderBy(F.xxhash64("node"), "node").limit(taken)) if taken < n else nodes
-    blocks = max(1, -(-taken // block))
-    parts = [_dependencies(links, chosen.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)) for i in range(blocks)]
-    summed = functools.reduce(DataFrame.union, parts).groupBy("node").agg(F.sum("part").alias("part"))
+    named = settled(twins(links), "twins")
+    per = named.join(chosen.withColumn("asked", F.lit(1)), "node", "left").groupBy("twin").agg(F.count("*").alias("size"), F.sum(F.coalesce("asked", F.lit(0))).alias("times"))
+    degrees = links.groupBy(F.col("u").alias("twin")).agg(F.count("*").alias("degree"))
+    classes = settled(per.join(degrees, "twin"), "twins")
+    ends = classes.select("twin", "size")
+    between = links.join(ends, F.col("u") == F.col("twin")).select("u", "v", "size").join(ends.select("twin"), F.col("v") == F.col("twin"), "left_semi")
+    between = settled(between, "links")
+    # the others of a source's class are two steps away, by way of each neighbour, and nothing lies behind them
+    sources = classes.where("times > 0").select(F.col("twin").alias("node"), "times", ((F.col("size") - 1) / F.col("degree")).alias("others"))
+    blocks = max(1, -(-sources.count() // block))
+    parts = [_dependencies(between, sources.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)) for i in range(blocks)]
+    summed = functools.reduce(DataFrame.union, parts).groupBy(F.col("node").alias("twin")).agg(F.sum("part").alias("part"))
     scale = 0.0 if n < 3 else 1.0 / ((n - 1) * (n - 2)) * (n / max(1, taken))
-    return nodes.join(summed, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+    each = named.join(summed, "twin").select("node", "part")
+    return nodes.join(each, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, part): the nodes' shares in the shortest paths from the sources."""
+    """(node, part): the share of one node of each class in the shortest paths from the sources.
+
+    links: (u, v, size), size nodes like u. sources: (node, times, others), the
+    number of sources of the class, and what its other nodes add to a neighbour.
+    """
+    own = sources.select(F.col("node").alias("source"), "times", "others")
     levels = [settled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
     while True:
-        step = levels[-1].join(links, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        many = F.col("size") if len(levels) > 1 else F.lit(1)
+        step = levels[-1].join(links, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum(F.col("paths") * many).alias("paths"))
         # a neighbour is one step nearer, as near, or one step farther
         for near in levels[-2:]:
             step = step.join(near.select("source", "node"), ["source", "node"], "left_anti")
@@ -247,11 +279,13 @@ def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         levels.append(step)
-    out = []
-    credit = levels[-1].withColumn("credit", F.lit(0.0))
+    out, credit = [], levels[-1].withColumn("credit", F.lit(0.0))
     for depth in range(len(levels) - 1, 0, -1):
-        out.append(credit.groupBy("node").agg(F.sum("credit").alias("part")))
-        back = credit.join(links, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), ((1 + F.col("credit")) / F.col("paths")).alias("each"))
+        credit = credit.join(own, "source").withColumn("credit", F.col("credit") + (F.col("others") if depth == 1 else F.lit(0.0)))
+        out.append(credit.groupBy("node").agg(F.sum(F.col("credit") * F.col("times")).alias("part")))
+        if depth == 1:  # nobody asks for the sources' own share
+            break
+        back = credit.join(links, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("size") * (1 + F.col("credit")) / F.col("paths")).alias("each"))
         got = back.join(levels[depth - 1], ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("each") * F.col("paths")).alias("credit"))
         credit = settled(levels[depth - 1].join(got, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("credit", F.lit(0.0)).alias("credit")))
     return functools.reduce(DataFrame.union, out) if out else sources.select("node", F.lit(0.0).alias("part"))
