@@ -213,7 +213,8 @@ def e13(spark, d):
 FULL = "CASE event_id % 4 WHEN 0 THEN '2001:0db8:0000:0000:0000:0000:0000:' || lpad(CAST(user_id + 1 AS VARCHAR), 4, '0') WHEN 1 THEN 'fe80:0000:0000:0000:0000:0000:' || lpad(CAST(event_id % 900 AS VARCHAR), 4, '0') || ':' || lpad(CAST(user_id + 1 AS VARCHAR), 4, '0') WHEN 2 THEN '2001:0db8:0000:0000:0001:0002:0003:' || lpad(CAST(event_id % 9000 AS VARCHAR), 4, '0') ELSE '0000:0000:0000:0000:0000:0000:0000:0001' END"
 
 
-@query("e13_ipv6", f"WITH s AS (SELECT event_id, {FULL} AS name FROM events), x AS (SELECT event_id, name, sha1(unhex('a1b2c3d4000200000000000000000002') || encode(name)) AS h FROM s) SELECT event_id, name, {UUID} AS entity_uuid FROM x")
+# a group of more than four digits is no address, so neither name nor id comes of it
+@query("e13_ipv6", f"WITH s AS (SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) AND NOT (user_id + 1 BETWEEN 0 AND 9999) THEN NULL ELSE {FULL} END AS name FROM events), x AS (SELECT event_id, name, sha1(unhex('a1b2c3d4000200000000000000000002') || encode(name)) AS h FROM s) SELECT event_id, name, {UUID} AS entity_uuid FROM x")
 def e13_ipv6(spark, d):
     raw = F.expr(SIX)
     return table(spark, d, "events").select("event_id", identity.canonical("ip", raw).alias("name"), identity.entity_id("ip", raw).alias("entity_uuid"))
