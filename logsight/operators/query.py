@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _SPANS = {"m": 60, "h": 3600, "d": 86_400}
 
@@ -145,10 +146,36 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hydrate(alerts: DataFrame, events: DataFrame, span: int = 86_400_000_000_000, most: int = 16) -> DataFrame:
-    """The last `most` contributing events of each alert within `span` of it."""
-    wanted = alerts.select("alert_id", F.col("timestamp_ns").alias("alert_ns"), "entity_value", F.explode("contributing_events").alias("event_id"))
-    near = wanted.join(events.select("event_id", "timestamp_ns", "entity", "source_type"), "event_id").where((F.abs(F.col("timestamp_ns") - F.col("alert_ns")) <= span) & (F.col("entity") == F.col("entity_value")))
+def _runs(ids: Column) -> Column:
+    """The stretches of an array in which each whole number follows the one before, as (first, last); a repeated number is in several."""
+    follows = lambda i: F.coalesce(F.get(ids, i) == F.try_add(F.get(ids, i - 1), F.lit(1)), F.lit(False))
+    first = F.filter(ids, lambda x, i: ~follows(i))
+    last = F.filter(ids, lambda x, i: ~follows(i + 1))
+    stretches = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    low, high = F.get(ids, F.lit(0)), F.get(ids, F.size(ids) - 1)
+    # one stretch, the usual case, is found by comparing arrays, which is far cheaper
+    whole = F.when(F.try_subtract(high, low) == F.size(ids) - 1, F.sequence(low, high) == ids)
+    return F.when(whole, F.array(F.struct(low.alias("first"), high.alias("last")))).otherwise(stretches)
+
+
+def hydrate(alerts: DataFrame, events: DataFrame, span: int = 86_400_000_000_000, most: int = 16, block: int = 256) -> DataFrame:
+    """The last `most` contributing events of each alert within `span` of it.
+
+    Whole numbers as ids are not joined one by one: an alert has a row for each
+    block of ids that a stretch of them lies in, which meets the events of its
+    entity in that block. Other ids are joined as they are.
+    """
+    own = events.select("event_id", "timestamp_ns", "entity", "source_type")
+    wanted = alerts.select("alert_id", F.col("timestamp_ns").alias("alert_ns"), "entity_value", "contributing_events")
+    if isinstance(alerts.schema["contributing_events"].dataType.elementType, IntegralType) and isinstance(own.schema["event_id"].dataType, IntegralType):
+        runs = wanted.select("alert_id", "alert_ns", "entity_value", F.explode(_runs(F.col("contributing_events"))).alias("run")).where("run.first IS NOT NULL")
+        at = lambda c: F.expr(f"{c} div {block}")
+        parts = runs.select("alert_id", "alert_ns", "entity_value", "run", F.explode(F.sequence(at("run.first"), at("run.last"))).alias("block"))
+        same = (F.col("entity") == F.col("entity_value")) & (F.col("_block") == F.col("block")) & F.col("event_id").between(F.col("run.first"), F.col("run.last"))
+        met = parts.join(own.withColumn("_block", at("event_id")), same)
+    else:
+        met = wanted.withColumn("event_id", F.explode("contributing_events")).join(own, "event_id").where(F.col("entity") == F.col("entity_value"))
+    near = met.where(F.abs(F.col("timestamp_ns") - F.col("alert_ns")) <= span)
     return top_per_group(near, ["alert_id"], [F.col("timestamp_ns").desc(), F.col("event_id").desc()], most).select("alert_id", "event_id", "timestamp_ns", "source_type")
 
 
