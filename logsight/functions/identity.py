@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from logsight.functions.text import IPV4, OCTET, UUID
+from logsight.functions.text import IPV4, OCTET, UUID, let
 
 # The name spaces of the entity types, and the one of DNS names for alerts.
 NAMESPACES = {
@@ -65,24 +65,33 @@ def user_parts(raw: Column) -> tuple[Column, Column]:
 
 def exploded_ipv6(raw: Column) -> Column:
     """The full form of an IPv6 address in lower case; null for anything else."""
-    s = F.lower(F.trim(raw))
-    # the last four bytes may be written as an IPv4 address
     octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    octets = F.regexp_extract(s, rf"^.*:((?:{octet}[.]){{3}}{octet})$", 1)
-    number = lambda i: F.split(octets, "[.]")[i].cast("int")
-    pair = lambda i: F.lower(F.hex(number(i) * 256 + number(i + 1)))
-    tail = F.when(octets != "", F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(octets)), pair(0), F.lit(":"), pair(2))).otherwise(s)
 
     def groups(text: Column) -> Column:
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    halves = F.split(tail, "::")
-    left, right = groups(halves[0]), groups(F.get(halves, F.lit(1)))
-    # :: stands for one group of zeros at least
-    zeros = 8 - F.size(left) - F.size(right)
-    full = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (zeros >= 1), F.concat(left, F.array_repeat(F.lit("0"), zeros), right))
-    good = (F.size(full) == 8) & F.forall(full, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
-    return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ":"))
+    def tail(s: Column, octets: Column) -> Column:
+        # the last four bytes may be written as an IPv4 address
+        number = lambda i: F.split(octets, "[.]")[i].cast("int")
+        pair = lambda i: F.lower(F.hex(number(i) * 256 + number(i + 1)))
+        return F.when(octets != "", F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(octets)), pair(0), F.lit(":"), pair(2))).otherwise(s)
+
+    def whole(p: Column) -> Column:
+        # :: stands for one group of zeros at least
+        zeros = 8 - F.size(p["left"]) - F.size(p["right"])
+        return F.when(p["n"] == 1, p["left"]).when((p["n"] == 2) & (zeros >= 1), F.concat(p["left"], F.array_repeat(F.lit("0"), zeros), p["right"]))
+
+    def written(full: Column) -> Column:
+        good = (F.size(full) == 8) & F.forall(full, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+        return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ":"))
+
+    def parts(halves: Column) -> Column:
+        return F.struct(F.size(halves).alias("n"), groups(F.get(halves, F.lit(0))).alias("left"), groups(F.get(halves, F.lit(1))).alias("right"))
+
+    low = F.lower(F.trim(raw))
+    both = let(low, lambda s: F.struct(s.alias("s"), F.regexp_extract(s, rf"^.*:((?:{octet}[.]){{3}}{octet})$", 1).alias("octets")))
+    halves = let(both, lambda b: F.split(tail(b["s"], b["octets"]), "::"))
+    return let(let(let(halves, parts), whole), written)
 
 
 def _nfc(values: pd.Series) -> pd.Series:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ SEVERITY_NAMES = ("TRACE", "INFORMATIONAL", "NOTICE", "WARNING", "ERROR", "CRITI
 MAX_PER_KIND = 50
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of the value, which is computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -71,8 +78,12 @@ def template_params(text: Column, template: Column) -> Column:
     """Tokens that stand where the template has <*>; none if the token counts differ (E5)."""
     own = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     slots = F.split(F.trim(F.regexp_replace(template, r"\s+", " ")), " ")
-    paired = F.filter(F.zip_with(own, slots, lambda o, s: F.struct(o.alias("o"), s.alias("s"))), lambda p: p["s"] == "<*>")
-    return F.when(F.size(own) == F.size(slots), F.transform(paired, lambda p: p["o"])).otherwise(F.array().cast("array<string>"))
+
+    def paired(both: Column) -> Column:
+        pairs = F.filter(F.zip_with(both["own"], both["slots"], lambda o, s: F.struct(o.alias("o"), s.alias("s"))), lambda p: p["s"] == "<*>")
+        return F.when(F.size(both["own"]) == F.size(both["slots"]), F.transform(pairs, lambda p: p["o"])).otherwise(F.array().cast("array<string>"))
+
+    return let(F.struct(own.alias("own"), slots.alias("slots")), paired)
 
 
 def ips(text: Column) -> Column:
@@ -112,8 +123,8 @@ def processes(text: Column) -> Column:
 
 def tagged(values: Column, params: Column) -> Column:
     """Each value with where it comes from: param, template, or unknown without params."""
-    origin = lambda v: F.when(F.size(params) == 0, "unknown").when(F.array_contains(params, v), "param").otherwise("template")
-    return F.transform(values, lambda v: F.struct(v.alias("value"), origin(v).alias("source")))
+    origin = lambda v, p: F.when(F.size(p) == 0, "unknown").when(F.array_contains(p, v), "param").otherwise("template")
+    return let(params, lambda p: F.transform(values, lambda v: F.struct(v.alias("value"), origin(v, p).alias("source"))))
 
 
 def syslog_header(line: Column) -> dict[str, Column]:
