@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logsight.functions import identity
 from logsight.operators import alerts as al
 from logsight.operators import correlate, detectors, graph, rules, ueba, windows
+from logsight.operators.lineage import settled
 from logsight.plans import batch
 from logsight.plans.base import AL, DAY, EV, GR, GRE, HOUR, LN, alerts, events, graph_edges, graph_rows, lines, query, rounded, table
 
@@ -160,7 +161,7 @@ def j13(spark, d):
 
 @query("w5_markov", f"WITH {EV}, s AS (SELECT *, lag(template_id) OVER o AS prev, row_number() OVER o - 1 AS learned FROM ev WINDOW o AS (PARTITION BY entity ORDER BY timestamp_ns, event_id)), c AS (SELECT *, count(*) OVER (PARTITION BY entity, prev, template_id ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pair, count(*) OVER (PARTITION BY entity, prev ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM s), m AS (SELECT *, coalesce(sum(CASE WHEN prev IS NOT NULL AND total = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS met FROM c) SELECT event_id, round(CASE WHEN prev IS NULL OR learned < 10 OR met = 0 THEN 0 WHEN total = 0 THEN CASE WHEN met > 1 THEN 1 ELSE 0 END ELSE greatest(0, least(ln((pair + 1e-6) / (total + 1e-6 * met)) / ln(1e-6 / (total + 1e-6 * met)), 1)) END, 6) AS score FROM m")
 def w5(spark, d):
-    return rounded(windows.markov_scores(events(spark, d), ["entity"], 1e-6, 10).select("event_id", "score"), "score")
+    return rounded(windows.markov_scores(events(spark, d).select("event_id", "timestamp_ns", "entity", "template_id"), ["entity"], 1e-6, 10).select("event_id", "score"), "score")
 
 
 @query("w6_half_space")
@@ -555,7 +556,9 @@ def a18(spark, d):
 
 @query("a19_detectors_only")
 def a19(spark, d):
-    rows = batch.normalised(lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message"))
+    rows = batch.content(batch.normalised(lines(spark, d).select("event_id", "timestamp_ns", "source_type", "message")))
+    # the lines are parsed once, and the scores read what they need of the result
+    rows = settled(rows.select("event_id", "timestamp_ns", "source_type", "severity_id", "entity", "template_id", "entity_refs", *batch.CONTENT), "events")
     return rounded(batch.anomalies(rows, HOUR, 30, 24, 10).select("event_id", "volume", "change", "sequence", "anomaly_score"), "volume", "change", "sequence", "anomaly_score", places=4)
 
 
