@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logsight.functions.identity import RELATIONS
@@ -122,38 +122,44 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def modularity(links: DataFrame, labels: DataFrame) -> float:
-    """Modularity of (node, community) on weighted links (u, v, w), each in both directions; a link of a node with itself once, with twice its weight."""
-    both = links.join(labels.select(F.col("node").alias("u"), F.col("community").alias("a")), "u").join(labels.select(F.col("node").alias("v"), F.col("community").alias("b")), "v")
-    per = both.groupBy("a").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
-    row = per.agg(F.sum("inside").alias("i"), F.sum(F.col("total") * F.col("total")).alias("t"), F.sum("total").alias("m")).first()
-    return row.i / row.m - row.t / (row.m * row.m) if row.m else 0.0
+def _moved(links: DataFrame, labels: DataFrame, number: int, whole: float, tolerance: float = 1e-12) -> DataFrame:
+    """One round of moves of half of the nodes, chosen by a hash.
 
-
-def _moved(links: DataFrame, labels: DataFrame, number: int, tolerance: float = 1e-12) -> DataFrame:
-    """(node, community) after one round of moves of half of the nodes, chosen by a hash.
+    labels: (node, community, k, own), with the node's degree and what it has with
+    itself. Adds `next`, its community after the round, and of the communities
+    before it `inside`, the node's links that stay in its community, and `met`, its
+    degree times its community's.
 
     A node goes where the links into a community, less what its degree would meet
     there by chance, gain most over staying; ties go to the smallest community. Of
     two lone nodes that want each other, the larger one moves.
     """
-    degrees = links.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
-    own = settled(labels.join(degrees, "node"), "louvain")
-    totals = own.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
-    whole = own.agg(F.sum("k")).first()[0] or 1.0
-    into = links.where("u <> v").join(own.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("into"))
-    choices = into.union(own.select("node", "community", F.lit(0.0))).groupBy("node", "community").agg(F.sum("into").alias("into"))
-    scored = choices.join(own.select("node", "k", F.col("community").alias("home")), "node").join(totals, "community")
+    totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("members"))
+    placed = labels.join(totals, "community")
+    near = links.where("u <> v").join(placed.select(F.col("node").alias("v"), "community", "total", "members"), "v")
+    # dealt by node once: what follows is done where the node's links are
+    into = near.select("u", "community", "total", "members", "w").repartition("u").groupBy("u", "community").agg(F.sum("w").alias("into"), F.max("total").alias("total"), F.max("members").alias("members"))
+    home = placed.select(F.col("node").alias("u"), F.col("community").alias("home"), "k", "own", F.col("total").alias("home_total"), F.col("members").alias("home_members"))
     at_home = F.col("community") == F.col("home")
-    gain = F.round(F.col("into") - F.col("k") * (F.col("total") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.lit(float(whole)), 9)
-    alone = totals.select(F.col("community").alias("home"), F.col("members").alias("home_members"))
-    ranked_ = scored.withColumn("gain", gain).join(alone, "home")
+    gain = lambda into, total: F.round(into - F.col("k") * total / F.lit(whole), 9)
     # a lone node doesn't follow a lone node of a larger community
-    allowed = at_home | ~((F.col("members") == 1) & (F.col("home_members") == 1) & (F.col("community") > F.col("home")))
-    best = ranked_.where(allowed).groupBy("node", "home").agg(F.min(F.struct((-F.col("gain")).alias("minus"), "community")).alias("best"), F.max(F.when(at_home, F.col("gain"))).alias("stay"))
-    turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0
-    goes = turn & (-F.col("best.minus") > F.col("stay") + tolerance)
-    return best.select("node", F.when(goes, F.col("best.community")).otherwise(F.col("home")).alias("community"))
+    allowed = ~at_home & ~((F.col("members") == 1) & (F.col("home_members") == 1) & (F.col("community") > F.col("home")))
+    offer = F.struct((-gain(F.col("into"), F.col("total"))).alias("minus"), "community")
+    best = home.join(into, "u", "left").groupBy(*home.columns).agg(F.min(F.when(allowed, offer)).alias("best"), F.coalesce(F.max(F.when(at_home, F.col("into"))), F.lit(0.0)).alias("stays"))
+    turn = F.pmod(F.xxhash64("u", F.lit(number)), F.lit(2)) == 0
+    goes = turn & (-F.col("best.minus") > gain(F.col("stays"), F.col("home_total") - F.col("k")) + tolerance)
+    return best.select(
+        F.col("u").alias("node"), F.col("home").alias("community"), "k", "own", F.when(goes, F.col("best.community")).otherwise(F.col("home")).alias("next"),
+        (F.col("stays") + F.col("own")).alias("inside"), (F.col("k") * F.col("home_total")).alias("met"),
+    )
+
+
+def _summed(df: DataFrame, label: str, *names: str) -> tuple[DataFrame, list[float]]:
+    """The rows settled, and the sums of columns, taken while the rows are written."""
+    seen = Observation()
+    rows = settled(df.observe(seen, *(F.sum(n).alias(n) for n in names)), label)
+    got = seen.get
+    return rows, [got[n] or 0.0 for n in names]
 
 
 def communities_by_modularity(edges: DataFrame, rounds: int = 24, patience: int = 4, least: float = 1e-4) -> DataFrame:
@@ -163,26 +169,33 @@ def communities_by_modularity(edges: DataFrame, rounds: int = 24, patience: int
     out and weights of a pair add up. A round moves half of the nodes at once and
     its labels count only if the modularity grows; after `patience` rounds without
     growth, or `rounds`, the communities are folded into nodes whose links carry
-    the sums, until a level brings less than `least`. Only the modularity and one
-    total come to the driver. A community is named by its smallest node.
+    the sums, until a level brings less than `least`. Each round is one written
+    table, which also tells the modularity that the round before has reached; only
+    these sums come to the driver. A community is named by its smallest node.
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     pairs = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), weight.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     once = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), (2 * F.col("w")).alias("w"))))
     links = settled(pairs.select(F.inline(once.otherwise(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "w"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "w"))))), "links")
     found = settled(vertices(edges).select("node", F.col("node").alias("community")), "communities")
-    reached, number = modularity(links, found), 0
+    reached, number = None, 0
     while True:
-        labels = settled(links.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("community")), "level")
-        start = best = modularity(links, labels)
-        kept, idle = labels, 0
-        for _ in range(rounds):
-            number += 1
-            labels = settled(_moved(links, labels, number), "moves")
-            now = modularity(links, labels)
-            kept, best, idle = (labels, now, 0) if now > best + 1e-9 else (kept, best, idle + 1)
-            if idle >= patience:
+        own = F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0))
+        labels, (whole,) = _summed(links.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), own.alias("own")).withColumn("community", F.col("node")), "level", "k")
+        start = best = kept = None
+        idle = 0
+        for i in range(rounds + 1):
+            step, (inside, met) = _summed(_moved(links, labels, number + 1, whole or 1.0), "moves", "inside", "met")
+            now = inside / whole - met / (whole * whole) if whole else 0.0
+            if kept is None:
+                start, kept, best = now, labels, now
+            else:
+                kept, best, idle = (labels, now, 0) if now > best + 1e-9 else (kept, best, idle + 1)
+            if i == rounds or idle >= patience:
                 break
+            number += 1
+            labels = step.select("node", F.col("next").alias("community"), "k", "own")
+        reached = start if reached is None else reached
         if best - start < least and best <= reached + least:
             break
         reached = best

@@ -85,3 +85,29 @@ def test_not_below_label_propagation(spark, sf_dir):
     spread = {r.node: r.community for r in graph.communities(edges).collect()}
     assert set(own) == set(spread) and plain_modularity(rows, own) >= plain_modularity(rows, spread)
     assert plain_modularity(rows, own) >= plain_modularity(rows, plain_louvain(rows)) - 0.02
+
+
+def test_a_round_tells_the_modularity_before_it(spark):
+    edges = [(a, b, w) for a, b, w in graphs()["weighed"]]
+    both = [(a, b, w) for a, b, w in edges if a != b] + [(b, a, w) for a, b, w in edges if a != b] + [(a, b, 2 * w) for a, b, w in edges if a == b]
+    links = spark.createDataFrame(both, "u string, v string, w double").groupBy("u", "v").agg(F.sum("w").alias("w"))
+    label = {x: f"w{int(x[1:]) % 7:02d}" for a, b, _ in edges for x in (a, b)}
+    degrees = links.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("own"))
+    labels = degrees.join(spark.createDataFrame(list(label.items()), "node string, community string"), "node")
+    whole = sum(w for *_, w in both)
+    rows = graph._moved(links, labels, 1, whole).collect()
+    assert sorted(r.node for r in rows) == sorted(label) and all(r.community == label[r.node] for r in rows)
+    assert sum(r.inside for r in rows) / whole - sum(r.met for r in rows) / whole**2 == pytest.approx(plain_modularity(edges, label), abs=1e-12)
+    assert any(r.next != r.community for r in rows)
+
+
+def test_a_round_is_one_written_table_and_few_jobs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "settled", lambda df, label="step", by=None, put=graph.settled: written.append(label) or put(df, label, by))
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        graph.communities_by_modularity(spark.createDataFrame(graphs()["clubs"], "source_id string, target_id string, weight double"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs, rounds = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")), written.count("moves")
+    assert rounds > 3 and written.count("louvain") == 0 and jobs < 18 * rounds
