@@ -32,6 +32,8 @@ ONE = f"{SOME}({_VOWELS})?$"
 MORE = f"{SOME}{_VOWELS}{_CONSONANTS}"
 VOWEL = f"^({_CONSONANTS})?[aeiouy]"
 SHORT = f"^{_CONSONANTS}[aeiouy][^aeiouwxy]$"
+#: Words that have stems.
+PLAIN = "^[a-z]{3,}$"
 DOUBLE = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
 
 
@@ -67,7 +69,7 @@ def with_stems(words: DataFrame, word: str = "word", out: str = "stem") -> DataF
     stem = _less(w, 1)
     steps.append(F.when(w.endswith("e") & (stem.rlike(MORE) | (stem.rlike(ONE) & ~stem.rlike(SHORT))), stem).otherwise(w))
     steps.append(F.when(w.endswith("ll") & _less(w, 1).rlike(MORE), _less(w, 1)).otherwise(w))
-    plain = F.col(word).rlike("^[a-z]{3,}$")
+    plain = F.col(word).rlike(PLAIN)
     # a first y is a consonant
     rows = words.withColumn("_w", F.when(F.startswith(F.col(word), F.lit("y")), F.concat(F.lit("Y"), F.substr(F.col(word), F.lit(2)))).otherwise(F.col(word)))
     for step in steps:
@@ -84,15 +86,22 @@ def _bucket(stem: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(stem), F.lit(buckets)).cast("int")
 
 
-def build(rows: DataFrame, path: str, key: str = "event_id", text: str = "message", time: str | None = "timestamp_ns", buckets: int = 64, files: int = 4) -> None:
-    """Write the index of the texts: stem, key, time (if there is one) and places, in folders by bucket."""
+def build(rows: DataFrame, path: str, key: str = "event_id", text: str = "message", time: str | None = "timestamp_ns", buckets: int = 64, rows_a_file: int = 500_000) -> None:
+    """Write the index of the texts: stem, key, time (if there is one) and places, in folders by bucket.
+
+    Files are ranges of (bucket, stem, hash of the key) of about `rows_a_file` rows,
+    so a common stem has as many files as it needs and a task sorts no more than one.
+    """
     extra = [key, *([time] if time else [])]
     placed = rows.select(*extra, F.posexplode(tokens(F.col(text))).alias("place", "word"))
     placed = settled(placed.groupBy(*extra, "word").agg(F.collect_list("place").alias("places")), "postings")
-    stems = with_stems(placed.select("word").distinct())
+    parts = -(-placed.count() // rows_a_file) or 1
+    # other words are their own stems; written, so that the size is known before the join
+    stems = settled(with_stems(placed.select("word").where(F.col("word").rlike(PLAIN)).distinct()), "stems")
+    stemmed = placed.join(stems, "word", "left").withColumn("stem", F.coalesce("stem", "word"))
     # one row a stem and text, with the places of all words of the stem
-    each = placed.join(stems, "word").groupBy("stem", *extra).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    dealt = each.withColumn("bucket", _bucket(F.col("stem"), buckets)).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(files))).sortWithinPartitions("bucket", "stem")
+    each = stemmed.groupBy("stem", *extra).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    dealt = each.withColumn("bucket", _bucket(F.col("stem"), buckets)).repartitionByRange(parts, "bucket", "stem", F.xxhash64(key)).sortWithinPartitions("bucket", "stem")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

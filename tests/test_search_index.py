@@ -59,6 +59,16 @@ def test_only_the_asked_folders_are_read(spark, indexed):
     assert files < spark.read.parquet(path).select(F.input_file_name()).distinct().count()
 
 
+def test_a_common_stem_has_files_of_bounded_rows(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("id AS event_id", "id AS timestamp_ns", "concat('failed logins u', id) AS message")
+    path = str(tmp_path / "i")
+    search_index.build(rows, path, rows_a_file=500)
+    index = spark.read.parquet(path)
+    assert index.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 1000
+    assert {r.stem: r["count"] for r in index.where("stem IN ('fail', 'login')").groupBy("stem").count().collect()} == {"fail": 6000, "login": 6000}
+    assert search_index.phrase_hits(spark, path, "failing login").count() == 6000
+
+
 def test_sketches_merge_within_their_error(spark):
     rng = random.Random(1)
     values = [(f"k{i % 2}", i % 24, rng.lognormvariate(0, 2)) for i in range(60_000)] + [("one", 1, 5.0), ("none", 1, None)]
